@@ -254,9 +254,9 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: i
             yield pd.DataFrame({"block": [number], "ids": [ids], "lengths": [lengths], "texts": [zlib.compress(b"".join(texts), 1)]})
 
     def resolve(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["ids", "n_tokens", "counts", "contexts", "hist", "tokens", "types"]
+        columns = ["ids", "n_tokens", "counts", "contexts", "begin", "hist", "tokens", "types"]
         if key[0] < 0 or not len(blocks):
-            return pd.DataFrame([([], b"", [], [], [], int(answers["tokens"].sum()), int(answers["types"].sum()))], columns=columns)
+            return pd.DataFrame([([], b"", [], [], 0, [], int(answers["tokens"].sum()), int(answers["types"].sum()))], columns=columns)
         ids, lengths, raw = blocks["ids"].iloc[0], np.frombuffer(blocks["lengths"].iloc[0], "<u4"), zlib.decompress(blocks["texts"].iloc[0])
         at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         block = Block([raw[a:b] for a, b in zip(at[:-1], at[1:])], order)
@@ -267,14 +267,15 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: i
         look = lambda k: totals[np.searchsorted(keys, k)]
         counts, contexts = [look(k) for k in block.order], [look(k) for k in block.contexts]
         hist = histogram_of(block, counts, contexts, train)
+        begin = int(contexts[0][0]) if contexts else 0
         pairs = [{"code": int(c), "n": int(n)} for c, n in zip(hist["code"], hist["n"])]
-        return pd.DataFrame([(list(ids), block.tokens_of.astype("<u4").tobytes(), [_squeezed(c.astype("<u8")) for c in counts], [_squeezed(c.astype("<u8")) for c in contexts], pairs, 0, 0)], columns=columns)
+        return pd.DataFrame([(list(ids), block.tokens_of.astype("<u4").tobytes(), [_squeezed(c.astype("<u8")) for c in counts], [_squeezed(c.astype("<u8")) for c in contexts[1:]], begin, pairs, 0, 0)], columns=columns)
 
     asked = rows.mapInPandas(ask, "shard int, block long, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, totals binary, wide boolean, tokens long, types long")
     blocks = rows.mapInPandas(packed, f"block long, ids array<{kind}>, lengths binary, texts binary")
     resolved = materialized(
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(resolve, f"ids array<{kind}>, n_tokens binary, counts array<binary>, contexts array<binary>, hist array<struct<code: long, n: long>>, tokens long, types long")
+        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(resolve, f"ids array<{kind}>, n_tokens binary, counts array<binary>, contexts array<binary>, begin long, hist array<struct<code: long, n: long>>, tokens long, types long")
     )
     n_all, vocabulary = (int(x or 0) for x in resolved.agg(F.sum("tokens"), F.sum("types")).first())
     hist = resolved.select(F.explode("hist").alias("h")).groupBy("h.code").agg(F.sum("h.n").alias("n")).toPandas()  # cells of logarithms: bounded
@@ -282,10 +283,14 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: i
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, lengths, counts, contexts in zip(batch["ids"], batch["n_tokens"], batch["counts"], batch["contexts"]):
+            for ids, lengths, counts, contexts, begin in zip(batch["ids"], batch["n_tokens"], batch["counts"], batch["contexts"], batch["begin"]):
                 lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
                 counts, contexts = [_restored(c, "<u8").astype(np.int64) for c in counts], [_restored(c, "<u8").astype(np.int64) for c in contexts]
                 start = np.cumsum(lengths) - lengths
+                if order > 1:  # a context of one token is the token before, or the start of a document
+                    before = np.concatenate([[begin], counts[0][:-1]])
+                    before[start] = begin
+                    contexts = [before, *contexts]
                 single = counts[0].astype(float)
                 base = np.log10((single + 1) / (n_all + vocabulary + 1))
                 model = np.log10(probabilities(counts, contexts, weights, n_all, vocabulary))
@@ -293,4 +298,4 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: i
                 yield pd.DataFrame({id_col: list(ids), "held_out": ~_teaches(list(ids), folds, held_out), "n_tokens": lengths, "n_known": sums((single > 0).astype(np.int64)), "train_tokens": n_all, "base_score": sums(base), "score": sums(model)})
 
     result = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return resolved.where(F.size("ids") > 0).select("ids", "n_tokens", "counts", "contexts").mapInPandas(scored, result)
+    return resolved.where(F.size("ids") > 0).select("ids", "n_tokens", "counts", "contexts", "begin").mapInPandas(scored, result)
