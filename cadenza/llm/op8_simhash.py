@@ -156,6 +156,8 @@ SEGMENT = 24
 SEGMENTS = LONG_WORDS * 64 // SEGMENT
 #: The least certain bits of a segment, each flipped in a probe of its own.
 FLIPS = 3
+#: Random orders of documents; in each segment one of them says whom a table entry's probes meet.
+ORDERS = 2
 
 
 def expected_distance(similarity: float, bits: int = LONG_WORDS * 64) -> float:
@@ -202,9 +204,9 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and group_id (the smallest id of its group) for each row.
 
-    Within a table entry every probe is paired with one member, chosen by a hash of the entry: pairs
-    stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS) probes it meets
-    many different members of its group. Distances far from the threshold decide at once; in between,
+    Within a table entry every probe is paired with one member, the first in a random order of all
+    documents: pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
+    probes it meets several members of its group. Distances far from the threshold decide at once; in between,
     three standard deviations to either side, the texts' exact similarity does.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -232,7 +234,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
                 yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), keys.shape[1]), "own": own.ravel()})
 
     probes = classes.where("id is not null").mapInPandas(keyed, f"key long, id {kind}, own boolean")
-    member = probes.where("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("other"))).alias("m")).select("key", "m.other")
+    turn = F.pmod(F.shiftright("key", 32), F.lit(ORDERS))
+    member = probes.where("own").groupBy("key").agg(F.min(F.struct(F.xxhash64(turn, "id").alias("h"), F.col("id").alias("other"))).alias("m")).select("key", "m.other")
     pairs = probes.join(member, "key").where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     a, b = (classes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     apart = sum(F.bit_count(F.conv(F.hex(F.substring(f"fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(f"fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
