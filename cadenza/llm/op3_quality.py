@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.bytecnn import ByteCNN, windows_of
-from cadenza.llm.op7_langid import fold_of, sampled_windows
+from cadenza.llm.op7_langid import fold_of, sample_rank, sampled, windows_in
 
 CHUNK, STRIDE = 384, 320
 
@@ -57,8 +57,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, folds: int = 5, held
     """Learns from at most max_rows labelled rows (chosen by a hash of the id) whose crc32(id as text) mod folds is not held_out."""
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     marked = marked.where(fold_of(id_col, folds) != held_out)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marked, id_col)
-    sample = sampled_windows(rows, "label", id_col, max_rows, CHUNK, 4)
+    few = sampled(marked, id_col, max_rows).orderBy(sample_rank(id_col), id_col).limit(max_rows)
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), id_col)  # max_rows ids at most
+    sample = windows_in(rows, id_col, max_rows, CHUNK, 4)
     if sample["label"].nunique() < 2:
         return QualityModel(None, np.zeros(4), float(sample["label"].mean()) if len(sample) else 0.5)
     texts, y, first = [], [], []

@@ -44,19 +44,29 @@ def fold_of(column: str, folds: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sampled_windows(rows: DataFrame, label: str, id_col: str, max_rows: int, length: int, per_row: int) -> pd.DataFrame:
-    """label and windows (per_row pieces of a text, spread over all of it) of at most max_rows rows, chosen by a hash of the id."""
-    chosen = rows.withColumn("_rank", F.xxhash64(F.lit("sample"), F.col(id_col))).orderBy("_rank", id_col).limit(max_rows)
+def sample_rank(id_col: str) -> F.Column:
+    return F.xxhash64(F.lit("sample"), F.col(id_col))
+
+
+def sampled(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
+    """At most max_rows rows, those with the smallest hash of the id; each task only passes on about its share of them."""
+    share = min(1.0, (1.2 * max_rows + 50) / max(1, rows.count()))
+    limit = int(share * 2**64) - 2**63 - 1  # hashes are spread over all signed 64-bit integers
+    return rows.where(F.lit(share >= 1.0) | (sample_rank(id_col) <= F.lit(max(-(2**63), min(2**63 - 1, limit)))))
+
+
+def windows_in(rows: DataFrame, id_col: str, max_rows: int, length: int, per_row: int) -> pd.DataFrame:
+    """label and pieces (per_row pieces of a text, spread over all of it) of at most max_rows rows."""
     size = F.length("text")
     begin = lambda k: (F.greatest(size - length, F.lit(0)) * F.lit(k / max(1, per_row - 1))).cast("int") + 1
     pieces = F.array(*[F.col("text").substr(begin(k), F.lit(length)) for k in range(per_row)])
-    return chosen.select(F.col(label).alias("label"), pieces.alias("pieces")).toPandas()
+    return rows.select(sample_rank(id_col).alias("_rank"), F.col(id_col).alias("_id"), "label", pieces.alias("pieces")).orderBy("_rank", "_id").limit(max_rows).toPandas()
 
 
 def train_language_model(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 4000, filters: int = 16, widths: tuple[int, ...] = (2, 3, 4), epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learns from at most max_rows labelled rows (chosen by a hash of the id) whose crc32(id as text) mod folds is not held_out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (fold_of(id_col, folds) != held_out)).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    sample = sampled_windows(rows, "label", id_col, max_rows, WINDOW, 3)
+    sample = windows_in(sampled(rows, id_col, max_rows), id_col, max_rows, WINDOW, 3)
     languages = sorted(sample["label"].unique())
     if not languages:
         return LanguageModel([], None)
