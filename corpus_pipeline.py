@@ -9,15 +9,12 @@ from cadenza.llm import op3_quality, op5_packing, op7_langid, op8_simhash
 from cadenza.llm.queries import QUALITY_THRESHOLD
 from cadenza.llm.store import materialized
 
-#: A language that is less likely than this is a rejection, as ``und`` is.
-LANGUAGE_THRESHOLD = 0.3
-
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known; the model learns from the rows that it is given."""
+    """Rows whose language is not ``und``; the model learns from the rows that it is given."""
     model = op7_langid.train_language_model(docs)
     found = op7_langid.predict_languages(docs, model, keep=tuple(docs.columns)) if model.net is not None else None
-    return docs.limit(0) if found is None else found.where(f"lang_pred <> 'und' AND score >= {LANGUAGE_THRESHOLD}").select(*docs.columns)
+    return docs.limit(0) if found is None else found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
