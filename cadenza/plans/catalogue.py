@@ -349,5 +349,5 @@ ORACLES = {
     "nearest_centroid": f"WITH {CENTRES} SELECT vec_id, label, round(similarity, 5) AS similarity FROM (SELECT vec_id, cen.label, {COS.format(a='embedding', b='centroid')} AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY {COS.format(a='embedding', b='centroid')} DESC, cen.label) AS rank FROM embeddings, cen) WHERE rank = 1 AND similarity >= 0.1",
     "fusion_decision": SIGNALS + """, d AS (SELECT *, CASE WHEN speech AND NOT lips AND score >= 0.05 AND score < 0.4 THEN 'IMPERSONATION' WHEN speech AND NOT lips AND score >= 0.05 AND score >= 0.72 THEN 'GHOST_VOICE' WHEN speech AND speakers >= 2 THEN 'EXTRA_SPEAKER' WHEN speech AND score >= 0.05 AND score < 0.4 THEN 'VOICE_MISMATCH' END AS event FROM sig)
         SELECT user_id, idx, event, round(least(1.0, CASE event WHEN 'IMPERSONATION' THEN (0.4 - score) / 0.4 + CASE WHEN lips THEN 0 ELSE 0.3 END WHEN 'GHOST_VOICE' THEN score WHEN 'EXTRA_SPEAKER' THEN 0.5 + 0.2 * (speakers - 1) ELSE (0.4 - score) / 0.4 END), 9) AS confidence FROM d WHERE event IS NOT NULL""",
-    "session_summary": SIGNALS + " SELECT user_id, count(*) AS chunks, round(count(*) FILTER (WHERE speech) * 0.032, 9) AS speech_s, round(coalesce(avg(score) FILTER (WHERE score >= 0.05), 0), 9) AS score_mean, round(coalesce(min(score) FILTER (WHERE score >= 0.05), 0), 9) AS score_min, max(speakers)::BIGINT AS speakers FROM sig GROUP BY user_id",
+    "session_summary": SIGNALS + " SELECT user_id, count(*) AS chunks, round(count(*) FILTER (WHERE speech) * 0.032::DOUBLE, 9) AS speech_s, round(coalesce(avg(score) FILTER (WHERE score >= 0.05), 0), 9) AS score_mean, round(coalesce(min(score) FILTER (WHERE score >= 0.05), 0), 9) AS score_min, max(speakers)::BIGINT AS speakers FROM sig GROUP BY user_id",
 }
