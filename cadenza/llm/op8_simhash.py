@@ -114,7 +114,7 @@ def close_pairs(found: DataFrame, distance: int = 2) -> DataFrame:
 
     table = found.select("fp").mapInPandas(lambda x: keyed(x, 0), "key long, fp long")
     probes = found.select("fp").mapInPandas(lambda x: keyed(x, 1), "key long, fp long").withColumnRenamed("fp", "a")
-    met = probes.join(table.withColumnRenamed("fp", "b"), "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    met = probes.join(table.withColumnRenamed("fp", "b").hint("merge"), "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -236,10 +236,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     probes = classes.where("id is not null").mapInPandas(keyed, f"key long, id {kind}, own boolean")
     turn = F.pmod(F.shiftright("key", 32), F.lit(ORDERS))
     member = probes.where("own").groupBy("key").agg(F.min(F.struct(F.xxhash64(turn, "id").alias("h"), F.col("id").alias("other"))).alias("m")).select("key", "m.other")
-    pairs = probes.join(member, "key").where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    # both sides grow with the documents: their size on disk must not lead to a broadcast
+    pairs = probes.join(member.hint("merge"), "key").where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     a, b = (classes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    apart = sum(F.bit_count(F.conv(F.hex(F.substring(f"fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(f"fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
-    measured = materialized(pairs.join(a, "a").join(b, "b").select("a", "b", apart.alias("distance")).where(F.col("distance") <= middle + slack))
+    apart = sum(F.bit_count(F.conv(F.hex(F.substring("fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
+    measured = materialized(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", apart.alias("distance")).where(F.col("distance") <= middle + slack))
     texts_a, texts_b = (source.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +248,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
             keep = [jaccard(x, y, words) >= similarity for x, y in zip(batch["text_a"], batch["text_b"])]
             yield batch.loc[keep, ["a", "b"]]
 
-    unsure = measured.where(F.col("distance") > middle - slack).select("a", "b").join(texts_a, "a").join(texts_b, "b")
+    unsure = measured.where(F.col("distance") > middle - slack).select("a", "b").join(texts_a.hint("merge"), "a").join(texts_b.hint("merge"), "b")
     sure = measured.where(F.col("distance") <= middle - slack).select("a", "b")
     roots = components(sure.unionByName(unsure.mapInPandas(settle, f"a {kind}, b {kind}")))
     named = classes.join(roots, classes["id"].eqNullSafe(roots["node"]), "left").select("fp", F.coalesce("root", "id").alias("group_id"))
