@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of each cache before it starts afresh: bounds its memory.
+#: Entries of a generation of each cache; a worker keeps two generations of words and pieces, which bounds its memory.
 CACHE_ENTRIES = 300_000
 
 
@@ -171,8 +171,9 @@ class TextEncoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.pieces: dict[str, str] = {}
-        self.plain: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
+        self.older_pieces: dict[str, str] = {}
+        self.older_spaced: dict[str, str] = {}
         self.decimal = {str(i): b for i, b in vocabulary.bytes_of.items()}
 
     def part(self, text: str) -> str:
@@ -181,9 +182,11 @@ class TextEncoder:
         for piece in self.pattern.findall(text):
             ids = self.pieces.get(piece)
             if ids is None:
+                ids = self.older_pieces.get(piece)
+                if ids is None:
+                    ids = ",".join(map(str, self.vocabulary.whole(piece.encode())))
                 if len(self.pieces) > CACHE_ENTRIES:
-                    self.pieces.clear()
-                ids = ",".join(map(str, self.vocabulary.whole(piece.encode())))
+                    self.older_pieces, self.pieces = self.pieces, {}
                 if len(piece) < 64:
                     self.pieces[piece] = ids
             found.append(ids)
@@ -197,13 +200,15 @@ class TextEncoder:
             return ",".join(map(self.part, self.CUT.split(text)))
         first, *words = text.split(" ")
         if len(self.spaced) > CACHE_ENTRIES:
-            self.spaced.clear()
-        known, part = self.spaced, self.part
+            self.older_spaced, self.spaced = self.spaced, {}
+        known, older, part = self.spaced, self.older_spaced, self.part
         found = [part(first)] if first else []
         for word in words:
             ids = known.get(word)
             if ids is None:
-                ids = part(" " + word)
+                ids = older.get(word)
+                if ids is None:
+                    ids = part(" " + word)
                 if len(word) < 64:
                     known[word] = ids
             found.append(ids)
