@@ -119,14 +119,12 @@ def close_pairs(found: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches; alternates large and small stars until nothing changes."""
+    """(node, root): the smallest node that each node of the edges (a, b) reaches; alternates large and small stars until only stars are left."""
     now = materialized(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(rounds):
-        print_of = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if print_of == before or not print_of[0]:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break
-        before = print_of
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -156,8 +154,8 @@ SEGMENT = 24
 SEGMENTS = LONG_WORDS * 64 // SEGMENT
 #: The least certain bits of a segment, each flipped in a probe of its own.
 FLIPS = 3
-#: Random orders of documents; in each segment one of them says whom a table entry's probes meet.
-ORDERS = 2
+#: Passes over the segments, a part of them each; each pass has a random order of documents of its own, which says whom a table entry's probes meet.
+ORDERS = 3
 
 
 def expected_distance(similarity: float, bits: int = LONG_WORDS * 64) -> float:
@@ -206,8 +204,10 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
     Within a table entry every probe is paired with one member, the first in a random order of all
     documents: pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
-    probes it meets several members of its group. Distances far from the threshold decide at once; in between,
-    three standard deviations to either side, the texts' exact similarity does.
+    probes it meets several members of its group. The segments are gone through in ORDERS passes; a pass
+    makes no pair within a group that earlier passes have joined, so none of its links is new.
+    Distances far from the threshold decide at once; in between, three standard deviations to either
+    side, the texts' exact similarity does.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     bits = LONG_WORDS * 64
@@ -221,35 +221,40 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = materialized(source.mapInPandas(run, f"id {kind}, fp binary, weak binary"))
-    # equal fingerprints are one class from here on
-    classes = materialized(rows.groupBy("fp").agg(F.min(F.struct("id", "weak")).alias("m")).select(F.col("m.id").alias("id"), "fp", F.col("m.weak").alias("weak")))
+    # equal fingerprints are one class from here on; group: the smallest id that it is known to reach
+    firsts = rows.groupBy("fp").agg(F.min(F.struct("id", "weak")).alias("m"))
+    classes = materialized(firsts.select(F.col("m.id").alias("id"), "fp", F.col("m.weak").alias("weak"), F.col("m.id").alias("group")))
+    texts_a, texts_b = (source.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
-                keys = long_keys(list(part["fp"]), list(part["weak"])).reshape(len(part), -1)
+                keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :, turn::ORDERS]
                 own = np.zeros(keys.shape, bool)
-                own[:, :SEGMENTS] = True
-                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), keys.shape[1]), "own": own.ravel()})
-
-    probes = classes.where("id is not null").mapInPandas(keyed, f"key long, id {kind}, own boolean")
-    turn = F.pmod(F.shiftright("key", 32), F.lit(ORDERS))
-    member = probes.where("own").groupBy("key").agg(F.min(F.struct(F.xxhash64(turn, "id").alias("h"), F.col("id").alias("other"))).alias("m")).select("key", "m.other")
-    # both sides grow with the documents: their size on disk must not lead to a broadcast
-    pairs = probes.join(member.hint("merge"), "key").where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    a, b = (classes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    apart = sum(F.bit_count(F.conv(F.hex(F.substring("fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
-    measured = materialized(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", apart.alias("distance")).where(F.col("distance") <= middle + slack))
-    texts_a, texts_b = (source.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
+                own[:, 0] = True
+                each = np.repeat(np.arange(len(part)), keys[0].size)
+                yield pd.DataFrame({"key": keys.ravel(), "id": part["id"].to_numpy()[each], "group": part["group"].to_numpy()[each], "own": own.ravel()})
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [jaccard(x, y, words) >= similarity for x, y in zip(batch["text_a"], batch["text_b"])]
-            yield batch.loc[keep, ["a", "b"]]
-
-    unsure = measured.where(F.col("distance") > middle - slack).select("a", "b").join(texts_a.hint("merge"), "a").join(texts_b.hint("merge"), "b")
-    sure = measured.where(F.col("distance") <= middle - slack).select("a", "b")
-    roots = components(sure.unionByName(unsure.mapInPandas(settle, f"a {kind}, b {kind}")))
-    named = classes.join(roots, classes["id"].eqNullSafe(roots["node"]), "left").select("fp", F.coalesce("root", "id").alias("group_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "group_id")
+            yield batch.loc[keep, ["group_a", "group_b"]]
+
+    for turn in range(ORDERS):
+        probes = classes.where("id is not null").mapInPandas(lambda x, turn=turn: keyed(x, turn), f"key long, id {kind}, group {kind}, own boolean")
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("other"), F.col("group").alias("other_group"))).alias("m")
+        member = probes.where("own").groupBy("key").agg(first).select("key", "m.other", "m.other_group")
+        # both sides grow with the documents: their size on disk must not lead to a broadcast
+        met = probes.join(member.hint("merge"), "key").where(F.col("group") != F.col("other_group"))
+        one, two = F.struct("id", "group"), F.struct(F.col("other").alias("id"), F.col("other_group").alias("group"))
+        pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.group").alias("group_a"), F.col("y.group").alias("group_b")).distinct()
+        a, b = (classes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        apart = sum(F.bit_count(F.conv(F.hex(F.substring("fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
+        measured = materialized(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "group_a", "group_b", apart.alias("distance")).where(F.col("distance") <= middle + slack))
+        unsure = measured.where(F.col("distance") > middle - slack).select("a", "b", "group_a", "group_b").join(texts_a.hint("merge"), "a").join(texts_b.hint("merge"), "b")
+        sure = measured.where(F.col("distance") <= middle - slack).select("group_a", "group_b")
+        links = sure.unionByName(unsure.mapInPandas(settle, f"group_a {kind}, group_b {kind}"))
+        roots = components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+        classes = materialized(classes.join(roots, classes["group"] == roots["node"], "left").select("id", "fp", "weak", F.coalesce("root", "group").alias("group")))
+    return rows.join(classes.select("fp", F.col("group").alias("group_id")), "fp").select(F.col("id").alias(id_col), "group_id")

@@ -20,3 +20,21 @@ def test_stages(spark):
     gone = [r for r in docs.collect() if r.doc_id not in left]
     assert all(max(op8_simhash.jaccard(r.text, t, 5) for t in [x.text for x in docs.collect() if x.doc_id != r.doc_id]) >= 0.8 for r in gone)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicate_groups_are_those_of_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, set(h for part in op8_simhash.shingle_hashes(r.text, 5) for h in part.tolist())) for r in docs.collect()]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (i, x) in enumerate(rows):
+        for j, y in rows[:n]:
+            if (len(x & y) >= 0.8 * len(x | y)) if x or y else True:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {r.doc_id: r.group_id for r in op8_simhash.near_duplicate_groups(docs).collect()} == {i: find(i) for i, _ in rows}
