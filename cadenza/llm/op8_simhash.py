@@ -154,7 +154,7 @@ SEGMENT = 24
 SEGMENTS = LONG_WORDS * 64 // SEGMENT
 #: The least certain bits of a segment, each flipped in a probe of its own.
 FLIPS = 3
-#: Passes over the segments, a part of them each; each pass has a random order of documents of its own, which says whom a table entry's probes meet.
+#: Passes over the segments, a part of them each; each pass has an order of documents of its own, which says whom a table entry's probes meet.
 ORDERS = 3
 
 
@@ -202,8 +202,8 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and group_id (the smallest id of its group) for each row.
 
-    Within a table entry every probe is paired with one member, the first in a random order of all
-    documents: pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
+    Within a table entry every probe is paired with one member, the first in an order of all documents
+    (by id, so that most links lead to their group's name at once; later by random numbers): pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
     probes it meets several members of its group. The segments are gone through in ORDERS passes; a pass
     makes no pair within a group that earlier passes have joined, so none of its links is new.
     Distances far from the threshold decide at once; in between, three standard deviations to either
@@ -226,15 +226,17 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     classes = materialized(firsts.select(F.col("m.id").alias("id"), "fp", F.col("m.weak").alias("weak"), F.col("m.id").alias("group")))
     texts_a, texts_b = (source.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
 
-    def keyed(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pd.DataFrame], turn: int, kinds: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
-                keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :, turn::ORDERS]
-                own = np.zeros(keys.shape, bool)
-                own[:, 0] = True
+                keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :kinds, turn::ORDERS]
                 each = np.repeat(np.arange(len(part)), keys[0].size)
-                yield pd.DataFrame({"key": keys.ravel(), "id": part["id"].to_numpy()[each], "group": part["group"].to_numpy()[each], "own": own.ravel()})
+                yield pd.DataFrame({"key": keys.ravel(), "id": part["id"].to_numpy()[each], "group": part["group"].to_numpy()[each]})
+
+    def keys_of(turn: int, kinds: int) -> DataFrame:
+        """The first kinds of keys: 1 has the table's, 1 + FLIPS the probes."""
+        return classes.where("id is not null").mapInPandas(lambda x: keyed(x, turn, kinds), f"key long, id {kind}, group {kind}")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -242,9 +244,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
             yield batch.loc[keep, ["group_a", "group_b"]]
 
     for turn in range(ORDERS):
-        probes = classes.where("id is not null").mapInPandas(lambda x, turn=turn: keyed(x, turn), f"key long, id {kind}, group {kind}, own boolean")
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("other"), F.col("group").alias("other_group"))).alias("m")
-        member = probes.where("own").groupBy("key").agg(first).select("key", "m.other", "m.other_group")
+        probes, place = keys_of(turn, 1 + FLIPS), F.xxhash64(F.lit(turn), "id") if turn else F.lit(0).cast("long")
+        first = F.min(F.struct(place.alias("h"), F.col("id").alias("other"), F.col("group").alias("other_group"))).alias("m")
+        member = keys_of(turn, 1).groupBy("key").agg(first).select("key", "m.other", "m.other_group")
         # both sides grow with the documents: their size on disk must not lead to a broadcast
         met = probes.join(member.hint("merge"), "key").where(F.col("group") != F.col("other_group"))
         one, two = F.struct("id", "group"), F.struct(F.col("other").alias("id"), F.col("other_group").alias("group"))
