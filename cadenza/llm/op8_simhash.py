@@ -199,11 +199,20 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and group_id (the smallest id of its group) for each row.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs written once with a number for each row, that column's name): ids may be null or repeated, numbers are neither."""
+    row = "_row".ljust(1 + max(map(len, docs.columns)), "_")
+    return materialized(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, id and fp of each row; fp, best and group of each different fingerprint).
+
+    best is the class's row that comes first by (id, hash of the text, row), rows without an id last; its
+    number stands for the class, and group is the smallest number that it is known to reach.
 
-    Within a table entry every probe is paired with one member, the first in an order of all documents
-    (by id, so that most links lead to their group's name at once; later by random numbers): pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
+    Within a table entry every probe is paired with one member, the first in an order of all classes
+    (by number, so that most links lead to their group's name at once; later by random numbers): pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
     probes it meets several members of its group. The segments are gone through in ORDERS passes; a pass
     makes no pair within a group that earlier passes have joined, so none of its links is new.
     Distances far from the threshold decide at once; in between, three standard deviations to either
@@ -217,14 +226,14 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [long_fingerprint(t, words) for t in batch["_text"]]
-            yield pd.DataFrame({"id": batch["id"], "fp": [x for x, _ in made], "weak": [x for _, x in made]})
+            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "tie": batch["tie"], "fp": [x for x, _ in made], "weak": [x for _, x in made]})
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    rows = materialized(source.mapInPandas(run, f"id {kind}, fp binary, weak binary"))
-    # equal fingerprints are one class from here on; group: the smallest id that it is known to reach
-    firsts = rows.groupBy("fp").agg(F.min(F.struct("id", "weak")).alias("m"))
-    classes = materialized(firsts.select(F.col("m.id").alias("id"), "fp", F.col("m.weak").alias("weak"), F.col("m.id").alias("group")))
-    texts_a, texts_b = (source.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
+    source = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    rows = materialized(source.withColumn("tie", F.xxhash64("_text")).mapInPandas(run, f"row long, id {kind}, tie long, fp binary, weak binary"))
+    # equal fingerprints are one class from here on
+    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie", "row", "weak")).alias("m"))
+    classes = materialized(firsts.select(F.col("m.row").alias("node"), "fp", F.col("m.weak").alias("weak"), F.struct("m.last", "m.id", "m.tie", "m.row").alias("best"), F.col("m.row").alias("group")))
+    texts_a, texts_b = (source.select(F.col("row").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
 
     def keyed(batches: Iterator[pd.DataFrame], turn: int, kinds: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -232,31 +241,51 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
                 part = batch.iloc[lo : lo + 2000]
                 keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :kinds, turn::ORDERS]
                 each = np.repeat(np.arange(len(part)), keys[0].size)
-                yield pd.DataFrame({"key": keys.ravel(), "id": part["id"].to_numpy()[each], "group": part["group"].to_numpy()[each]})
+                yield pd.DataFrame({"key": keys.ravel(), "node": part["node"].to_numpy()[each], "group": part["group"].to_numpy()[each]})
 
     def keys_of(turn: int, kinds: int) -> DataFrame:
         """The first kinds of keys: 1 has the table's, 1 + FLIPS the probes."""
-        return classes.where("id is not null").mapInPandas(lambda x: keyed(x, turn, kinds), f"key long, id {kind}, group {kind}")
+        return classes.select("node", "fp", "weak", "group").mapInPandas(lambda x: keyed(x, turn, kinds), "key long, node long, group long")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [jaccard(x, y, words) >= similarity for x, y in zip(batch["text_a"], batch["text_b"])]
             yield batch.loc[keep, ["group_a", "group_b"]]
 
-    for turn in range(ORDERS):
-        probes, place = keys_of(turn, 1 + FLIPS), F.xxhash64(F.lit(turn), "id") if turn else F.lit(0).cast("long")
-        first = F.min(F.struct(place.alias("h"), F.col("id").alias("other"), F.col("group").alias("other_group"))).alias("m")
-        member = keys_of(turn, 1).groupBy("key").agg(first).select("key", "m.other", "m.other_group")
-        # both sides grow with the documents: their size on disk must not lead to a broadcast
-        met = probes.join(member.hint("merge"), "key").where(F.col("group") != F.col("other_group"))
-        one, two = F.struct("id", "group"), F.struct(F.col("other").alias("id"), F.col("other_group").alias("group"))
-        pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.group").alias("group_a"), F.col("y.group").alias("group_b")).distinct()
-        a, b = (classes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    def joined(met: DataFrame) -> DataFrame:
+        """The classes, after those pairs (node, group, other, other_group) that are similar have joined their groups."""
+        one, two = F.struct("node", "group"), F.struct(F.col("other").alias("node"), F.col("other_group").alias("group"))
+        pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.group").alias("group_a"), F.col("y.group").alias("group_b")).distinct()
+        a, b = (classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
         apart = sum(F.bit_count(F.conv(F.hex(F.substring("fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
         measured = materialized(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "group_a", "group_b", apart.alias("distance")).where(F.col("distance") <= middle + slack))
         unsure = measured.where(F.col("distance") > middle - slack).select("a", "b", "group_a", "group_b").join(texts_a.hint("merge"), "a").join(texts_b.hint("merge"), "b")
         sure = measured.where(F.col("distance") <= middle - slack).select("group_a", "group_b")
-        links = sure.unionByName(unsure.mapInPandas(settle, f"group_a {kind}, group_b {kind}"))
+        links = sure.unionByName(unsure.select("group_a", "group_b", "text_a", "text_b").mapInPandas(settle, "group_a long, group_b long"))
         roots = components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
-        classes = materialized(classes.join(roots, classes["group"] == roots["node"], "left").select("id", "fp", "weak", F.coalesce("root", "group").alias("group")))
-    return rows.join(classes.select("fp", F.col("group").alias("group_id")), "fp").select(F.col("id").alias(id_col), "group_id")
+        return materialized(classes.join(roots, classes["group"] == roots["node"], "left").select(classes["node"], "fp", "weak", "best", F.coalesce("root", "group").alias("group")))
+
+    for turn in range(ORDERS):
+        probes, place = keys_of(turn, 1 + FLIPS), F.xxhash64(F.lit(turn), "node") if turn else F.lit(0).cast("long")
+        first = F.min(F.struct(place.alias("h"), F.col("node").alias("other"), F.col("group").alias("other_group"))).alias("m")
+        member = keys_of(turn, 1).groupBy("key").agg(first).select("key", "m.other", "m.other_group")
+        # both sides grow with the documents: their size on disk must not lead to a broadcast
+        classes = joined(probes.join(member.hint("merge"), "key").where(F.col("group") != F.col("other_group")))
+    return rows, classes
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and group_id (the smallest non-null id of its group) for each row."""
+    docs, row = numbered(docs)
+    rows, classes = duplicate_classes(docs, row, words, similarity, id_col, text_col)
+    names = classes.groupBy("group").agg(F.min("best").alias("best")).select("group", F.col("best.id").alias("group_id"))
+    named = classes.select("fp", "group").join(names.hint("merge"), "group").select("fp", "group_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "group_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group: that of the smallest non-null id (of several, the first by its text's hash)."""
+    rows, row = numbered(docs)
+    _, classes = duplicate_classes(rows, row, words, similarity, id_col, text_col)
+    first = classes.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)

@@ -24,10 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group: five-word shingles, similarity of 0.8 or more."""
-    groups = op8_simhash.near_duplicate_groups(docs)
-    first = groups.where("doc_id <=> group_id").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The row with the smallest id of each group: five-word shingles, similarity of 0.8 or more. Ids may be null or repeated."""
+    return op8_simhash.without_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_near_duplicate_groups_are_those_of_all_pairs(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert {r.doc_id: r.group_id for r in op8_simhash.near_duplicate_groups(docs).collect()} == {i: find(i) for i, _ in rows}
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Groups decide what stays, not ids: (id, text) of six texts that share nothing, and a near copy."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [(None, a), (None, b), (7, c), (7, d), (3, e), (None, e), (2, e + " tail"), (None, f), (None, f), (9, f), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (2, e + " tail"), (9, f), (None, None)], key=str)
+    groups = sorted(((r.doc_id, r.group_id) for r in op8_simhash.near_duplicate_groups(docs).collect()), key=str)
+    assert groups == sorted([(None, None)] * 3 + [(7, 7)] * 2 + [(3, 2), (None, 2), (2, 2)] + [(None, 9)] * 2 + [(9, 9)], key=str)
