@@ -156,6 +156,10 @@ SEGMENTS = LONG_WORDS * 64 // SEGMENT
 FLIPS = 3
 #: Passes over the segments, a part of them each; each pass has an order of documents of its own, which says whom a table entry's probes meet.
 ORDERS = 3
+#: After the passes: rows of a side that meet in one block of a table entry.
+BLOCK = 2000
+#: More table entries with several groups than this are joined by shuffle, not broadcast.
+MAX_BROADCAST_KEYS = 200_000
 
 
 def expected_distance(similarity: float, bits: int = LONG_WORDS * 64) -> float:
@@ -215,6 +219,8 @@ def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: flo
     (by number, so that most links lead to their group's name at once; later by random numbers): pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
     probes it meets several members of its group. The segments are gone through in ORDERS passes; a pass
     makes no pair within a group that earlier passes have joined, so none of its links is new.
+    Afterwards the entries with several members are gone through again, all segments: every probe meets
+    every member of another group, so that all pairs that share an entry are joined or compared.
     Distances far from the threshold decide at once; in between, three standard deviations to either
     side, the texts' exact similarity does.
     """
@@ -235,13 +241,18 @@ def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: flo
     classes = materialized(firsts.select(F.col("m.row").alias("node"), "fp", F.col("m.weak").alias("weak"), F.struct("m.last", "m.id", "m.tie", "m.row").alias("best"), F.col("m.row").alias("group")))
     texts_a, texts_b = (source.select(F.col("row").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
 
-    def keyed(batches: Iterator[pd.DataFrame], turn: int, kinds: int) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pd.DataFrame], turn: int | None, kinds: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
-                keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :kinds, turn::ORDERS]
+                keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :kinds]
+                keys = keys if turn is None else keys[:, :, turn::ORDERS]
                 each = np.repeat(np.arange(len(part)), keys[0].size)
-                yield pd.DataFrame({"key": keys.ravel(), "node": part["node"].to_numpy()[each], "group": part["group"].to_numpy()[each]})
+                out = pd.DataFrame({"key": keys.ravel(), "node": part["node"].to_numpy()[each], "group": part["group"].to_numpy()[each]})
+                if turn is None:
+                    sketch = np.frombuffer(b"".join(x[-8:] for x in part["fp"]), np.int64)
+                    out = out.assign(sketch=sketch[each], member=np.tile(np.repeat(np.arange(kinds) == 0, SEGMENTS), len(part)))
+                yield out
 
     def keys_of(turn: int, kinds: int) -> DataFrame:
         """The first kinds of keys: 1 has the table's, 1 + FLIPS the probes."""
@@ -271,7 +282,37 @@ def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: flo
         member = keys_of(turn, 1).groupBy("key").agg(first).select("key", "m.other", "m.other_group")
         # both sides grow with the documents: their size on disk must not lead to a broadcast
         classes = joined(probes.join(member.hint("merge"), "key").where(F.col("group") != F.col("other_group")))
-    return rows, classes
+    every = classes.select("node", "fp", "weak", "group").mapInPandas(lambda x: keyed(x, None, 1 + FLIPS), "key long, node long, group long, sketch long, member boolean")
+    return rows, joined(met_in_blocks(every, middle / bits))
+
+
+def met_in_blocks(every: DataFrame, share: float) -> DataFrame:
+    """(node, group, other, other_group): each probe with each member of its table entry that is of another group.
+
+    every: key, node, group, sketch, member (of the entry, and not only a probe). An entry with one member
+    is left out: the passes have compared it with all its probes. The entry's largest group meets the
+    others and not itself, so time is in proportion to pairs of different groups even if a group fills
+    the entry; an entry's pairs are made in blocks of BLOCK rows a side. Pairs whose sketches (64 bits of
+    the fingerprint, share of which differ at the threshold) are five standard deviations apart are strangers.
+    """
+    several = materialized(every.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count_if("member").alias("members")).where("lo != hi and members > 1").select("key"))
+    live = materialized(every.join(F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several.hint("merge"), "key", "left_semi"))
+    counts = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("member").alias("m"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "group", "m")).alias("big"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # way 0: probes of the smaller groups and all members; way 1: probes of the largest group and members of the smaller ones
+    blocks = lambda a, b: F.array(F.ceil(a / BLOCK), F.ceil(b / BLOCK))
+    sized = live.join(sizes.select("key", F.col("big.group").alias("big"), blocks(F.col("n") - F.col("big.n"), F.col("big.n")).alias("left"), blocks(F.col("m"), F.col("m") - F.col("big.m")).alias("right")).hint("merge"), "key")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.element_at(of, F.col("way") + 1))
+    copies = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(of, F.col("way") + 1) - 1))
+    used = "element_at(left, way + 1) > 0 and element_at(right, way + 1) > 0"
+    probes = sized.withColumn("way", (F.col("group") == F.col("big")).cast("int")).where(used)
+    probes = probes.select("key", "way", block(F.col("left")).alias("x"), copies(F.col("right")).alias("y"), "node", "group", "sketch")
+    members = sized.where("member").withColumn("way", F.explode(F.when(F.col("group") == F.col("big"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).where(used)
+    members = members.select("key", "way", copies(F.col("left")).alias("x"), block(F.col("right")).alias("y"), F.col("node").alias("other"), F.col("group").alias("other_group"), F.col("sketch").alias("other_sketch"))
+    cut = int(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
+    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= cut
+    met = probes.join(members.hint("merge"), ["key", "way", "x", "y"]).where((F.col("group") != F.col("other_group")) & near)
+    return met.select("node", "group", "other", "other_group")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 """Each stage against what it should keep, at sf0.001."""
 
+import numpy as np
+
 import corpus_pipeline
 from cadenza.llm import op8_simhash
 
@@ -49,3 +51,35 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (2, e + " tail"), (9, f), (None, None)], key=str)
     groups = sorted(((r.doc_id, r.group_id) for r in op8_simhash.near_duplicate_groups(docs).collect()), key=str)
     assert groups == sorted([(None, None)] * 3 + [(7, 7)] * 2 + [(3, 2), (None, 2), (2, 2)] + [(None, 9)] * 2 + [(9, 9)], key=str)
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    """400 documents whose similarity with each other is 0.7, too little, but for 200 pairs of 0.8: most table entries hold many groups."""
+    common = [f"c{i}" for i in range(169)]
+    own = lambda n: [f"o{n // 2}.{i}" for i in range(13)] + [f"p{n}.{i}" for i in range(22)]
+    rows = [(n, " ".join(common + own(n))) for n in range(400)]
+    assert op8_simhash.jaccard(rows[0][1], rows[1][1], 5) >= 0.8 > 0.71 > op8_simhash.jaccard(rows[1][1], rows[2][1], 5)
+    fps, weak = zip(*(op8_simhash.long_fingerprint(t, 5) for _, t in rows))
+    keys = op8_simhash.long_keys(list(fps), list(weak))
+    meet = [bool(np.isin(keys[a], keys[b, 0]).any() or np.isin(keys[b], keys[a, 0]).any()) for a, b in zip(range(0, 400, 2), range(1, 400, 2))]
+    apart = [bin(int.from_bytes(fps[a]) ^ int.from_bytes(fps[a + 1])).count("1") for a in range(0, 400, 2)]
+    middle = op8_simhash.expected_distance(0.8)
+    found = {2 * n for n in range(200) if meet[n] and apart[n] <= middle + 3 * (middle * (1 - middle / 1024)) ** 0.5}
+    groups = {r.doc_id: r.group_id for r in op8_simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    joined = {n for n in range(0, 400, 2) if groups[n + 1] == n}
+    print(f"pairs that share an entry: {sum(meet)}, and are near enough: {len(found)}, joined: {len(joined)} of 200")
+    assert joined == found and len(found) >= 190
+    assert all(groups[n] in (n, n - n % 2) for n in groups)
+
+
+def test_blocks_make_each_pair_of_different_groups_once(spark, monkeypatch):
+    monkeypatch.setattr(op8_simhash, "BLOCK", 3)
+    monkeypatch.setattr(op8_simhash, "MAX_BROADCAST_KEYS", 1)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), n, n if rng.random() < 0.5 else -1, 0, bool(rng.random() < 0.6)) for k in range(12) for n in range(25)]
+    rows += [(99, 0, 0, 0, True), (99, 1, 1, 0, False), (98, 0, 0, 0, True), (98, 1, 0, 0, True)]
+    want = sorted((k, a, b) for k, a, ga, _, _ in rows for l, b, gb, _, m in rows if k == l < 99 and m and ga != gb)
+    every = spark.createDataFrame(rows, "key long, node long, group long, sketch long, member boolean")
+    got = sorted((r.node, r.group, r.other, r.other_group) for r in op8_simhash.met_in_blocks(every, 0.15).collect())
+    group = {(k, n): g for k, n, g, _, _ in rows}
+    assert got == sorted((a, group[k, a], b, group[k, b]) for k, a, b in want)
