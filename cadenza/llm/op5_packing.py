@@ -4,11 +4,13 @@ Every source is a queue of tokens. A window of ``window_sequences`` sequences ta
 the whole tokens that its share entitles it to so far; the fraction it could not take (its deficit)
 is carried into the next window. As the deficit after any number of windows follows from the shares
 alone, each partition computes it for the windows that its documents fall into: nothing is handed
-from task to task, and no queue passes through one task.
+from task to task, and no queue passes through one task. Queues of less than a token a window take turns:
+together they are one queue, over which each one's tokens are spread.
 
 Steps: tokenize once and write the ids to a shared table; sum tokens by (partition, source), prefix
-sums give every document its place in its queue; a second scan of the table cuts documents at window
-and sequence borders. Ids are never shuffled.
+sums give every document its place in its queue, and every queue its place among the queues (there is
+one for each source, however many); a second scan of the table cuts documents at window and sequence
+borders. Ids are not shuffled unless there are more than MAX_BROADCAST_ROWS of those sums.
 
 Defined results: a null text is an empty text (its only token is the end id); a null source is a
 queue of its own; repeated rows are packed as often as they occur; an empty table gives no rows.
@@ -17,6 +19,7 @@ queue of its own; repeated rows are packed as often as they occur; an empty tabl
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import zlib
@@ -34,8 +37,8 @@ from cadenza.llm.store import materialized
 
 #: Distinct words of a generation: a worker remembers the words of this one and, until it fills up, of the one before.
 CACHE_ENTRIES = 600_000
-#: More sources than this share queues by hash, so that what the driver holds stays bounded.
-MAX_QUEUES = 1000
+#: Slices of the table of queues, whose sums the driver adds up.
+SLICES = 64
 #: More rows of (partition, source) than this are joined by shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -168,6 +171,8 @@ class Phase:
 def plan_phases(totals: dict[str, int], weights: dict[str, float] | None) -> list[Phase]:
     """Phases in order. Without weights the queues' own sizes are the target, and one phase serves all.
 
+    The driver plans queues with a weight only (pack): as many as the caller lists, in space quadratic in that.
+
     With weights, a phase ends when a queue runs dry; the others go on in their proportions. Queues
     without a weight are served after all others.
     """
@@ -218,41 +223,79 @@ def place(phases: list[Phase], queue: str, start: int, length: int, window: int,
     return pieces
 
 
+@lru_cache(maxsize=64)
+def spread(below: int, amount: int, whole: int) -> list[int]:
+    """The places of a small queue's tokens, in order, among those of all small queues: golden-ratio steps, so that they are far apart; those of different queues differ."""
+    step = next(x for x in range(max(1, int(whole * 0.6180339887498949)), 2 * whole + 2) if math.gcd(x, whole) == 1)
+    return sorted((below + j) * step % whole for j in range(amount))
+
+
+def place_small(phase: Phase, below: int, amount: int, start: int, length: int, window: int, sequence: int) -> list[tuple[int, int, int]]:
+    """As place, for a queue of less than a token a window; the phase has all such queues as its first, named small."""
+    places, whole = spread(below, amount, phase.amounts["small"]), []
+    for done in range(length):
+        whole += [(done, n, slot) for _, n, slot in place([phase], "small", places[start + done], 1, window, sequence)]
+    return whole
+
+
+def in_one_phase(totals: DataFrame, window: int) -> tuple[DataFrame, int, int]:
+    """(queue, amount, below of each queue, where all are served in proportion to their sizes; tokens of all; tokens of small queues).
+
+    Small queues, of less than a token a window, come first. Sums run within slices of the ordered
+    queues; the driver holds one number a slice.
+    """
+    tokens = totals.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("n")).first()["n"]
+    ranked = totals.withColumn("large", F.col("amount").cast("decimal(38)") * window >= tokens)
+    sliced = materialized(ranked.repartitionByRange(SLICES, "large", "queue").withColumn("slice", F.spark_partition_id()))
+    slices = sliced.groupBy("slice").agg(F.sum("amount").alias("n"), F.coalesce(F.sum(F.expr("if(large, 0, amount)")), F.lit(0)).alias("small")).orderBy("slice").collect()
+    base, below = [], 0
+    for r in slices:
+        base.append((r["slice"], below))
+        below += r["n"]
+    before = Window.partitionBy("slice").orderBy("large", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sliced.sparkSession.createDataFrame(base, "slice int, slice_base long")
+    summed = sliced.withColumn("below", F.coalesce(F.sum("amount").over(before), F.lit(0))).join(F.broadcast(bases), "slice")
+    return summed.select("queue", "amount", (F.col("slice_base") + F.col("below")).alias("below")), tokens, sum(r["small"] for r in slices)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048, window_sequences: int = 16, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (and ids).
 
     weights: target share of tokens by source value; None: the corpus's own shares, held in every window.
     """
     table = materialized(tokenized(docs, tokenizer_path, end_id, id_col, text_col, source_col))
-    if table.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        if weights is not None:
-            raise ValueError(f"weights are for at most {MAX_QUEUES} sources")
-        shared = F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-        table = table.withColumn("part_start", F.col("part_start")).withColumn("source_queue", F.col("queue")).withColumn("queue", shared)
-    else:
-        table = table.withColumn("source_queue", F.col("queue"))
-    sums = table.groupBy("queue", "source_queue", "part").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.partitionBy("queue").orderBy("part", "source_queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialized(sums.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("source_queue", "part", "queue", "base", "tokens"))
-    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("tokens").alias("n")).collect()}  # MAX_QUEUES rows at most
-    phases = plan_phases(totals, None if weights is None else {f"s:{k}": v for k, v in weights.items()})
-    small = bases.drop("queue", "tokens")
-    small = F.broadcast(small) if bases.count() <= MAX_BROADCAST_ROWS else small
-    placed = table.join(small, ["source_queue", "part"])
+    sums = table.groupBy("queue", "part").agg(F.sum("n_tokens").alias("tokens"))
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = materialized(sums.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("queue", "part", "base", "tokens"))
+    totals, listed = bases.groupBy("queue").agg(F.sum("tokens").alias("amount")), {f"s:{k}": float(v) for k, v in (weights or {}).items() if v > 0}
+    # queues with a weight, as many as the caller lists, are planned here; the others are served after them, in one phase
+    names = F.broadcast(docs.sparkSession.createDataFrame([(q,) for q in listed], "queue string"))
+    phases = plan_phases({r["queue"]: r["amount"] for r in totals.join(names, "queue", "left_semi").collect()}, listed) if listed else []
+    start = sum(p.length for p in phases)
     window = sequence * window_sequences
+    others, length, in_small = in_one_phase(totals.join(names, "queue", "left_anti"), window)
+    small = materialized(bases.join(others, "queue", "left").select("queue", "part", "base", "amount", "below"))
+    small = F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
+    placed = table.join(small, ["queue", "part"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stored = word_tokenizer(tokenizer_path).type
         for batch in batches:
             out = []
-            for key, queue, start, n, raw in zip(batch[id_col], batch["queue"], batch["base"] + batch["part_start"], batch["n_tokens"], batch["ids"]):
+            for key, queue, at, n, raw, amount, below in zip(batch[id_col], batch["queue"], batch["base"] + batch["part_start"], batch["n_tokens"], batch["ids"], batch["amount"], batch["below"]):
                 ids = np.frombuffer(raw, stored).astype("<u4")
-                for done, length, slot in place(phases, queue, int(start), int(n), window, sequence):
-                    piece = ids[done : done + length].tobytes()
-                    out.append((key, done, length, zlib.crc32(piece), n, slot // sequence, slot % sequence, queue, piece))
+                if amount < 0:
+                    pieces = place(phases, queue, int(at), int(n), window, sequence)
+                elif below < in_small:
+                    pieces = place_small(Phase(start, length, {}, {"small": 0}, {"small": in_small}), int(below), int(amount), int(at), int(n), window, sequence)
+                else:
+                    pieces = place([Phase(start, length, {}, {queue: int(below)}, {queue: int(amount)})], queue, int(at), int(n), window, sequence)
+                for done, size, slot in pieces:
+                    piece = ids[done : done + size].tobytes()
+                    out.append((key, done, size, zlib.crc32(piece), n, slot // sequence, slot % sequence, queue, piece))
             found = pd.DataFrame(out, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
             yield found if with_ids else found.drop(columns="ids")
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return placed.select(id_col, "queue", "base", "part_start", "n_tokens", "ids").mapInPandas(cut, schema + ", ids binary" * with_ids)
+    return placed.select(id_col, "queue", "base", "part_start", "n_tokens", "ids", F.coalesce("amount", F.lit(-1)).alias("amount"), F.coalesce("below", F.lit(-1)).alias("below")).mapInPandas(cut, schema + ", ids binary" * with_ids)

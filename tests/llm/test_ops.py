@@ -191,6 +191,26 @@ def roots_of(ids, links):
     return {i: find(i) for i in ids}
 
 
+def test_op5_keeps_a_queue_for_each_of_many_sources(spark):
+    """1,100 sources of 4 documents, in order of their sources, and one large source; the same with weights."""
+    rows = [(4 * n + i, f"w{n} x", f"src{n:04}") for n in range(1100) for i in range(4)] + [(5000 + i, "a b c d e f", "large") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(3, "doc_id")
+    found = op5_packing.pack(docs, PIECES, 1, sequence=64, window_sequences=16).toPandas()
+    assert found.queue.nunique() == 1101 and set(found.queue) == {f"s:{s}" for _, _, s in rows}
+    found["window"] = found.sequence_id // 16
+    total, last = found.length.sum(), found.window.max()
+    for _, part in found.groupby("queue"):
+        sums = part.groupby("window").length.sum().reindex(range(last), fill_value=0)
+        assert (abs(sums - part.length.sum() / total * 1024) < 2).all()
+    for weights in (None, {"src0007": 0.5, "large": 0.5}):
+        got = op5_packing.pack(docs, PIECES, 1, sequence=64, window_sequences=16, weights=weights).toPandas().sort_values(["sequence_id", "offset"])
+        slots = got.sequence_id * 64 + got.offset
+        assert (slots.to_numpy() == np.concatenate([[0], np.cumsum(got.length)[:-1]])).all() and got.length.sum() == total
+        assert got.groupby("doc_id").length.sum().equals(found.groupby("doc_id").length.sum())
+    first = got[got.sequence_id * 64 + got.offset < got[got.queue.isin(["s:src0007", "s:large"])].length.sum()]
+    assert set(first.queue) == {"s:src0007", "s:large"}
+
+
 def test_op8(docs, empty):
     prints = {}
     for key, t in texts(docs):
