@@ -9,7 +9,8 @@ Two settings share this:
 
 * ``link_close``: 64-bit fingerprints, every pair within two bits is found (proof at ``exact_keys``).
 * ``near_duplicate_groups``: long fingerprints of five-word shingles, whose distance estimates Jaccard
-  similarity; pairs near the threshold are settled by their exact similarity.
+  similarity; pairs near the threshold are settled by their exact similarity. Short texts, whose
+  fingerprints say less, also have keys by which every similar pair of them meets.
 
 Defined results: a null text is an empty text; texts without words have fingerprint zero and link to
 each other. Ties and repeated rows share a fingerprint and so a component. A null id is kept and has
@@ -20,13 +21,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.arrow import kept_with, mapped
 from cadenza.llm.store import materialized
 
 #: Shingles hashed at a time: bounds memory for very long texts.
@@ -61,19 +65,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fp (long): a bit is 1 if over half of the shingles' hashes have it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.zeros(len(batch), np.int64)
-            for row, text in enumerate(batch["_text"]):
-                counts, n = np.zeros(64, np.int64), 0
-                for hashes in shingle_hashes(text, words):
-                    counts += bit_counts(hashes[:, None])
-                    n += len(hashes)
-                out[row] = np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]
-            yield pd.DataFrame({id_col: batch[id_col], "fp": out})
+    def made(texts: list) -> dict:
+        out = np.zeros(len(texts), np.int64)
+        for row, text in enumerate(texts):
+            counts, n = np.zeros(64, np.int64), 0
+            for hashes in shingle_hashes(text, words):
+                counts += bit_counts(hashes[:, None])
+                n += len(hashes)
+            out[row] = np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]
+        return {"fp": out}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, fp long")
+    return mapped(kept_with(docs, [id_col], text=F.col(text_col)), ["text"], {"fp": "long"}, made).select("kept.*", "fp")
 
 
 def exact_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +121,20 @@ def close_pairs(found: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches; alternates large and small stars until only stars are left."""
+    """(node, root): the smallest node that each node of the edges (a, b) reaches; alternates large and small stars until only stars are left.
+
+    The least neighbours come from partial aggregates and are written, so that both sides of their join
+    are plain exchanges: Spark splits a star's centre over several tasks.
+    """
     now = materialized(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialized(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = materialized(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = materialized(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = materialized(small.where("a != b").distinct())
     else:
@@ -139,31 +145,33 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def link_close(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id (the smallest id reachable over links of at most distance bits) for each row."""
     rows = materialized(fingerprints(docs, words, id_col, text_col))
-    classes = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    classes = materialized(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(close_pairs(classes, distance))
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.where("root != fp").join(whole, "root").select("fp", "component_id").unionByName(joined.where("root = fp").join(whole, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    joined = materialized(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    whole = materialized(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    return rows.join(joined.join(whole, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
 # Long fingerprints: near-duplicates by Jaccard similarity.
 
-LONG_WORDS = 16
+LONG_WORDS = 32
 SEGMENT = 24
-SEGMENTS = LONG_WORDS * 64 // SEGMENT
+#: Keys come from the first half of the bits; the whole fingerprint decides.
+SEGMENTS = LONG_WORDS * 64 // 2 // SEGMENT
 #: The least certain bits of a segment, each flipped in a probe of its own.
 FLIPS = 3
-#: Passes over the segments, a part of them each; each pass has an order of documents of its own, which says whom a table entry's probes meet.
-ORDERS = 3
-#: After the passes: rows of a side that meet in one block of a table entry.
+#: Segments of the first pass, which joins most of a crowd before its members meet each other.
+FIRST_SEGMENTS = 4
+#: Texts of at most so many different shingles also have keys by which every similar pair of them meets.
+SHORT = 30
+#: Rows of a side that meet in one block of a table entry.
 BLOCK = 2000
-#: More table entries with several groups than this are joined by shuffle, not broadcast.
-MAX_BROADCAST_KEYS = 200_000
+#: More keys than this are joined by shuffle, not broadcast.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def expected_distance(similarity: float, bits: int = LONG_WORDS * 64) -> float:
-    """Bits that differ, on average, at a Jaccard similarity of two sets of one size."""
+    """Bits that differ, on average, at a Jaccard similarity of two large sets of one size."""
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
@@ -175,21 +183,33 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def long_fingerprint(text: str | None, words: int) -> tuple[bytes, bytes]:
-    """(fingerprint, places of each segment's least certain bits); each different shingle votes once."""
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text."""
     slices = list(shingle_hashes(text, words))
-    hashes = np.unique(np.concatenate(slices)) if slices else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(slices)) if slices else np.zeros(0, np.uint64)
+
+
+def long_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(LONG_WORDS 64-bit words, places of each segment's least certain bits); each different shingle votes once."""
     votes = np.zeros(LONG_WORDS * 64, np.int64)
     for lo in range(0, len(hashes), 4096):
         votes += bit_counts(_spread(hashes[lo : lo + 4096]))
     margin = np.abs(2 * votes - len(hashes))[: SEGMENTS * SEGMENT].reshape(SEGMENTS, SEGMENT)
     weak = np.argsort(margin, axis=1, kind="stable")[:, :FLIPS].astype(np.uint8)
-    return np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), weak.tobytes()
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64), weak.tobytes()
 
 
-def long_keys(fps: list[bytes], weak: list[bytes]) -> np.ndarray:
+def short_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a text of few shingles, those of which similar ones must have one in common: its smallest hashes, as negative keys."""
+    if not 0 < len(hashes) <= SHORT:
+        return np.zeros(0, np.int64)
+    some = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return (hashes[:some] | np.uint64(1 << 63)).view(np.int64)
+
+
+def long_keys(fps: np.ndarray, weak: list[bytes]) -> np.ndarray:
     """(n, 1 + FLIPS, SEGMENTS): keys of the segments, then of the segments with one weak bit flipped."""
-    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(fps[:, : LONG_WORDS // 2]).view(np.uint8), axis=1, bitorder="little")
     bits = bits[:, : SEGMENTS * SEGMENT].reshape(len(fps), SEGMENTS, SEGMENT)
     value = (bits.astype(np.int64) << np.arange(SEGMENT)).sum(2)
     flips = np.int64(1) << np.frombuffer(b"".join(weak), np.uint8).reshape(len(fps), SEGMENTS, FLIPS).astype(np.int64)
@@ -198,7 +218,7 @@ def long_keys(fps: list[bytes], weak: list[bytes]) -> np.ndarray:
 
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
-    x, y = (np.unique(np.concatenate(list(shingle_hashes(t, words)) or [np.zeros(0, np.uint64)])) for t in (a, b))
+    x, y = distinct_shingles(a, words), distinct_shingles(b, words)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -209,93 +229,123 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialized(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Distances, in bits, of pairs of the similarity that is asked for: all but one in a thousand lie between sure and far."""
+
+    sure: float
+    far: float
+    #: As far, for two short texts: their sizes' parity puts them further apart than large sets.
+    short_far: float
+    #: As far and short_far (four deviations), of the 64 bits of a sketch.
+    sketch: int
+    short_sketch: int
+
+    @classmethod
+    def of(cls, similarity: float) -> Limits:
+        bits, middle = LONG_WORDS * 64, expected_distance(similarity)
+        share, short = middle / bits, 1.25 * middle / bits
+        off = lambda p, n, times: n * p + times * math.sqrt(n * p * (1 - p))
+        return cls(off(share, bits, -3), off(share, bits, 3), off(short, bits, 4), int(off(share, 64, 4)), int(off(short, 64, 4)))
+
+
+def bits_apart(a: str, b: str) -> Column:
+    """Between the fingerprints in two columns."""
+    return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(LONG_WORDS))
+
+
 def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(row, id and fp of each row; fp, best and group of each different fingerprint).
 
     best is the class's row that comes first by (id, hash of the text, row), rows without an id last; its
-    number stands for the class, and group is the smallest number that it is known to reach.
-
-    Within a table entry every probe is paired with one member, the first in an order of all classes
-    (by number, so that most links lead to their group's name at once; later by random numbers): pairs stay in proportion to documents, and as each document has SEGMENTS * (1 + FLIPS)
-    probes it meets several members of its group. The segments are gone through in ORDERS passes; a pass
-    makes no pair within a group that earlier passes have joined, so none of its links is new.
-    Afterwards the entries with several members are gone through again, all segments: every probe meets
-    every member of another group, so that all pairs that share an entry are joined or compared.
-    Distances far from the threshold decide at once; in between, three standard deviations to either
-    side, the texts' exact similarity does.
+    number stands for the class, and group is the smallest number that it reaches.
+
+    First every probe of a few segments meets one member of its table entry, that of the smallest number:
+    pairs stay in proportion to documents, and what they join is one group from then on. Then all
+    segments: every probe meets every member of another group, so that all pairs that share an entry are
+    joined or compared. Distances far from the threshold decide at once; in between, three standard
+    deviations to either side, the texts' exact similarity does.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    bits = LONG_WORDS * 64
-    middle = expected_distance(similarity)
-    slack = 3 * math.sqrt(middle * (1 - middle / bits))
+    limits = Limits.of(similarity)
+    own = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [long_fingerprint(t, words) for t in batch["_text"]]
-            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "tie": batch["tie"], "fp": [x for x, _ in made], "weak": [x for _, x in made]})
+    def made(texts: list) -> dict:
+        found = [distinct_shingles(t, words) for t in texts]
+        prints = [long_fingerprint(x) for x in found]
+        return {"fp": [fp.tolist() for fp, _ in prints], "weak": [w for _, w in prints], "short": [short_keys(x, similarity).tolist() for x in found]}
 
-    source = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    rows = materialized(source.withColumn("tie", F.xxhash64("_text")).mapInPandas(run, f"row long, id {kind}, tie long, fp binary, weak binary"))
+    rows = materialized(mapped(own, ["text"], {"fp": "array<long>", "weak": "binary", "short": "array<long>"}, made))
     # equal fingerprints are one class from here on
-    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie", "row", "weak")).alias("m"))
-    classes = materialized(firsts.select(F.col("m.row").alias("node"), "fp", F.col("m.weak").alias("weak"), F.struct("m.last", "m.id", "m.tie", "m.row").alias("best"), F.col("m.row").alias("group")))
-    texts_a, texts_b = (source.select(F.col("row").alias(x), F.col("_text").alias(f"text_{x}")) for x in "ab")
-
-    def keyed(batches: Iterator[pd.DataFrame], turn: int | None, kinds: int) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.iloc[lo : lo + 2000]
-                keys = long_keys(list(part["fp"]), list(part["weak"]))[:, :kinds]
-                keys = keys if turn is None else keys[:, :, turn::ORDERS]
-                each = np.repeat(np.arange(len(part)), keys[0].size)
-                out = pd.DataFrame({"key": keys.ravel(), "node": part["node"].to_numpy()[each], "group": part["group"].to_numpy()[each]})
-                if turn is None:
-                    sketch = np.frombuffer(b"".join(x[-8:] for x in part["fp"]), np.int64)
-                    out = out.assign(sketch=sketch[each], member=np.tile(np.repeat(np.arange(kinds) == 0, SEGMENTS), len(part)))
-                yield out
-
-    def keys_of(turn: int, kinds: int) -> DataFrame:
-        """The first kinds of keys: 1 has the table's, 1 + FLIPS the probes."""
-        return classes.select("node", "fp", "weak", "group").mapInPandas(lambda x: keyed(x, turn, kinds), "key long, node long, group long")
+    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie", "row", "weak", "short")).alias("m"))
+    classes = materialized(firsts.select(F.col("m.row").alias("node"), "fp", F.col("m.weak").alias("weak"), F.col("m.short").alias("short"), F.struct("m.last", "m.id", "m.tie", "m.row").alias("best"), F.col("m.row").alias("group")))
+    texts = docs.select(F.col(row_col).alias("node"), F.col(text_col).alias("text"))
+
+    def keys_of(segments: int, kinds: int) -> DataFrame:
+        """key, node, group, sketch, short, member: the keys of the first segments; member for the table's, else a probe's."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, len(batch), 2000):
+                    part = batch.slice(lo, 2000)
+                    fps = np.stack(part["fp"].to_numpy(zero_copy_only=False))
+                    keys = long_keys(fps, part["weak"].to_pylist())[:, :kinds, :segments].reshape(len(fps), -1)
+                    extra = part["short"].to_pylist()
+                    each = np.concatenate([np.repeat(np.arange(len(fps)), keys.shape[1]), np.repeat(np.arange(len(fps)), [len(x) for x in extra])])
+                    few = np.zeros(len(each), bool)
+                    few[keys.size :] = True
+                    member = np.concatenate([np.tile(np.arange(keys.shape[1]) < segments, len(fps)), few[keys.size :]])
+                    flat = np.concatenate([keys.ravel(), np.array([x for one in extra for x in one], np.int64)])
+                    columns = [flat, part["node"].to_numpy()[each], part["group"].to_numpy()[each], fps[each, LONG_WORDS // 2], few, member]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "group", "sketch", "short", "member"])
+
+        return classes.select("node", "fp", "weak", "short", "group").mapInArrow(run, "key long, node long, group long, sketch long, short boolean, member boolean")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [jaccard(x, y, words) >= similarity for x, y in zip(batch["text_a"], batch["text_b"])]
-            yield batch.loc[keep, ["group_a", "group_b"]]
-
-    def joined(met: DataFrame) -> DataFrame:
-        """The classes, after those pairs (node, group, other, other_group) that are similar have joined their groups."""
-        one, two = F.struct("node", "group"), F.struct(F.col("other").alias("node"), F.col("other_group").alias("group"))
-        pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.group").alias("group_a"), F.col("y.group").alias("group_b")).distinct()
-        a, b = (classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-        apart = sum(F.bit_count(F.conv(F.hex(F.substring("fp_a", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 8 * i + 1, 8)), 16, -10).cast("long"))) for i in range(LONG_WORDS))
-        measured = materialized(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "group_a", "group_b", apart.alias("distance")).where(F.col("distance") <= middle + slack))
-        unsure = measured.where(F.col("distance") > middle - slack).select("a", "b", "group_a", "group_b").join(texts_a.hint("merge"), "a").join(texts_b.hint("merge"), "b")
-        sure = measured.where(F.col("distance") <= middle - slack).select("group_a", "group_b")
-        links = sure.unionByName(unsure.select("group_a", "group_b", "text_a", "text_b").mapInPandas(settle, "group_a long, group_b long"))
-        roots = components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
-        return materialized(classes.join(roots, classes["group"] == roots["node"], "left").select(classes["node"], "fp", "weak", "best", F.coalesce("root", "group").alias("group")))
-
-    for turn in range(ORDERS):
-        probes, place = keys_of(turn, 1 + FLIPS), F.xxhash64(F.lit(turn), "node") if turn else F.lit(0).cast("long")
-        first = F.min(F.struct(place.alias("h"), F.col("node").alias("other"), F.col("group").alias("other_group"))).alias("m")
-        member = keys_of(turn, 1).groupBy("key").agg(first).select("key", "m.other", "m.other_group")
-        # both sides grow with the documents: their size on disk must not lead to a broadcast
-        classes = joined(probes.join(member.hint("merge"), "key").where(F.col("group") != F.col("other_group")))
-    every = classes.select("node", "fp", "weak", "group").mapInPandas(lambda x: keyed(x, None, 1 + FLIPS), "key long, node long, group long, sketch long, member boolean")
-    return rows, joined(met_in_blocks(every, middle / bits))
-
-
-def met_in_blocks(every: DataFrame, share: float) -> DataFrame:
-    """(node, group, other, other_group): each probe with each member of its table entry that is of another group.
-
-    every: key, node, group, sketch, member (of the entry, and not only a probe). An entry with one member
-    is left out: the passes have compared it with all its probes. The entry's largest group meets the
-    others and not itself, so time is in proportion to pairs of different groups even if a group fills
-    the entry; an entry's pairs are made in blocks of BLOCK rows a side. Pairs whose sketches (64 bits of
-    the fingerprint, share of which differ at the threshold) are five standard deviations apart are strangers.
+            keep = [jaccard(x, y, words) >= similarity for x, y in zip(batch["text"], batch["other_text"])]
+            yield batch.loc[keep, ["group", "other_group"]]
+
+    def joined(measured: DataFrame) -> DataFrame:
+        """The classes, after those pairs (node, group, other, other_group, distance) that are similar have joined their groups."""
+        unsure = measured.where(F.col("distance") > limits.sure)
+        asked = materialized(unsure.select("node").union(unsure.select("other")).distinct())
+        picked = texts.join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST_KEYS else asked.hint("merge"), "node", "left_semi")
+        read = unsure.join(picked.hint("merge"), "node").join(picked.select(F.col("node").alias("other"), F.col("text").alias("other_text")).hint("merge"), "other")
+        links = measured.where(F.col("distance") <= limits.sure).select("group", "other_group").unionByName(read.select("group", "other_group", "text", "other_text").mapInPandas(settle, "group long, other_group long"))
+        roots = components(links.select(F.col("group").alias("a"), F.col("other_group").alias("b")))
+        return materialized(classes.join(roots, classes["group"] == roots["node"], "left").select(classes["node"], "fp", "weak", "short", "best", F.coalesce("root", "group").alias("group")))
+
+    probes, members = keys_of(FIRST_SEGMENTS, 1 + FLIPS), keys_of(FIRST_SEGMENTS, 1)
+    first = members.groupBy("key").agg(F.min(F.struct("node", "group", "sketch")).alias("m")).select("key", F.col("m.node").alias("other"), F.col("m.group").alias("other_group"), F.col("m.sketch").alias("other_sketch"))
+    # both sides grow with the documents: their size on disk must not lead to a broadcast
+    met = probes.join(first.hint("merge"), "key").where((F.col("group") != F.col("other_group")) & near(limits)).select("node", "group", "other", "other_group", "short")
+    met = met.groupBy("node", "group", "other", "other_group").agg(F.max("short").alias("short"))
+    prints = classes.select("node", "fp")
+    seen = met.join(prints.hint("merge"), "node").join(prints.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")).hint("merge"), "other")
+    classes = joined(materialized(seen.withColumn("distance", bits_apart("fp", "other_fp")).where(within(limits)).select("node", "group", "other", "other_group", "distance")))
+    return rows, joined(materialized(met_in_blocks(keys_of(SEGMENTS, 1 + FLIPS), classes.select("node", "fp"), limits)))
+
+
+def near(limits: Limits) -> Column:
+    """Whether the sketches of two rows may be those of a similar pair."""
+    return F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= F.when(F.col("short"), limits.short_sketch).otherwise(limits.sketch)
+
+
+def within(limits: Limits) -> Column:
+    """Whether a distance may be that of a similar pair."""
+    return F.col("distance") <= F.when(F.col("short"), limits.short_far).otherwise(limits.far)
+
+
+def met_in_blocks(every: DataFrame, prints: DataFrame, limits: Limits) -> DataFrame:
+    """(node, group, other, other_group, distance): each probe with each member of its table entry that is of another group and not too far.
+
+    every: key, node, group, sketch, short, member (of the entry, and not only a probe); prints: node, fp.
+    The entry's largest group meets the others and not itself, so time is in proportion to pairs of
+    different groups even if a group fills the entry; an entry's pairs are made in blocks of BLOCK rows a
+    side. Only rows that have a partner of a near sketch (64 bits that no key has) are given their
+    fingerprints, so that chance meetings, whose number grows faster than the documents, stay small rows.
     """
-    several = materialized(every.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count_if("member").alias("members")).where("lo != hi and members > 1").select("key"))
+    several = materialized(every.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count_if("member").alias("members")).where("lo != hi and members > 0").select("key"))
     live = materialized(every.join(F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several.hint("merge"), "key", "left_semi"))
     counts = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("member").alias("m"))
     sizes = counts.groupBy("key").agg(F.max(F.struct("n", "group", "m")).alias("big"), F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -305,19 +355,30 @@ def met_in_blocks(every: DataFrame, share: float) -> DataFrame:
     block = lambda of: F.pmod(F.xxhash64("node"), F.element_at(of, F.col("way") + 1))
     copies = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(of, F.col("way") + 1) - 1))
     used = "element_at(left, way + 1) > 0 and element_at(right, way + 1) > 0"
+    at = ["key", "way", "x", "y"]
     probes = sized.withColumn("way", (F.col("group") == F.col("big")).cast("int")).where(used)
-    probes = probes.select("key", "way", block(F.col("left")).alias("x"), copies(F.col("right")).alias("y"), "node", "group", "sketch")
+    probes = probes.select("key", "way", block(F.col("left")).alias("x"), copies(F.col("right")).alias("y"), "node", "group", "sketch", "short")
     members = sized.where("member").withColumn("way", F.explode(F.when(F.col("group") == F.col("big"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).where(used)
     members = members.select("key", "way", copies(F.col("left")).alias("x"), block(F.col("right")).alias("y"), F.col("node").alias("other"), F.col("group").alias("other_group"), F.col("sketch").alias("other_sketch"))
-    cut = int(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
-    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= cut
-    met = probes.join(members.hint("merge"), ["key", "way", "x", "y"]).where((F.col("group") != F.col("other_group")) & near)
-    return met.select("node", "group", "other", "other_group")
+    probes, members = materialized(probes), materialized(members)
+
+    def kept(one: DataFrame, two: DataFrame) -> DataFrame:
+        """The rows of one that have a partner in two."""
+        p, m = (one, two) if "node" in one.columns else (two, one)
+        same = [one[c] == two[c] for c in at]
+        fits = (F.bit_count(p["sketch"].bitwiseXOR(m["other_sketch"])) <= F.when(p["short"], limits.short_sketch).otherwise(limits.sketch)) & (p["group"] != m["other_group"])
+        return one.join(two.hint("merge"), [*same, fits], "left_semi")
+
+    full = kept(probes, members).join(prints.hint("merge"), "node")
+    other = kept(members, probes).join(prints.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")).hint("merge"), "other")
+    met = full.join(other.hint("merge"), at).withColumn("distance", bits_apart("fp", "other_fp")).where((F.col("group") != F.col("other_group")) & within(limits))
+    pair = [F.least("node", "other").alias("node"), F.when(F.col("node") < F.col("other"), F.col("group")).otherwise(F.col("other_group")).alias("group"), F.greatest("node", "other").alias("other"), F.when(F.col("node") < F.col("other"), F.col("other_group")).otherwise(F.col("group")).alias("other_group")]
+    return met.select(*pair, "distance").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and group_id (the smallest non-null id of its group) for each row."""
-    docs, row = numbered(docs)
+    docs, row = numbered(docs.select(id_col, text_col))
     rows, classes = duplicate_classes(docs, row, words, similarity, id_col, text_col)
     names = classes.groupBy("group").agg(F.min("best").alias("best")).select("group", F.col("best.id").alias("group_id"))
     named = classes.select("fp", "group").join(names.hint("merge"), "group").select("fp", "group_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,24 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a fresh temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a fresh temporary one.
+
+    On a cluster it must be set: executors would write to disks of their own. Tables in it are the
+    caller's to clear when results have been read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def materialized(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession

@@ -59,12 +59,11 @@ def test_near_duplicates_in_a_crowd(spark):
     own = lambda n: [f"o{n // 2}.{i}" for i in range(13)] + [f"p{n}.{i}" for i in range(22)]
     rows = [(n, " ".join(common + own(n))) for n in range(400)]
     assert op8_simhash.jaccard(rows[0][1], rows[1][1], 5) >= 0.8 > 0.71 > op8_simhash.jaccard(rows[1][1], rows[2][1], 5)
-    fps, weak = zip(*(op8_simhash.long_fingerprint(t, 5) for _, t in rows))
-    keys = op8_simhash.long_keys(list(fps), list(weak))
+    fps, weak = zip(*(op8_simhash.long_fingerprint(op8_simhash.distinct_shingles(t, 5)) for _, t in rows))
+    keys = op8_simhash.long_keys(np.stack(fps), list(weak))
     meet = [bool(np.isin(keys[a], keys[b, 0]).any() or np.isin(keys[b], keys[a, 0]).any()) for a, b in zip(range(0, 400, 2), range(1, 400, 2))]
-    apart = [bin(int.from_bytes(fps[a]) ^ int.from_bytes(fps[a + 1])).count("1") for a in range(0, 400, 2)]
-    middle = op8_simhash.expected_distance(0.8)
-    found = {2 * n for n in range(200) if meet[n] and apart[n] <= middle + 3 * (middle * (1 - middle / 1024)) ** 0.5}
+    apart = [int(np.bitwise_count((fps[a] ^ fps[a + 1]).view(np.uint64)).sum()) for a in range(0, 400, 2)]
+    found = {2 * n for n in range(200) if meet[n] and apart[n] <= op8_simhash.Limits.of(0.8).far}
     groups = {r.doc_id: r.group_id for r in op8_simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     joined = {n for n in range(0, 400, 2) if groups[n + 1] == n}
     print(f"pairs that share an entry: {sum(meet)}, and are near enough: {len(found)}, joined: {len(joined)} of 200")
@@ -76,10 +75,21 @@ def test_blocks_make_each_pair_of_different_groups_once(spark, monkeypatch):
     monkeypatch.setattr(op8_simhash, "BLOCK", 3)
     monkeypatch.setattr(op8_simhash, "MAX_BROADCAST_KEYS", 1)
     rng = np.random.default_rng(2)
-    rows = [(int(k), n, n if rng.random() < 0.5 else -1, 0, bool(rng.random() < 0.6)) for k in range(12) for n in range(25)]
-    rows += [(99, 0, 0, 0, True), (99, 1, 1, 0, False), (98, 0, 0, 0, True), (98, 1, 0, 0, True)]
-    want = sorted((k, a, b) for k, a, ga, _, _ in rows for l, b, gb, _, m in rows if k == l < 99 and m and ga != gb)
-    every = spark.createDataFrame(rows, "key long, node long, group long, sketch long, member boolean")
-    got = sorted((r.node, r.group, r.other, r.other_group) for r in op8_simhash.met_in_blocks(every, 0.15).collect())
-    group = {(k, n): g for k, n, g, _, _ in rows}
-    assert got == sorted((a, group[k, a], b, group[k, b]) for k, a, b in want)
+    rows = [(int(k), n, n if rng.random() < 0.5 else -1, 0, False, bool(rng.random() < 0.6)) for k in range(12) for n in range(25)]
+    rows += [(99, 0, 0, 0, False, True), (99, 1, 1, 0, False, False), (98, 0, 0, 0, False, True), (98, 1, 0, 0, False, True)]
+    want = {(*(a, ga, b, gb),) if a < b else (b, gb, a, ga) for k, a, ga, *_ in rows for l, b, gb, _, _, m in rows if k == l and m and ga != gb}
+    every = spark.createDataFrame(rows, "key long, node long, group long, sketch long, short boolean, member boolean")
+    prints = spark.createDataFrame([(n, [0] * op8_simhash.LONG_WORDS) for n in range(25)], "node long, fp array<long>")
+    got = [(r.node, r.group, r.other, r.other_group) for r in op8_simhash.met_in_blocks(every, prints, op8_simhash.Limits.of(0.8)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_short_texts_meet_exactly(spark):
+    """8 words with one appended have a similarity of exactly 0.8, as have 40 such pairs; a longer one has 0.75."""
+    rows = []
+    for i in range(40):
+        words = [f"w{i}.{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    rows += [(100, "p q r s t u v"), (101, "p q r s t u v w x")]
+    groups = {r.doc_id: r.group_id for r in op8_simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert groups == {**{i: i - i % 2 for i in range(80)}, 100: 100, 101: 101}
