@@ -161,7 +161,7 @@ SEGMENTS = LONG_WORDS * 64 // 2 // SEGMENT
 #: The least certain bits of a segment, each flipped in a probe of its own.
 FLIPS = 3
 #: Segments of the first pass, which joins most of a crowd before its members meet each other.
-FIRST_SEGMENTS = 4
+FIRST_SEGMENTS = 8
 #: Texts of at most so many different shingles also have keys by which every similar pair of them meets.
 SHORT = 30
 #: Rows of a side that meet in one block of a table entry.
@@ -262,8 +262,8 @@ def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: flo
 
     First every probe of a few segments meets one member of its table entry, that of the smallest number:
     pairs stay in proportion to documents, and what they join is one group from then on. Then all
-    segments: every probe meets every member of another group, so that all pairs that share an entry are
-    joined or compared. Distances far from the threshold decide at once; in between, three standard
+    segments: every probe meets every member of another group (but for those of an entry's largest group,
+    which the others probe). Distances far from the threshold decide at once; in between, three standard
     deviations to either side, the texts' exact similarity does.
     """
     limits = Limits.of(similarity)
@@ -277,7 +277,9 @@ def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: flo
     rows = materialized(mapped(own, ["text"], {"fp": "array<long>", "weak": "binary", "short": "array<long>"}, made))
     # equal fingerprints are one class from here on
     firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie", "row", "weak", "short")).alias("m"))
-    classes = materialized(firsts.select(F.col("m.row").alias("node"), "fp", F.col("m.weak").alias("weak"), F.col("m.short").alias("short"), F.struct("m.last", "m.id", "m.tie", "m.row").alias("best"), F.col("m.row").alias("group")))
+    # in as many parts as shuffles have: each class makes a hundred keys and more
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = materialized(firsts.repartition(parts, "fp").select(F.col("m.row").alias("node"), "fp", F.col("m.weak").alias("weak"), F.col("m.short").alias("short"), F.struct("m.last", "m.id", "m.tie", "m.row").alias("best"), F.col("m.row").alias("group")))
     texts = docs.select(F.col(row_col).alias("node"), F.col(text_col).alias("text"))
 
     def keys_of(segments: int, kinds: int) -> DataFrame:
@@ -340,37 +342,28 @@ def met_in_blocks(every: DataFrame, prints: DataFrame, limits: Limits) -> DataFr
     """(node, group, other, other_group, distance): each probe with each member of its table entry that is of another group and not too far.
 
     every: key, node, group, sketch, short, member (of the entry, and not only a probe); prints: node, fp.
-    The entry's largest group meets the others and not itself, so time is in proportion to pairs of
-    different groups even if a group fills the entry; an entry's pairs are made in blocks of BLOCK rows a
-    side. Only rows that have a partner of a near sketch (64 bits that no key has) are given their
-    fingerprints, so that chance meetings, whose number grows faster than the documents, stay small rows.
+    The entry's largest group doesn't probe, it is probed by the others: time is in proportion to pairs of
+    different groups even if a group fills the entry. An entry's pairs are made in blocks of BLOCK rows a
+    side. Only probes that have a partner of a near sketch (64 bits that no key has), and members of
+    their entries, are given their fingerprints, so that chance meetings, whose number grows faster than
+    the documents, stay small rows.
     """
     several = materialized(every.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count_if("member").alias("members")).where("lo != hi and members > 0").select("key"))
     live = materialized(every.join(F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several.hint("merge"), "key", "left_semi"))
     counts = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("member").alias("m"))
-    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "group", "m")).alias("big"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-    # way 0: probes of the smaller groups and all members; way 1: probes of the largest group and members of the smaller ones
-    blocks = lambda a, b: F.array(F.ceil(a / BLOCK), F.ceil(b / BLOCK))
-    sized = live.join(sizes.select("key", F.col("big.group").alias("big"), blocks(F.col("n") - F.col("big.n"), F.col("big.n")).alias("left"), blocks(F.col("m"), F.col("m") - F.col("big.m")).alias("right")).hint("merge"), "key")
-    block = lambda of: F.pmod(F.xxhash64("node"), F.element_at(of, F.col("way") + 1))
-    copies = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(of, F.col("way") + 1) - 1))
-    used = "element_at(left, way + 1) > 0 and element_at(right, way + 1) > 0"
-    at = ["key", "way", "x", "y"]
-    probes = sized.withColumn("way", (F.col("group") == F.col("big")).cast("int")).where(used)
-    probes = probes.select("key", "way", block(F.col("left")).alias("x"), copies(F.col("right")).alias("y"), "node", "group", "sketch", "short")
-    members = sized.where("member").withColumn("way", F.explode(F.when(F.col("group") == F.col("big"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).where(used)
-    members = members.select("key", "way", copies(F.col("left")).alias("x"), block(F.col("right")).alias("y"), F.col("node").alias("other"), F.col("group").alias("other_group"), F.col("sketch").alias("other_sketch"))
-    probes, members = materialized(probes), materialized(members)
-
-    def kept(one: DataFrame, two: DataFrame) -> DataFrame:
-        """The rows of one that have a partner in two."""
-        p, m = (one, two) if "node" in one.columns else (two, one)
-        same = [one[c] == two[c] for c in at]
-        fits = (F.bit_count(p["sketch"].bitwiseXOR(m["other_sketch"])) <= F.when(p["short"], limits.short_sketch).otherwise(limits.sketch)) & (p["group"] != m["other_group"])
-        return one.join(two.hint("merge"), [*same, fits], "left_semi")
-
-    full = kept(probes, members).join(prints.hint("merge"), "node")
-    other = kept(members, probes).join(prints.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")).hint("merge"), "other")
+    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "group")).alias("big"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    blocks = sizes.select("key", F.col("big.group").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).alias("left"), F.ceil(F.col("m") / BLOCK).alias("right"))
+    sized = live.join(blocks.hint("merge"), "key")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    copies = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    probes = sized.where("group != big").select("key", block("left").alias("x"), copies("right").alias("y"), "node", "group", "sketch", "short")
+    members = materialized(sized.where("member").select("key", copies("left").alias("x"), block("right").alias("y"), F.col("node").alias("other"), F.col("group").alias("other_group"), F.col("sketch").alias("other_sketch")))
+    at = ["key", "x", "y"]
+    meet = [probes[c] == members[c] for c in at] + [probes["group"] != members["other_group"], near(limits)]
+    probes = materialized(probes.join(members.hint("merge"), meet, "left_semi"))
+    members = members.join(probes.select(*at).distinct().hint("merge"), at, "left_semi")
+    full = probes.join(prints.hint("merge"), "node")
+    other = members.join(prints.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")).hint("merge"), "other")
     met = full.join(other.hint("merge"), at).withColumn("distance", bits_apart("fp", "other_fp")).where((F.col("group") != F.col("other_group")) & within(limits))
     pair = [F.least("node", "other").alias("node"), F.when(F.col("node") < F.col("other"), F.col("group")).otherwise(F.col("other_group")).alias("group"), F.greatest("node", "other").alias("other"), F.when(F.col("node") < F.col("other"), F.col("other_group")).otherwise(F.col("group")).alias("other_group")]
     return met.select(*pair, "distance").distinct()
