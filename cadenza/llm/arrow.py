@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 KINDS = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
@@ -26,7 +26,7 @@ def mapped(df: DataFrame, inputs: list[str], made: dict[str, str], run: Callable
     """df's other columns and those that run makes of lists of the inputs' values, some rows at a time."""
     fields = [f for f in df.schema.fields if f.name not in inputs]
     kept = [f.name for f in fields]
-    schema = StructType([*fields, *[StructField(f.name, f.dataType) for f in df.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in made.items())).schema.fields]])
+    schema = StructType([*fields, *StructType.fromDDL(", ".join(f"{n} {k}" for n, k in made.items())).fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,10 +7,6 @@ from dataclasses import dataclass
 import numpy as np
 
 
-#: A small sample is gone through more often, up to so many steps.
-LEAST_STEPS = 250
-
-
 def windows_of(texts: list[bytes], length: int, stride: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte windows, the first window of each text, bytes of text in each window).
 
@@ -71,9 +67,12 @@ class ByteCNN:
     def logits(self, windows: np.ndarray) -> np.ndarray:
         return np.maximum(self.pooled(windows)[0], 0) @ self.dense + self.dense_bias
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int, seed: int, rate: float = 0.01, batch: int = 128) -> None:
-        """Adam on the weighted cross-entropy; only the bytes at a filter's largest value get a gradient."""
-        epochs = max(epochs, -(-LEAST_STEPS * batch // len(windows)))
+    def train(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int, seed: int, rate: float = 0.01, batch: int = 128) -> None:
+        """Adam on the weighted cross-entropy, in at least so many steps; only the bytes at a filter's largest value get a gradient.
+
+        Whole epochs: every window is used as often as any other, once at least.
+        """
+        epochs = max(1, round(steps * batch / len(windows)))
         rng = np.random.default_rng(seed)
         params = [*self.tables, self.bias, self.dense, self.dense_bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]

@@ -3,23 +3,26 @@
 Each chunk's filters are max-pooled into a chunk's log-odds; a logistic combination of their mean,
 smallest and largest gives the document's probability of quality 1.
 
+The model learns from whole texts of a bounded sample of labelled ids, each chunk of them.
+
 Defined results: a null or empty text is one chunk of zeros and has a score as any other. With no
-labelled row, or labels of one kind only, every score is that kind's share (0.5 without rows).
-Repeated rows give repeated rows. Labels, language, source and id are never inputs of a score.
+labelled row, or labels of one kind only, every score is that kind's share (0.5 without rows). An id
+with several labels has the largest, one with several texts teaches one of them. Repeated rows give
+repeated rows; an empty table gives none. Ids may be null, repeated and of any type: they pass through
+untouched. Labels, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.arrow import kept_with, mapped, text_of
 from cadenza.llm.bytecnn import ByteCNN, windows_of
-from cadenza.llm.op7_langid import fold_of, sample_rank, sampled, windows_in
+from cadenza.llm.op7_langid import among_first, fold_of, sample_of, share_of, windows_with
 
 CHUNK, STRIDE = 384, 320
 
@@ -53,44 +56,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 5000, filters: int = 16, widths: tuple[int, ...] = (3, 5), epochs: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Learns from at most max_rows labelled rows (chosen by a hash of the id) whose crc32(id as text) mod folds is not held_out."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    marked = marked.where(fold_of(id_col, folds) != held_out)
-    few = sampled(marked, id_col, max_rows).orderBy(sample_rank(id_col), id_col).limit(max_rows)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), id_col)  # max_rows ids at most
-    sample = windows_in(rows, id_col, max_rows, CHUNK, 4)
+def train_quality_model(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 5000, filters: int = 16, widths: tuple[int, ...] = (3, 5), steps: int = 900, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Learns from at most max_rows labelled ids (chosen by a hash) whose crc32(id as text) mod folds is not held_out."""
+    rank = F.xxhash64(F.lit("sample"), F.col(id_col))
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold_of(id_col, folds) != held_out)).groupBy(id_col).agg(F.max(label_col).cast("long").alias("label"))
+    few = marked.where(among_first(rank, share_of(marked.count(), max_rows))).orderBy(rank, id_col).limit(max_rows)
+    rows = docs.select(F.col(id_col), text_of(docs, text_col).alias("text")).join(F.broadcast(few), id_col)  # max_rows ids at most
+    sample = sample_of(rows.select(rank.alias("rank"), "label", "text"), 1.0, max_rows)
     if sample["label"].nunique() < 2:
         return QualityModel(None, np.zeros(4), float(sample["label"].mean()) if len(sample) else 0.5)
-    texts, y, first = [], [], []
-    for label, pieces in zip(sample["label"], sample["pieces"]):
-        first.append(len(texts))
-        for piece in dict.fromkeys(pieces):
-            texts.append(piece.encode()[:CHUNK])
-            y.append(label)
-    y, first = np.array(y, np.int64), np.array(first)
+    y = sample["label"].to_numpy(np.int64)
     net = ByteCNN.fresh(widths, filters, 2, 3)
-    windows = windows_of(texts, CHUNK, STRIDE, net.margin)[0]
-    weights = (1.0 / np.sqrt(np.bincount(y, minlength=2).clip(1)))[y]
-    net.train(windows, y, weights, epochs, 3)
+    windows, first, marks, weights = windows_with([t.encode() for t in sample["text"]], y, CHUNK, STRIDE, net.margin)
+    net.train(windows, marks, weights, steps, 3)
     model = QualityModel(net, np.zeros(4))
     z = net.logits(windows)
     counts = np.diff(np.append(first, len(windows)))
-    model.combine = _logistic(model.features((z[:, 1] - z[:, 0]).astype(float), first, counts), sample["label"].to_numpy(float))
+    model.combine = _logistic(model.features((z[:, 1] - z[:, 0]).astype(float), first, counts), y.astype(float))
     return model
 
 
+def with_quality(docs: DataFrame, model: QualityModel, keep: list[str], text_col: str = "text") -> DataFrame:
+    """kept (a struct of the columns in keep, of any names) and score for each row."""
+    rows = kept_with(docs, keep, text=text_of(docs, text_col))
+    return mapped(rows, ["text"], {"score": "double"}, lambda texts: {"score": model.score([t.encode() for t in texts])}, 200)
+
+
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, score for each row, and the columns named in keep."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
-                out = part.drop(columns="_text")
-                out["score"] = model.score([t.encode() for t in part["_text"]])
-                yield out
-
-    columns = list(dict.fromkeys([id_col, *keep]))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(run, kinds + ", score double")
+    """id, score for each row, and the columns named in keep (but for one named score)."""
+    names = [c for c in dict.fromkeys([id_col, *keep]) if c != "score"]
+    return with_quality(docs, model, names, text_col).select("kept.*", "score")

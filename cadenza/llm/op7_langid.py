@@ -1,23 +1,29 @@
 """Language ID: a byte convolutional network over fixed-length windows that cover the whole text.
 
+The model learns from whole texts of a bounded sample of labelled rows, each window of them.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0. Languages are those
-of the training rows; with no training row every text is ``und``. Repeated rows give repeated rows.
-Language, source and id are never inputs of a prediction.
+of the training rows; with no training row every text is ``und``. Repeated rows give repeated rows, but
+teach once. An empty table gives no rows. Ids may be null, repeated and of any type: they pass through
+untouched. Language, source and id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.arrow import kept_with, mapped, text_of
 from cadenza.llm.bytecnn import ByteCNN, softmax, windows_of
 
 WINDOW = 256
+LETTER = r"\p{L}"
+#: Bytes of whole texts in a training sample, at most: what the driver holds.
+SAMPLE_BYTES = 48_000_000
 
 
 @dataclass
@@ -44,60 +50,64 @@ def fold_of(column: str, folds: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample_rank(id_col: str) -> F.Column:
-    return F.xxhash64(F.lit("sample"), F.col(id_col))
+def among_first(rank: Column, share: float) -> Column:
+    """Whether a rank (a hash, spread over all signed 64-bit integers) is in the lowest share of them."""
+    limit = int(min(1.0, share) * 2**64) - 2**63 - 1
+    return F.lit(share >= 1.0) | (rank <= F.lit(max(-(2**63), min(2**63 - 1, limit))))
+
+
+def sample_of(rows: DataFrame, share: float, max_rows: int, max_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """label and text of at most max_rows rows, the first by column rank (a hash), and as many as have max_bytes together.
+
+    Texts are whole: a row that would go beyond max_bytes is left out, and so are those after it. Rows of
+    one rank are one. share of the rows are expected to be enough; only their texts leave a task.
+    """
+    few = rows.where(among_first(F.col("rank"), share)).groupBy("rank").agg(F.min(F.struct("label", "text")).alias("m")).select("rank", "m.label", "m.text")
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = few.orderBy("rank").limit(max_rows).withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(before))
+    return ranked.where(F.col("bytes") <= max_bytes).select("label", "text").toPandas()
 
 
-def sampled(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """At most max_rows rows, those with the smallest hash of the id; each task only passes on about its share of them."""
-    share = min(1.0, (1.2 * max_rows + 50) / max(1, rows.count()))
-    limit = int(share * 2**64) - 2**63 - 1  # hashes are spread over all signed 64-bit integers
-    return rows.where(F.lit(share >= 1.0) | (sample_rank(id_col) <= F.lit(max(-(2**63), min(2**63 - 1, limit)))))
+def share_of(rows: int, max_rows: int) -> float:
+    return (1.2 * max_rows + 50) / max(1, rows)
 
 
-def windows_in(rows: DataFrame, id_col: str, max_rows: int, length: int, per_row: int) -> pd.DataFrame:
-    """label and pieces (per_row pieces of a text, spread over all of it) of at most max_rows rows."""
-    size = F.length("text")
-    begin = lambda k: (F.greatest(size - length, F.lit(0)) * F.lit(k / max(1, per_row - 1))).cast("int") + 1
-    pieces = F.array(*[F.col("text").substr(begin(k), F.lit(length)) for k in range(per_row)])
-    return rows.select(sample_rank(id_col).alias("_rank"), F.col(id_col).alias("_id"), "label", pieces.alias("pieces")).orderBy("_rank", "_id").limit(max_rows).toPandas()
+def windows_with(texts: list[bytes], labels: np.ndarray, length: int, stride: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, first window of each text, each window's label, its weight): kinds count by the root of their rows, a text by the root of its windows."""
+    windows, first, _ = windows_of(texts, length, stride, margin)
+    counts = np.diff(np.append(first, len(windows)))
+    weight = (1.0 / np.sqrt(np.bincount(labels).clip(1)))[labels] / np.sqrt(counts)
+    return windows, first, np.repeat(labels, counts), np.repeat(weight, counts)
 
 
-def train_language_model(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 4000, filters: int = 16, widths: tuple[int, ...] = (2, 3, 4), epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from at most max_rows labelled rows (chosen by a hash of the id) whose crc32(id as text) mod folds is not held_out."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (fold_of(id_col, folds) != held_out)).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    sample = windows_in(sampled(rows, id_col, max_rows), id_col, max_rows, WINDOW, 3)
+def train_language_model(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 4000, filters: int = 16, widths: tuple[int, ...] = (2, 3, 4), steps: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Learns from at most max_rows labelled rows (chosen by a hash of id and text) whose crc32(id as text) mod folds is not held_out."""
+    taught = docs.where(F.col(lang_col).isNotNull() & (fold_of(id_col, folds) != held_out))
+    rows = taught.where(F.col(text_col).rlike(LETTER)).select(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)).alias("rank"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
+    sample = sample_of(rows, share_of(taught.count(), max_rows), max_rows)
     languages = sorted(sample["label"].unique())
     if not languages:
         return LanguageModel([], None)
     net = ByteCNN.fresh(widths, filters, len(languages), 7)
-    texts, labels = [], []
-    for label, pieces in zip(sample["label"], sample["pieces"]):
-        for piece in dict.fromkeys(pieces):
-            texts.append(piece.encode()[: WINDOW])
-            labels.append(languages.index(label))
-    labels = np.array(labels)
-    weights = (1.0 / np.sqrt(np.bincount(labels, minlength=len(languages)).clip(1)))[labels]
-    net.train(windows_of(texts, WINDOW, WINDOW, net.margin)[0], labels, weights, epochs, 7)
+    windows, _, labels, weights = windows_with([t.encode() for t in sample["text"]], sample["label"].map(languages.index).to_numpy(), WINDOW, WINDOW, net.margin)
+    net.train(windows, labels, weights, steps, 7)
     return LanguageModel(languages, net)
 
 
+def with_language(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
+    """kept (a struct of the columns in keep, of any names), lang_pred and score for each row."""
+
+    def made(texts: list, lettered: list) -> dict:
+        ok = np.array(lettered, bool)
+        found, score = model.predict([t.encode() if x else b"" for t, x in zip(texts, ok)])
+        langs = [x if o else "und" for x, o in zip(found, ok)]
+        return {"lang_pred": langs, "score": np.where(np.array(langs) != "und", score, 0.0).astype(float)}
+
+    rows = kept_with(docs, keep, text=text_of(docs, text_col), lettered=F.coalesce(docs[f"`{text_col}`"].rlike(LETTER), F.lit(False)))
+    return mapped(rows, ["text", "lettered"], {"lang_pred": "string", "score": "double"}, made, 200)
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang_pred, score for each row, and the columns named in keep."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
-                lettered = part["_lettered"].to_numpy(bool)
-                texts = [t.encode() if ok else b"" for t, ok in zip(part["_text"], lettered)]
-                found, score = model.predict(texts)
-                out = part.drop(columns=["_text", "_lettered"])
-                out["lang_pred"] = [x if ok else "und" for x, ok in zip(found, lettered)]
-                out["score"] = np.where(lettered & (out["lang_pred"] != "und").to_numpy(), score, 0.0)
-                yield out
-
-    columns = list(dict.fromkeys([id_col, *keep]))
-    rows = docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInPandas(run, kinds + ", lang_pred string, score double")
+    """id, lang_pred, score for each row, and the columns named in keep (but for those named as the results are)."""
+    names = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
+    return with_language(docs, model, names, text_col).select("kept.*", "lang_pred", "score")
