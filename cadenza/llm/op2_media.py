@@ -7,7 +7,10 @@ join on the digest with a table of media, each stored once; positions and captio
 Media are stored losslessly as 8-bit grey PNG images of a fixed width and read back by ``decode_png``.
 
 Defined results: null HTML is an empty sequence; a reference that no medium has stays, with null
-bytes; repeated rows are repeated sequences; equal media are stored once. Extra columns are ignored.
+bytes; repeated rows, and rows of one id, are sequences of their own; equal media are stored once.
+A head or caption that is never closed ends where a block of the body starts, or with its figure or the
+page; an unclosed script or style hides the rest, as HTML has it. Ids may be null, repeated and of any
+type. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +22,21 @@ from hashlib import sha256
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from cadenza.llm.arrow import kept_with, mapped, text_of
 
 #: Payloads are padded to a positive multiple of this many bytes, one image row.
 ROW_BYTES = 576
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
-SEQUENCE = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
+ITEMS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+SEQUENCE = ArrayType(StructType([StructField("position", IntegerType()), *[StructField(n, StringType()) for n in ("kind", "text", "digest", "caption")]]))
+DESCRIBED = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+#: Digests that a task remembers at once.
+SEEN = 200_000
 
 
 def pad_payload(text: bytes, row: int = ROW_BYTES) -> bytes:
@@ -96,7 +106,19 @@ class SequenceParser(HTMLParser):
         if text:
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """The caption belongs to all media of its figure; outside of a figure, or in one without media, it is text."""
+        if self.captioning is None:
+            return
+        caption, self.captioning = " ".join("".join(self.captioning).split()), None
+        for at in self.figure or []:
+            self.items[at]["caption"] = caption
+        if not self.figure:
+            self.text.append(caption)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden == ["head"] and tag in self.BLOCKS:
+            self.hidden.pop()
         if tag in self.HIDDEN:
             self.hidden.append(tag)
         if self.hidden:
@@ -119,10 +141,8 @@ class SequenceParser(HTMLParser):
             if tag == self.hidden[-1]:
                 self.hidden.pop()
             return
-        if tag == "figcaption" and self.captioning is not None:
-            caption, self.captioning = " ".join("".join(self.captioning).split()), None
-            for at in self.figure or []:
-                self.items[at]["caption"] = caption
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
         if tag == "figure":
             self.figure = None
         if tag in self.BLOCKS:
@@ -137,6 +157,7 @@ def parse_html(html: str | None) -> list[dict]:
     parser = SequenceParser()
     parser.feed(html or "")
     parser.close()
+    parser.end_caption()
     parser.flush()
     return parser.items
 
@@ -144,37 +165,50 @@ def parse_html(html: str | None) -> list[dict]:
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id and sequence (an ordered array of structs) for each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "sequence": [parse_html(h) for h in batch["_html"]]})
+            items = pa.array([parse_html(h) for h in batch.column("html").to_pylist()], ITEMS)
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), items], names=["kept", "sequence"])
 
-    return pages.select(F.col(id_col), F.coalesce(F.col(html_col), F.lit("")).alias("_html")).mapInPandas(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, sequence {SEQUENCE}")
+    rows = kept_with(pages, [id_col], html=text_of(pages, html_col))
+    return rows.mapInArrow(run, StructType([rows.schema["kept"], StructField("sequence", SEQUENCE)])).select("kept.*", "sequence")
 
 
 def store_media(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """digest (of the text's bytes) and stored (a PNG of the padded payload): one row for each different text."""
+    """digest (of the text's bytes) and stored (a PNG of the padded payload): one row for each different text.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A task makes one image of the copies that it sees (it remembers SEEN digests); those of other tasks go in the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            yield pd.DataFrame({"digest": batch["digest"], "stored": [encode_png(pad_payload(t.encode())) for t in batch["_text"]]})
+            digests, images = [], []
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+                if digest not in seen:
+                    seen = seen if len(seen) < SEEN else set()
+                    seen.add(digest)
+                    digests.append(digest)
+                    images.append(encode_png(pad_payload(text.encode())))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "stored"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return texts.select(F.sha2(text, 256).alias("digest"), text.alias("_text")).mapInPandas(run, "digest string, stored binary").dropDuplicates(["digest"])
+    text = text_of(texts, text_col)
+    return texts.select(F.sha2(text, 256).alias("digest"), text.alias("text")).mapInArrow(run, "digest string, stored binary").dropDuplicates(["digest"])
 
 
 def describe_media(media: DataFrame) -> DataFrame:
     """digest and what the stored bytes hold when they are read back: payload and tail digests, sizes, feature."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for digest, stored in zip(batch["digest"], batch["stored"]):
-                samples = decode_png(stored)
-                payload = samples.tobytes()
-                out.append((digest, len(payload.rstrip(b"\xff")), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), sha256(stored).hexdigest(), image_feature(samples)))
-            yield pd.DataFrame(out, columns=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def made(images: list) -> dict:
+        out: dict[str, list] = {n: [] for n in DESCRIBED}
+        for stored in images:
+            samples = decode_png(stored)
+            payload = samples.tobytes()
+            for n, x in zip(DESCRIBED, (len(payload.rstrip(b"\xff")), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), sha256(stored).hexdigest(), image_feature(samples))):
+                out[n].append(x)
+        return out
 
-    return media.mapInPandas(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(media.select("digest", "stored"), ["stored"], DESCRIBED, made)
 
 
 def resolve(parsed: DataFrame, media: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -190,5 +224,7 @@ def resolve(parsed: DataFrame, media: DataFrame, id_col: str = "page_id") -> Dat
 def interleaved(parsed: DataFrame, media: DataFrame, id_col: str = "page_id") -> DataFrame:
     """id and sequence again, each item with its medium's columns, in order of position; an empty sequence stays."""
     extra = [c for c in media.columns if c != "digest"]
-    items = resolve(parsed, media, id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", *extra))).alias("resolved"))
-    return parsed.select(id_col).distinct().join(items, id_col, "left").select(id_col, F.coalesce("resolved", F.array()).alias("sequence"))
+    rows = parsed.select(F.struct(id_col).alias("kept"), F.monotonically_increasing_id().alias("_sequence"), "sequence")
+    items = rows.select("kept", "_sequence", F.explode_outer("sequence").alias("i")).select("kept", "_sequence", "i.*").join(media, "digest", "left")
+    whole = F.when(F.col("position").isNotNull(), F.struct("position", "kind", "text", "digest", "caption", *extra))
+    return items.groupBy("_sequence", "kept").agg(F.array_sort(F.collect_list(whole)).alias("sequence")).select("kept.*", "sequence")

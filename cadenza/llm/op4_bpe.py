@@ -5,23 +5,24 @@ Reading the stored tokens backwards gives the encoding of any prefix, so text ca
 exactly, and an edit only recomputes from its start to where old and new tokens agree again.
 
 Defined results: a null text is an empty text; an empty text has no tokens (the digest is that of
-the empty string). Repeated rows give repeated rows. Other columns of the input are ignored.
+the empty string); an empty table gives no rows. Repeated rows give repeated rows. Ids may be null,
+repeated and of any type: they pass through untouched. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.arrow import kept_with, mapped, text_of
+
 #: Entries of a generation of each cache; a worker keeps two generations of words and pieces, which bounds its memory.
 CACHE_ENTRIES = 300_000
 
@@ -229,46 +230,35 @@ def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (array of int) for each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(texts: list) -> dict:
         encoder = text_encoder(ranks_path, pattern)
-        for batch in batches:
-            ids = [[int(x) for x in s.split(",")] if (s := encoder.encode(t)) else [] for t in batch["text"]]
-            yield pd.DataFrame({id_col: batch[id_col], "ids": ids})
+        return {"ids": [[int(x) for x in s.split(",")] if (s := encoder.encode(t)) else [] for t in texts]}
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, f"{_id_type(docs, id_col)}, ids array<int>")
+    return mapped(kept_with(docs, [id_col], text=text_of(docs, text_col)), ["text"], {"ids": "array<int>"}, made).select("kept.*", "ids")
 
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256 and decoded_sha256 for each row; the ids themselves stay in the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(texts: list) -> dict:
         encoder = text_encoder(ranks_path, pattern)
-        for batch in batches:
-            counts, ids_digests, decoded = [], [], []
-            for text in batch["text"]:
-                ids = encoder.encode(text)
-                counts.append(ids.count(",") + 1 if ids else 0)
-                ids_digests.append(sha256(ids.encode()).hexdigest())
-                decoded.append(sha256(encoder.decode(ids)).hexdigest())
-            yield pd.DataFrame({id_col: batch[id_col], "n_tokens": counts, "ids_sha256": ids_digests, "decoded_sha256": decoded})
+        counts, digests, decoded = [], [], []
+        for text in texts:
+            ids = encoder.encode(text)
+            counts.append(ids.count(",") + 1 if ids else 0)
+            digests.append(sha256(ids.encode()).hexdigest())
+            decoded.append(sha256(encoder.decode(ids)).hexdigest())
+        return {"n_tokens": counts, "ids_sha256": digests, "decoded_sha256": decoded}
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, f"{_id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = kept_with(docs, [id_col], text=text_of(docs, text_col))
+    return mapped(rows, ["text"], {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, made).select("kept.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """id_col, decoded (binary) from the ids column of encode_documents."""
+def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id_col, decoded (binary) from the ids column of encode_documents; null ids are none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(rows: list) -> dict:
         bytes_of = text_encoder(ranks_path, pattern).vocabulary.bytes_of
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "decoded": [b"".join(bytes_of[i] for i in ids) for ids in batch["ids"]]})
-
-    return encoded.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInPandas(run, f"{_id_type(encoded, id_col)}, decoded binary")
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
+        return {"decoded": [b"".join(bytes_of[i] for i in ids or []) for ids in rows]}
 
-def _id_type(df: DataFrame, id_col: str) -> str:
-    return f"`{id_col}` {df.schema[id_col].dataType.simpleString()}"
+    return mapped(kept_with(encoded, [id_col], ids=F.col(ids_col)), ["ids"], {"decoded": "binary"}, made).select("kept.*", "decoded")

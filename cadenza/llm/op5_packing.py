@@ -13,7 +13,9 @@ one for each source, however many); a second scan of the table cuts documents at
 borders. Ids are not shuffled unless there are more than MAX_BROADCAST_ROWS of those sums.
 
 Defined results: a null text is an empty text (its only token is the end id); a null source is a
-queue of its own; repeated rows are packed as often as they occur; an empty table gives no rows.
+queue of its own; repeated rows are packed as often as they occur; an empty table gives no rows. Ids may
+be null, repeated and of any type: they pass through untouched. A text that holds a special token's
+string has that token, as in the tokenizer's plain call. An id column named as a result's is refused.
 """
 
 from __future__ import annotations
@@ -28,15 +30,18 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from cadenza.llm.arrow import kept_with, text_of
 from cadenza.llm.store import materialized
 
 #: Distinct words of a generation: a worker remembers the words of this one and, until it fills up, of the one before.
 CACHE_ENTRIES = 600_000
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids")
 #: Slices of the table of queues, whose sums the driver adds up.
 SLICES = 64
 #: More rows of (partition, source) than this are joined by shuffle, not broadcast.
@@ -59,14 +64,20 @@ BYTE_CHARACTERS = _byte_characters()
 
 
 class WordTokenizer:
-    """A tokenizer that never looks across ASCII white space, applied word by word with a memory."""
+    """A tokenizer that never looks across ASCII white space, applied word by word with a memory.
+
+    The ids are those of the library's plain call: a special token's string in a text is that token. Such
+    texts are rare and take the library's whole way; everywhere else there is only ordinary text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = [t["content"] for t in json.loads(self.plain.to_str())["added_tokens"]]
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -75,6 +86,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian integers of self.type."""
+        marked = [i for i, t in enumerate(texts) if self.special and self.special.search(t)]
+        if marked:
+            out = self.encode_ordinary([b"" if self.special.search(t) else t for t in texts])
+            for i, made in zip(marked, self.plain.encode_batch_fast([texts[i].decode() for i in marked], add_special_tokens=False)):
+                out[i] = np.array(made.ids, self.type).tobytes()
+            return out
+        return self.encode_ordinary(texts)
+
+    def encode_ordinary(self, texts: list[bytes]) -> list[bytes]:
+        """As encode, where no text has a special token's string."""
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known
         # the tokenizer lower-cases: doing so for A-Z first changes no id, and more words are known
@@ -137,24 +158,24 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, queue, part and part_start (its tokens' place among those of its queue in its partition), n_tokens, ids."""
+    """kept (a struct of the id), queue, part and part_start (its tokens' place among those of its queue in its partition), n_tokens, ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, served = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], tokenizer.type).tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                rows = batch.iloc[lo : lo + 256]
-                ids = [x + end for x in tokenizer.encode([t.encode() for t in rows["text"]])]
+            for lo in range(0, batch.num_rows, 256):
+                rows = batch.slice(lo, 256)
+                ids = [x + end for x in tokenizer.encode([t.encode() for t in rows.column("text").to_pylist()])]
                 counts, starts = [len(x) // tokenizer.type.itemsize for x in ids], []
-                for queue, n in zip(rows["queue"], counts):
+                for queue, n in zip(rows.column("queue").to_pylist(), counts):
                     starts.append(served.get(queue, 0))
                     served[queue] = starts[-1] + n
-                yield pd.DataFrame({id_col: rows[id_col], "queue": rows["queue"], "part": part, "part_start": starts, "n_tokens": counts, "ids": ids})
+                yield pa.RecordBatch.from_arrays([rows.column("kept"), rows.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["kept", "queue", "part", "part_start", "n_tokens", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("none")).alias("queue"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, queue string, part long, part_start long, n_tokens long, ids binary")
+    rows = kept_with(docs, [id_col], queue=F.coalesce(F.concat(F.lit("s:"), docs[f"`{source_col}`"].cast("string")), F.lit("none")), text=text_of(docs, text_col))
+    made = StructType.fromDDL("queue string, part long, part_start long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, StructType([rows.schema["kept"], *made.fields]))
 
 
 @dataclass(frozen=True)
@@ -278,24 +299,28 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048
     small = F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
     placed = table.join(small, ["queue", "part"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = word_tokenizer(tokenizer_path).type
         for batch in batches:
-            out = []
-            for key, queue, at, n, raw, amount, below in zip(batch[id_col], batch["queue"], batch["base"] + batch["part_start"], batch["n_tokens"], batch["ids"], batch["amount"], batch["below"]):
-                ids = np.frombuffer(raw, stored).astype("<u4")
+            out, at_row = [], []
+            base, part_start = batch.column("base").to_pylist(), batch.column("part_start").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("queue", "n_tokens", "ids", "amount", "below")]
+            for row, (queue, n, raw, amount, below) in enumerate(zip(*columns)):
+                ids, at = np.frombuffer(raw, stored).astype("<u4"), base[row] + part_start[row]
                 if amount < 0:
-                    pieces = place(phases, queue, int(at), int(n), window, sequence)
+                    pieces = place(phases, queue, at, n, window, sequence)
                 elif below < in_small:
-                    pieces = place_small(Phase(start, length, {}, {"small": 0}, {"small": in_small}), int(below), int(amount), int(at), int(n), window, sequence)
+                    pieces = place_small(Phase(start, length, {}, {"small": 0}, {"small": in_small}), below, amount, at, n, window, sequence)
                 else:
-                    pieces = place([Phase(start, length, {}, {queue: int(below)}, {queue: int(amount)})], queue, int(at), int(n), window, sequence)
+                    pieces = place([Phase(start, length, {}, {queue: below}, {queue: amount})], queue, at, n, window, sequence)
                 for done, size, slot in pieces:
                     piece = ids[done : done + size].tobytes()
-                    out.append((key, done, size, zlib.crc32(piece), n, slot // sequence, slot % sequence, queue, piece))
-            found = pd.DataFrame(out, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
-            yield found if with_ids else found.drop(columns="ids")
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return placed.select(id_col, "queue", "base", "part_start", "n_tokens", "ids", F.coalesce("amount", F.lit(-1)).alias("amount"), F.coalesce("below", F.lit(-1)).alias("below")).mapInPandas(cut, schema + ", ids binary" * with_ids)
+                    at_row.append(row)
+                    out.append((done, size, zlib.crc32(piece), n, slot // sequence, slot % sequence, queue, piece))
+            found = list(zip(*out)) or [()] * 8
+            arrays = [pa.array(x, k) for x, k in zip(found, [pa.int64()] * 6 + [pa.string(), pa.binary()])]
+            yield pa.RecordBatch.from_arrays([batch.column("kept").take(pa.array(at_row, pa.int64())), *arrays[: 7 + with_ids]], names=["kept", *PIECE][: 8 + with_ids])
+
+    made = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(PIECE[: 7 + with_ids], ["long"] * 6 + ["string", "binary"])))
+    rows = placed.select("kept", "queue", "base", "part_start", "n_tokens", "ids", F.coalesce("amount", F.lit(-1)).alias("amount"), F.coalesce("below", F.lit(-1)).alias("below"))
+    return rows.mapInArrow(cut, StructType([rows.schema["kept"], *made.fields])).select("kept.*", *PIECE[: 7 + with_ids])

@@ -8,7 +8,8 @@ listed operators and the listed filters exist: a template can reach nothing else
 
 Defined results: a null role or text is empty; a conversation's rows are taken by turn, then role,
 then text (nulls first), so ties have one order; repeated rows are repeated turns; a null
-conversation id is a conversation of its own. Other columns of the input are ignored.
+conversation id is a conversation of its own, ids may be of any type; an empty table gives no rows.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cadenza.llm.arrow import KINDS
 
 #: Turns are marked by control strings; text inside them is escaped, and only generations are in the loss.
 CHAT_TEMPLATE = "{% for m in messages %}{{ open }}{{ m.role | line }}\n{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}{{ close }}\n{% endfor %}"
@@ -392,9 +397,9 @@ def _ordered(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterable[dict]]]:
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterable[dict]]]:
     """(id, its messages) from rows sorted by id; the messages must be read before the next id is asked for."""
-    rows = ((None if pd.isna(c) else int(c), {"role": r, "text": t}) for b in batches for c, r, t in zip(b["conv_id"], b["role"], b["text"]))
+    rows = ((c, {"role": r, "text": t}) for b in batches for c, r, t in zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text"))))
     ahead = next(rows, None)
 
     def messages(of: object) -> Iterator[dict]:
@@ -408,24 +413,38 @@ def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, It
         yield of, messages(of)
 
 
+def _streamed(conversations: DataFrame, made: dict[str, str], run: Callable[[object, Iterable[dict]], Iterator[tuple]], held_rows: int) -> DataFrame:
+    """conv_id and the columns in made, of the tuples that run yields for each conversation, which it reads in order."""
+    rows = _ordered(conversations)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = [first.schema.field("conv_id").type, *[KINDS[k] for k in made.values()]]
+        batch_of = lambda held: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held), kinds)], names=["conv_id", *made])
+        held = []
+        for of, messages in _conversations(chain([first], batches)):
+            for found in run(of, messages):
+                held.append((of, *found))
+                if len(held) == held_rows:
+                    yield batch_of(held)
+                    held = []
+        if held:
+            yield batch_of(held)
+
+    fields = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in made.items())).fields
+    return rows.mapInArrow(apply, StructType([rows.schema["conv_id"], *fields]))
+
+
 def format_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
     """conv_id, position, chunk, is_generation: the formatted text in pieces that join in order of position."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        program = chat_program(template)
-        for of, messages in _conversations(batches):
-            held = []
-            for position, (chunk, marked) in enumerate(program({"messages": messages})):
-                held.append((of, position, chunk, marked))
-                if len(held) == 10_000:
-                    yield _frame(held)
-                    held = []
-            yield _frame(held)
-
-    def _frame(held: list) -> pd.DataFrame:
-        return pd.DataFrame(held, columns=["conv_id", "position", "chunk", "is_generation"]).astype({"conv_id": "Int64"})
+    def run(of: object, messages: Iterable[dict]) -> Iterator[tuple]:
+        for position, (chunk, marked) in enumerate(chat_program(template)({"messages": messages})):
+            yield position, chunk, marked
 
-    return _ordered(conversations).mapInPandas(run, "conv_id long, position long, chunk string, is_generation boolean")
+    return _streamed(conversations, {"position": "long", "chunk": "string", "is_generation": "boolean"}, run, 10_000)
 
 
 def digest_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
@@ -434,20 +453,11 @@ def digest_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE
     A conversation is streamed through in order: only hash states and one turn are in memory.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        program, held = chat_program(template), []
-        for of, messages in _conversations(batches):
-            reader = Reader()
-            for chunk, marked in program({"messages": messages}):
-                reader.feed(chunk, marked)
-            reader.flush()
-            held.append((of, reader.turns, reader.turn_digest.hexdigest(), reader.loss_chars, reader.loss_digest.hexdigest(), reader.chars))
-            if len(held) == 5000:
-                yield _digests(held)
-                held = []
-        yield _digests(held)
-
-    def _digests(held: list) -> pd.DataFrame:
-        return pd.DataFrame(held, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
-
-    return _ordered(conversations).mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def run(of: object, messages: Iterable[dict]) -> Iterator[tuple]:
+        reader = Reader()
+        for chunk, marked in chat_program(template)({"messages": messages}):
+            reader.feed(chunk, marked)
+        reader.flush()
+        yield reader.turns, reader.turn_digest.hexdigest(), reader.loss_chars, reader.loss_digest.hexdigest(), reader.chars
+
+    return _streamed(conversations, {"n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long"}, run, 5000)
