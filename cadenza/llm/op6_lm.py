@@ -12,7 +12,8 @@ blocks then hold all counts that they need; the weights come from a bounded hist
 
 Defined results: a null or empty text has one token, its end. Repeated rows count as often as they
 occur. An empty table gives no rows. Tokens that no training document has get the mixture's uniform
-part. Two different n-grams share a count only if their 64-bit hashes agree.
+part. Two different n-grams share a count only if their 64-bit hashes agree. Ids may be null (a null id
+teaches), repeated and of any type: they pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,12 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from cadenza.llm.arrow import kept_with, text_of
+from cadenza.llm.op7_langid import fold_of
 from cadenza.llm.store import materialized
 
+RESULT = {"held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
+
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 6_000_000
 #: Bytes of text for each shard.
@@ -53,6 +60,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BEGIN_KEY = _mixed(np.array([_BEGIN + np.uint64(1)], np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -98,34 +106,42 @@ class Block:
         self.order = [_mixed(tokens + np.uint64(1))]
         before = tokens
         context = np.zeros(total, np.uint64)
-        self.contexts = []
         for k in range(1, order):
             before = np.concatenate([[_BEGIN], before[:-1]]) if total else before
-            before = np.where(place < k, _BEGIN + np.uint64(0), before)
+            before = np.where(place < k, _BEGIN, before)
             context = _mixed(context * _BASE + before + np.uint64(k))
-            self.contexts.append(_mixed(before + np.uint64(1)) if k == 1 else _mixed(context ^ np.uint64(0xA5A5A5A5 + k)))
             self.order.append(_mixed(_mixed(context + np.uint64(k)) + tokens))
 
     def asked(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys; how often training documents have each; which are single tokens.
 
-        Contexts of one token are counted as tokens; the start of a document and longer contexts have keys of their own.
+        A context has no key of its own: as often as its tokens are followed by one, they occur (contexts_of).
         """
-        taught = train[self.row]
-        keys = [(k, n == 0) for n, k in enumerate(self.order)]
-        extra = [c for c in self.contexts[1:]]
-        begin = _mixed(np.array([_BEGIN + np.uint64(1)], np.uint64))
-        everything = np.concatenate([k for k, _ in keys] + extra + [begin])
-        weight = np.concatenate([taught] * (len(keys) + len(extra)) + [[0]]).astype(np.int64)
+        everything = np.concatenate([*self.order, _BEGIN_KEY])
+        weight = np.concatenate([np.tile(train[self.row], len(self.order)), [0]]).astype(np.int64)
         unique, inverse = np.unique(everything, return_inverse=True)
         counts = np.bincount(inverse, weight, len(unique)).astype(np.int64)
-        counts[np.searchsorted(unique, begin)] += int(train.sum())
+        counts[np.searchsorted(unique, _BEGIN_KEY)] += int(train.sum())
         single = np.zeros(len(unique), bool)
         single[inverse[: len(self.order[0])]] = True
-        single[np.searchsorted(unique, begin)] = False
+        single[np.searchsorted(unique, _BEGIN_KEY)] = False
         return unique, counts, single
 
 
+def contexts_of(counts: list[np.ndarray], lengths: np.ndarray, begin: int) -> list[np.ndarray]:
+    """For each token and each k of 1 to the order less 1: the total of the k tokens before it.
+
+    No context ends with an end, so that its total is the n-gram's that ends one token before; begin
+    (of documents) is the total of the contexts before a document's first token.
+    """
+    starts, out = np.cumsum(lengths) - lengths, []
+    for total in counts[:-1]:
+        before = np.concatenate([[begin], total[:-1]])
+        before[starts] = begin
+        out.append(before)
+    return out
+
+
 def _squeezed(a: np.ndarray) -> bytes:
     """Integers by planes of bytes: compresses well when most are small."""
     return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
@@ -137,23 +153,41 @@ def _restored(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1) if len(planes) else np.zeros(0, kind)
 
 
-def _in_blocks(batches: Iterator[pd.DataFrame], id_col: str) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(block, ids, texts): the same for every scan of the same partitions."""
-    part, count, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, list[bytes]]]:
+    """(block, kept, which rows teach, texts): the same for every scan of the same partitions in the same order."""
+    part, count = TaskContext.get().partitionId(), 0
+    kept, teach, texts, held = [], [], [], 0
     for batch in batches:
-        for key, text in zip(batch[id_col], batch["text"]):
-            ids.append(key)
-            texts.append((text or "").encode())
+        lo = 0
+        for at, (taught, text) in enumerate(zip(batch.column("teach").to_pylist(), batch.column("text").to_pylist())):
+            teach.append(taught)
+            texts.append(text.encode())
             held += len(texts[-1])
             if held >= BLOCK_BYTES:
-                yield part << 24 | count, ids, texts
-                count, ids, texts, held = count + 1, [], [], 0
-    if ids:
-        yield part << 24 | count, ids, texts
+                yield part << 24 | count, pa.concat_arrays([*kept, batch.column("kept").slice(lo, at + 1 - lo)]), np.array(teach, bool), texts
+                count, lo, kept, teach, texts, held = count + 1, at + 1, [], [], [], 0
+        if lo < batch.num_rows:
+            kept.append(batch.column("kept").slice(lo))
+    if texts:
+        yield part << 24 | count, pa.concat_arrays(kept), np.array(teach, bool), texts
+
 
+def _frozen(kept: pa.Array) -> bytes:
+    """Rows of any type as bytes, so that no column of them is looked at on the way."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([kept], names=["kept"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def _teaches(keys: list, folds: int, held_out: int) -> np.ndarray:
-    return np.array([zlib.crc32(str(int(k)).encode()) % folds != held_out if k is not None and k == k else True for k in keys], bool)
+
+def _thawed(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(raw).read_all().column("kept").combine_chunks()
+
+
+def _mark(keys: np.ndarray) -> int:
+    """Of a block's sorted keys: says whether the totals that come back are of the keys that were sent."""
+    return int(np.bitwise_xor.reduce(_mixed(keys))) >> 1 if len(keys) else 0
 
 
 def histogram_of(block: Block, counts: list[np.ndarray], contexts: list[np.ndarray], train: np.ndarray) -> pd.DataFrame:
@@ -219,21 +253,24 @@ def probabilities(counts: list[np.ndarray], contexts: list[np.ndarray], weights:
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose crc32(id as text) mod folds is not held_out."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose crc32(id as text) mod folds is not held_out.
+
+    docs is read twice and must give the same rows in the same order, as files do; where it doesn't (a
+    block's keys differ), the job fails and no wrong score is returned. Write docs to a table first then.
+    """
+    rows = kept_with(docs, [id_col], teach=fold_of(id_col, folds) != held_out, text=text_of(docs, text_col))
+    kept_type = rows.schema["kept"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(1, size // SHARD_BYTES))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, ids, texts in _in_blocks(batches, id_col):
-            keys, counts, single = Block(texts, order).asked(_teaches(ids, folds, held_out))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, teach, texts in _in_blocks(batches):
+            keys, counts, single = Block(texts, order).asked(teach)
             border = np.searchsorted(keys, [np.uint64((s << 64) // shards) for s in range(1, shards)])
             for shard, (k, c, s) in enumerate(zip(np.split(keys, border), np.split(counts, border), np.split(single, border))):
                 if len(k):
-                    delta = np.diff(k, prepend=np.uint64(0))
-                    yield pd.DataFrame({"shard": [shard], "block": [number], "keys": [_squeezed(delta)], "counts": [_squeezed((c.astype(np.uint32) << np.uint32(1)) | s.astype(np.uint32))]})
+                    sent = [shard], [number], [_squeezed(np.diff(k, prepend=np.uint64(0)))], [_squeezed((c.astype(np.uint32) << np.uint32(1)) | s.astype(np.uint32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(sent, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "keys", "counts"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(_restored(k, "<u8")) for k in group["keys"]]
@@ -244,58 +281,63 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: i
         single[inverse[(packed & np.uint32(1)) > 0]] = True
         shares = np.split(totals[inverse], np.cumsum([len(k) for k in keys])[:-1])
         shard = int(group["shard"].iloc[0])
-        found = [(int(b), shard, _squeezed(s.astype("<u4") if s.max(initial=0) < 1 << 32 else s), s.max(initial=0) >= 1 << 32, 0, 0) for b, s in zip(group["block"], shares)]
-        found.append((-1 - shard, shard, b"", False, int(totals[single].sum()), int((totals[single] > 0).sum())))
-        return pd.DataFrame(found, columns=["block", "shard", "totals", "wide", "tokens", "types"])
+        found = [(int(b), shard, _squeezed(s.astype("<u4") if s.max(initial=0) < 1 << 32 else s), s.max(initial=0) >= 1 << 32, _mark(k), 0, 0) for b, k, s in zip(group["block"], keys, shares)]
+        found.append((-1 - shard, shard, b"", False, 0, int(totals[single].sum()), int((totals[single] > 0).sum())))
+        return pd.DataFrame(found, columns=["block", "shard", "totals", "wide", "mark", "tokens", "types"])
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, ids, texts in _in_blocks(batches, id_col):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, kept, teach, texts in _in_blocks(batches):
             lengths = np.array([len(t) for t in texts], "<u4").tobytes()
-            yield pd.DataFrame({"block": [number], "ids": [ids], "lengths": [lengths], "texts": [zlib.compress(b"".join(texts), 1)]})
+            made = [number], [_frozen(kept)], [teach.tobytes()], [lengths], [zlib.compress(b"".join(texts), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int64(), *[pa.binary()] * 4))], names=["block", "kept", "teach", "lengths", "texts"])
 
     def resolve(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["ids", "n_tokens", "counts", "contexts", "begin", "hist", "tokens", "types"]
-        if key[0] < 0 or not len(blocks):
-            return pd.DataFrame([([], b"", [], [], 0, [], int(answers["tokens"].sum()), int(answers["types"].sum()))], columns=columns)
-        ids, lengths, raw = blocks["ids"].iloc[0], np.frombuffer(blocks["lengths"].iloc[0], "<u4"), zlib.decompress(blocks["texts"].iloc[0])
+        columns = ["kept", "teach", "n_tokens", "counts", "begin", "hist", "tokens", "types"]
+        if key[0] < 0:
+            return pd.DataFrame([(b"", b"", b"", [], 0, [], int(answers["tokens"].sum()), int(answers["types"].sum()))], columns=columns)
+        if len(blocks) != 1:
+            raise ValueError("the rows were read in two orders: write them to a table first")
+        lengths, raw, train = np.frombuffer(blocks["lengths"].iloc[0], "<u4"), zlib.decompress(blocks["texts"].iloc[0]), np.frombuffer(blocks["teach"].iloc[0], bool)
         at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         block = Block([raw[a:b] for a, b in zip(at[:-1], at[1:])], order)
-        train = _teaches(list(ids), folds, held_out)
         keys = block.asked(train)[0]
         answers = answers.sort_values("shard")
-        totals = np.concatenate([_restored(t, "<i8" if w else "<u4").astype(np.int64) for t, w in zip(answers["totals"], answers["wide"])])
+        parts = [_restored(t, "<i8" if w else "<u4").astype(np.int64) for t, w in zip(answers["totals"], answers["wide"])]
+        marks = [_mark(k) for k in np.split(keys, np.cumsum([len(x) for x in parts])[:-1])] if sum(map(len, parts)) == len(keys) else None
+        if marks != answers["mark"].tolist():
+            raise ValueError("the rows were read in two orders: write them to a table first")
+        totals = np.concatenate(parts)
         look = lambda k: totals[np.searchsorted(keys, k)]
-        counts, contexts = [look(k) for k in block.order], [look(k) for k in block.contexts]
+        counts = [look(k) for k in block.order]
+        begin = int(look(_BEGIN_KEY)[0])
+        contexts = contexts_of(counts, block.tokens_of, begin)
         hist = histogram_of(block, counts, contexts, train)
-        begin = int(contexts[0][0]) if contexts else 0
         pairs = [{"code": int(c), "n": int(n)} for c, n in zip(hist["code"], hist["n"])]
-        return pd.DataFrame([(list(ids), block.tokens_of.astype("<u4").tobytes(), [_squeezed(c.astype("<u8")) for c in counts], [_squeezed(c.astype("<u8")) for c in contexts[1:]], begin, pairs, 0, 0)], columns=columns)
+        return pd.DataFrame([(blocks["kept"].iloc[0], blocks["teach"].iloc[0], block.tokens_of.astype("<u4").tobytes(), [_squeezed(c.astype("<u8")) for c in counts], begin, pairs, 0, 0)], columns=columns)
 
-    asked = rows.mapInPandas(ask, "shard int, block long, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, totals binary, wide boolean, tokens long, types long")
-    blocks = rows.mapInPandas(packed, f"block long, ids array<{kind}>, lengths binary, texts binary")
+    asked = rows.select("teach", "text", "kept").mapInArrow(ask, "shard int, block long, keys binary, counts binary")
+    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, totals binary, wide boolean, mark long, tokens long, types long")
+    blocks = rows.mapInArrow(packed, "block long, kept binary, teach binary, lengths binary, texts binary")
     resolved = materialized(
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(resolve, f"ids array<{kind}>, n_tokens binary, counts array<binary>, contexts array<binary>, begin long, hist array<struct<code: long, n: long>>, tokens long, types long")
+        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(resolve, "kept binary, teach binary, n_tokens binary, counts array<binary>, begin long, hist array<struct<code: long, n: long>>, tokens long, types long")
     )
     n_all, vocabulary = (int(x or 0) for x in resolved.agg(F.sum("tokens"), F.sum("types")).first())
     hist = resolved.select(F.explode("hist").alias("h")).groupBy("h.code").agg(F.sum("h.n").alias("n")).toPandas()  # cells of logarithms: bounded
     weights = learn_weights(hist, order, n_all, vocabulary)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, lengths, counts, contexts, begin in zip(batch["ids"], batch["n_tokens"], batch["counts"], batch["contexts"], batch["begin"]):
-                lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-                counts, contexts = [_restored(c, "<u8").astype(np.int64) for c in counts], [_restored(c, "<u8").astype(np.int64) for c in contexts]
+            for kept, teach, lengths, counts, begin in zip(*(batch.column(c).to_pylist() for c in ("kept", "teach", "n_tokens", "counts", "begin"))):
+                lengths, train = np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(teach, bool)
+                counts = [_restored(c, "<u8").astype(np.int64) for c in counts]
                 start = np.cumsum(lengths) - lengths
-                if order > 1:  # a context of one token is the token before, or the start of a document
-                    before = np.concatenate([[begin], counts[0][:-1]])
-                    before[start] = begin
-                    contexts = [before, *contexts]
                 single = counts[0].astype(float)
                 base = np.log10((single + 1) / (n_all + vocabulary + 1))
-                model = np.log10(probabilities(counts, contexts, weights, n_all, vocabulary))
+                model = np.log10(probabilities(counts, contexts_of(counts, lengths, begin), weights, n_all, vocabulary))
                 sums = lambda x: np.add.reduceat(x, start)
-                yield pd.DataFrame({id_col: list(ids), "held_out": ~_teaches(list(ids), folds, held_out), "n_tokens": lengths, "n_known": sums((single > 0).astype(np.int64)), "train_tokens": n_all, "base_score": sums(base), "score": sums(model)})
+                made = [~train, lengths, sums((single > 0).astype(np.int64)), np.full(len(train), n_all), sums(base), sums(model)]
+                yield pa.RecordBatch.from_arrays([_thawed(kept), *[pa.array(x) for x in made]], names=["kept", *RESULT])
 
-    result = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return resolved.where(F.size("ids") > 0).select("ids", "n_tokens", "counts", "contexts", "begin").mapInPandas(scored, result)
+    fields = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in RESULT.items())).fields
+    whole = resolved.where(F.length("kept") > 0).select("kept", "teach", "n_tokens", "counts", "begin")
+    return whole.mapInArrow(scored, StructType([kept_type, *fields])).select("kept.*", *RESULT)
