@@ -6,8 +6,9 @@ smallest hash. An empty bin borrows from a bin that a shared random sequence of
 that agree by chance.
 
 Defined results: a null text is an empty text; a text of fewer words than a shingle is one shingle,
-an empty one the empty shingle. Ties in the order of documents are broken by text. Repeated rows give
-repeated rows (the next document may then be a copy). Null ids come last. Extra columns are ignored.
+an empty one the empty shingle. Ties in the order of documents are broken by a hash of the text.
+Repeated rows give repeated rows (the next document may then be a copy). Null ids come last. Ids are
+numbers; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.store import materialized
+
 SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
@@ -22,8 +25,12 @@ LOW_BITS = 8
 #: Attempts of the shared sequence before the whole rest of it is decided at once.
 ATTEMPTS = 12
 SPACES = r"[\x20\x09-\x0D]+"
-#: Text of one bucket of neighbours, and the most buckets that there are.
-BUCKET_BYTES, MAX_BUCKETS = 8_000_000, 4096
+#: Bytes of text of a bucket of neighbours: small ones until all cores have several, then large ones, as many as it takes.
+BUCKET_BYTES, LARGE_BUCKET_BYTES = 8_000_000, 256_000_000
+#: Of the ids, from which the buckets' bounds follow.
+QUANTILES = 1000
+#: More buckets than this are joined by shuffle, not broadcast.
+MAX_BROADCAST_BUCKETS = 200_000
 
 
 def _bin(hashed: Column) -> Column:
@@ -71,30 +78,49 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return with_fingerprint(rows, "_text", "_bins").select(id_col, packed(F.col("_bins")).alias("fingerprint"))
 
 
+def _bucket_of(id_col: Column, hashed: Column, bounds: list, buckets: int, null_buckets: int) -> Column:
+    """A number that grows with (id, hash): bounds are quantiles of the ids; between two of them ids count in proportion,
+    and rows of an id that several bounds have are dealt by their hash. Null ids have numbers under 0, by hash.
+    """
+    share = hashed.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    b = F.lit(bounds)
+    below, same = F.size(F.filter(b, lambda x: x < id_col)), F.size(F.filter(b, lambda x: x == id_col))
+    low, high = F.get(b, below - 1).cast("double"), F.get(b, below).cast("double")
+    between = F.coalesce((id_col.cast("double") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    place = F.when(same > 0, below + 1 + (same - 1) * share).otherwise(below + F.least(between, F.lit(1.0)))
+    numbered = F.floor(place * F.lit(buckets / (len(bounds) + 1)))
+    return F.when(id_col.isNull(), F.floor(share * null_buckets) - null_buckets).otherwise(numbered if bounds else F.lit(0)).cast("long")
+
+
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text beside an edited one, whose last third is the start of the next document (descending id, then text; cyclic), with fingerprints and likenesses.
+    """Each text beside an edited one, whose last third is the start of the next document (descending id, then hash of the text; cyclic), with fingerprints and likenesses.
 
-    Documents are ordered within buckets of neighbouring ids (bounds from approximate quantiles);
-    the few documents at bucket borders are joined in, so that no task sees the whole order.
+    Documents are ordered within buckets of neighbouring ids, whose number grows with the text; what a
+    bucket's last document needs of the next bucket's first is joined in, so that no task sees the whole
+    order, and a task that sees all buckets has a few numbers of each.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = int(min(MAX_BUCKETS, max(1, size // BUCKET_BYTES)))
-    if buckets > 1:
-        bounds = rows.agg(F.percentile_approx("_id", [i / buckets for i in range(1, buckets)], 10 * MAX_BUCKETS)).scalar()
-        below = F.size(F.filter("_bounds", lambda b: b < F.col("_id")))
-        rows = rows.withColumn("_bounds", bounds).withColumn("_bucket", F.when(F.col("_id").isNull(), -1).otherwise(F.coalesce(below, F.lit(0)))).drop("_bounds")
-    else:
-        rows = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), -1).otherwise(0))
-    # the first document of each bucket, and of the bucket that follows it: at most MAX_BUCKETS + 1 rows
-    tops = rows.groupBy("_bucket").agg(F.max("_id").alias("_top"))
-    heads = rows.join(F.broadcast(tops.withColumnRenamed("_bucket", "_of")), (F.col("_bucket") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_top")))
-    heads = with_fingerprint(heads.groupBy("_bucket").agg(F.max("_text").alias("_head")), "_head", "_head_bins")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    found = rows.agg(F.sum(F.octet_length("_text").cast("long")).alias("size"), F.count_if(F.col("_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"), F.percentile_approx("_id", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES).alias("bounds")).first()
+    size, cores = found["size"] or 0, docs.sparkSession.sparkContext.defaultParallelism
+    buckets = int(max(1, min(size // BUCKET_BYTES, 16 * cores), size // LARGE_BUCKET_BYTES))
+    null_buckets = -(-buckets * found["nulls"] // max(1, found["n"]))
+    rows = rows.withColumn("_bucket", _bucket_of(F.col("_id"), F.col("_hash"), list(found["bounds"] or []) if buckets > 1 else [], buckets, null_buckets))
+
+    # of each bucket its first row, and the length of its last one's text
+    key = F.struct(F.col("_id").isNotNull().alias("some"), "_id", "_hash")
+    ends = materialized(rows.groupBy("_bucket").agg(F.max(key).alias("top"), F.min_by(F.length("_text"), key).alias("last")))
     around = Window.orderBy(F.desc("_bucket"))
     whole = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select("_bucket", *[F.coalesce(F.lead(c).over(around), F.first(c).over(whole)).alias(f"{c}_next") for c in ("_head", "_head_bins")])
-
-    order = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("_id"), F.desc("_text"))
+    after = ends.select(F.col("_bucket").alias("_of"), F.floor(F.col("last") / 3).cast("int").alias("_need"), F.coalesce(F.lead("_bucket").over(around), F.first("_bucket").over(whole)).alias("_bucket"))
+    tops = after.join(ends.select("_bucket", F.col("top._id").alias("_id"), F.col("top._hash").alias("_hash")), "_bucket")
+    tops = F.broadcast(tops) if buckets + null_buckets <= MAX_BROADCAST_BUCKETS else tops
+    heads = rows.alias("r").join(tops.alias("t"), (F.col("r._bucket") == F.col("t._bucket")) & F.col("r._id").eqNullSafe(F.col("t._id")) & (F.col("r._hash") == F.col("t._hash")))
+    heads = heads.groupBy("_of", "_need").agg(F.min("_text").alias("_head"))
+    heads = with_fingerprint(heads, "_head", "_next_bins").select(F.col("_of").alias("_bucket"), F.substring(F.col("_head"), F.lit(1), F.col("_need")).alias("_head_next"), F.col("_next_bins").alias("_head_bins_next"))
+    follow = materialized(heads)
+
+    order = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("_id"), F.desc("_hash"))
     placed = rows.select("_bucket", "_id", "_text", F.row_number().over(order).alias("_rank"), F.lead("_text").over(order).alias("_lead")).join(follow, "_bucket")
     n = F.length("_text")
     third = F.floor(n / 3).cast("int")
