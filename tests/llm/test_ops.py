@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm import op1_urls, op2_media, op3_quality, op4_bpe, op5_packing, op6_lm, op7_langid, op8_simhash, op9_chat, op10_minhash
+from cadenza.llm import bytecnn, op1_urls, op2_media, op3_quality, op4_bpe, op5_packing, op6_lm, op7_langid, op8_simhash, op9_chat, op10_minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS, PIECES = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -81,11 +81,11 @@ def test_op2(spark, docs):
 
 def test_op3_and_op7(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 4 != 2)) for i in range(60)] + [(1, None), (None, 1)], "doc_id long, quality int")
-    model = op3_quality.train_quality_model(docs, labels, epochs=12)
+    model = op3_quality.train_quality_model(docs, labels, steps=600)
     got = {r.doc_id: r.score for r in op3_quality.score_quality(docs, model).collect()}
     assert len(got) == 67 and all(0 <= s <= 1 for s in got.values())
     assert op3_quality.train_quality_model(docs, labels.limit(0)).constant == 0.5 and op3_quality.score_quality(empty, model).count() == 0
-    language = op7_langid.train_language_model(docs, epochs=12)
+    language = op7_langid.train_language_model(docs, steps=600)
     rows = op7_langid.predict_languages(docs, language, keep=("lang",)).collect()
     assert len(rows) == docs.count() and {r.lang_pred for r in rows if r.doc_id in (60, 61, 62)} == {"und"}
     held = [r for r in rows if r.doc_id < 60 and r.lang == "fr"]
@@ -130,7 +130,6 @@ def test_op4(docs):
 def test_op5(docs, empty, weights):
     found = op5_packing.pack(docs, PIECES, 1, sequence=64, window_sequences=4, weights=weights).toPandas()
     tokenizer = Tokenizer.from_file(PIECES)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for key, t in texts(docs):
         want[key, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1] += 1
@@ -168,6 +167,47 @@ def test_op6(docs, empty, order):
     assert op6_lm.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_op6_scores_against_naive_deleted_interpolation(spark, order):
+    """Counts, expectation-maximisation and probabilities written out token by token."""
+    rng, words = random.Random(8), [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([3, 25])]) for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    got = {r.doc_id: r for r in op6_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), order=order).collect()}
+    tokens = {i: ["<s>"] * (order - 1) + [*t.split(), "</s>"] for i, t in rows}
+    taught = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    grams = [Counter(tuple(w[j - k : j + 1]) for i in taught for w in [tokens[i]] for j in range(order - 1, len(w))) for k in range(order)]
+    heads = [Counter(tuple(w[j - k : j]) for i in taught for w in [tokens[i]] for j in range(order - 1, len(w))) for k in range(order)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    places = [(w, j) for i in taught for w in [tokens[i]] for j in range(order - 1, len(w))]
+    bucket = lambda c: int(math.log2(c)) + 1 if c > 0 else 0
+    lower, shares = [1 / (v + 1)] * len(places), []
+    for k in range(order):
+        found = [(max(heads[k][tuple(w[j - k : j])] - 1, 0), grams[k][tuple(w[j - k : j + 1])] - 1) for w, j in places]
+        share = dict.fromkeys(range(64), 0.5)
+        ratio = [min(1.0, c / h) if h else 0.0 for h, c in found]
+        at = [0 if k == 0 else bucket(h) for h, _ in found]
+        for _ in range(40):
+            part, seen = Counter(), Counter()
+            for b, r, p in zip(at, ratio, lower):
+                long, short = share[b] * r, (1 - share[b]) * p
+                part[b] += long / (long + short)
+                seen[b] += 1
+            share = {b: (part[b] + 0.5) / (seen[b] + 1) for b in range(64)}
+        share = {b: min(max(s, 1e-6), 1 - 1e-6) for b, s in share.items()} | ({0: 0.0} if k else {})
+        lower = [share[b] * r + (1 - share[b]) * p for b, r, p in zip(at, ratio, lower)]
+        shares.append(share)
+    for i, w in tokens.items():
+        total = 0.0
+        for j in range(order - 1, len(w)):
+            p = 1 / (v + 1)
+            for k, share in enumerate(shares):
+                h = n if k == 0 else heads[k][tuple(w[j - k : j])]
+                s = share[0 if k == 0 else bucket(h)]
+                p = s * (grams[k][tuple(w[j - k : j + 1])] / h if h else 0.0) + (1 - s) * p
+            total += math.log10(p)
+        assert got[i].score == pytest.approx(total, rel=0.03)  # the weights come from counts in cells of a quarter of a doubling
+
+
 def test_op6_is_a_distribution():
     """The mixture over all words and one unknown sums to 1 in a context."""
     counts = np.array([5, 3, 2, 0])
@@ -191,6 +231,15 @@ def roots_of(ids, links):
     return {i: find(i) for i in ids}
 
 
+def test_op5_ids_are_those_of_the_plain_call():
+    tokenizer, own = Tokenizer.from_file(PIECES), op5_packing.word_tokenizer(PIECES)
+    rng = random.Random(2)
+    made = ["hi <|endoftext|> there", "<|ENDOFTEXT|> a<|startoftext|>b", "", " ", "a<|endoftext|>", "<|endoftext|><|endoftext|>"]
+    made += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "é", "E", " ", "'s", "日", "1", "\n", "\u0301", "<|EndOfText|>"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    for text, ids in zip(made, own.encode([t.encode() for t in made])):
+        assert np.frombuffer(ids, own.type).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_op5_keeps_a_queue_for_each_of_many_sources(spark):
     """1,100 sources of 4 documents, in order of their sources, and one large source; the same with weights."""
     rows = [(4 * n + i, f"w{n} x", f"src{n:04}") for n in range(1100) for i in range(4)] + [(5000 + i, "a b c d e f", "large") for i in range(400)]
@@ -288,8 +337,111 @@ def test_op10(docs, empty):
     assert op10_minhash.edited_neighbours(empty).count() == 0
 
 
+def test_op10_fingerprints_against_a_naive_sketch(spark, docs):
+    """One permutation, bins, densification by the shared sequence, low-order bits: word by word, with the library's hash."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+
+    def chained(*values):
+        seed = 42
+        for x in values:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else int(x).to_bytes(8, "little", signed=True), seed)
+        return seed
+
+    def sketch(text):
+        w = WORD.findall(text)
+        hashes = {chained(*w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {chained(" ".join(w))}
+        least = {}
+        for h in sorted(hashes, key=signed):
+            least.setdefault(h >> 57, signed(h))
+        out = []
+        for b in range(128):
+            value = least.get(b)
+            for t in range(op10_minhash.ATTEMPTS):
+                if value is None:
+                    value = least.get(signed(chained(b, t)) % 128)
+            if value is None:
+                value = min((signed(chained(b, x)), v) for x, v in least.items())[1]
+            out.append(value & 255)
+        return out
+
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.where("doc_id <> 5").collect()), key=lambda x: -x[0])
+    got = {r.doc_id: r for r in op10_minhash.edited_neighbours(docs.where("doc_id <> 5")).collect()}
+    like = lambda a, b: max(0.0, (sum(x == y for x, y in zip(a, b)) / 128 - 1 / 256) / (1 - 1 / 256))
+    prints = [sketch(t) for _, t in rows]
+    for i, (key, text) in enumerate(rows):
+        k, follow = len(text) // 3, (i + 1) % len(rows)
+        edited = sketch(text[: len(text) - k] + rows[follow][1][:k])
+        assert got[key].fingerprint == bytes(prints[i]).hex() and got[key].edited_fingerprint == bytes(edited).hex()
+        assert got[key].near_next == pytest.approx(like(prints[i], prints[follow])) and got[key].near_edited == pytest.approx(like(prints[i], edited))
+
+
+def test_op10_hot_and_null_ids_are_dealt_over_buckets(spark, monkeypatch):
+    """400 rows of one id and 400 without one: a bucket number grows with (id, hash), and none holds them all."""
+    monkeypatch.setattr(op10_minhash, "BUCKET_BYTES", 2000)
+    rows = [(7, f"a{i} b c d e {i}") for i in range(400)] + [(None, f"n{i} b c d e {i}") for i in range(400)] + [(i, f"x{i} b c d e") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = op10_minhash.edited_neighbours(docs).collect()
+    assert len(got) == 1200
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    bounds = hashed.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 10_000)).first()[0]
+    placed = hashed.withColumn("b", op10_minhash._bucket_of(F.col("doc_id"), F.col("h"), bounds, 40, 14)).collect()
+    order = sorted(placed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert [r.b for r in order] == sorted(r.b for r in order)
+    assert max(Counter(r.b for r in placed).values()) < 100 and len({r.b for r in placed}) > 40
+    text = {(r.doc_id, t): h for r, t, h in ((r, r.text, r.h) for r in docs.withColumn("h", F.xxhash64("text")).collect())}
+    ranked = [(i, t) for _, _, i, t in sorted(((i is not None, (i or 0, h), i, t) for (i, t), h in text.items()), key=lambda x: x[:2], reverse=True)]
+    edits = Counter()
+    for (i, t), (_, follow) in zip(ranked, ranked[1:] + ranked[:1]):
+        edits[i, sha256((t[: len(t) - len(t) // 3] + follow[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == edits
+
+
 def test_op10_buckets_do_not_change_results(docs, monkeypatch):
     columns = ["doc_id", "edited_sha256", "fingerprint", "near_edited", "near_next"]
     one = op10_minhash.edited_neighbours(docs).toPandas()[columns].sort_values(columns).reset_index(drop=True)
     monkeypatch.setattr(op10_minhash, "BUCKET_BYTES", 20_000)
     assert op10_minhash.edited_neighbours(docs).toPandas()[columns].sort_values(columns).reset_index(drop=True).equals(one)
+
+
+def test_byte_networks_against_loops():
+    """Windows, the forward pass and gradients by differences."""
+    rng = np.random.default_rng(1)
+    made = [b"", b"ab", bytes(rng.integers(1, 255, 23, dtype=np.uint8)), bytes(rng.integers(1, 255, 50, dtype=np.uint8))]
+    windows, first, held = bytecnn.windows_of(made, 10, 8, 2)
+    at = 0
+    for i, t in enumerate(made):
+        assert first[i] == at
+        starts = [0]
+        while starts[-1] + 10 < len(t):
+            starts.append(starts[-1] + 8)
+        for lo in starts:
+            assert bytes(windows[at]) == (t + bytes(20))[lo : lo + 12] and held[at] == min(10, max(0, len(t) - lo))
+            at += 1
+    net = bytecnn.ByteCNN.fresh((2, 3), 4, 3, 5)
+    net.bias += rng.normal(0, 0.1, net.bias.shape).astype(np.float32)
+    z = net.logits(windows)
+    for w, row in zip(windows, z):
+        hidden = []
+        for f in range(8):
+            width = 3 if f < 4 else 2
+            hidden.append(max(0.0, max(sum(net.tables[j][w[p + j], f] for j in range(width)) for p in range(10)) + net.bias[f]))
+        assert row == pytest.approx(np.array(hidden) @ net.dense + net.dense_bias, abs=1e-4)
+    labels = rng.integers(0, 3, len(windows))
+    loss = lambda n: -np.log(bytecnn.softmax(n.logits(windows).astype(float)))[np.arange(len(labels)), labels].mean()
+    before = loss(net)
+    net.train(windows, labels, np.ones(len(labels)), 60, 1)
+    assert loss(net) < 0.5 * before
+
+
+def test_quality_combines_all_chunks_of_a_text():
+    """The score of a long text follows from every chunk's log-odds."""
+    net = bytecnn.ByteCNN.fresh((3,), 4, 2, 1)
+    model = op3_quality.QualityModel(net, np.array([0.5, -0.2, 0.3, 0.1]))
+    made = [b"", b"short", bytes(range(32, 127)) * 40]
+    for t, s in zip(made, model.score(made)):
+        odds = []
+        for lo in [0, *range(op3_quality.STRIDE, max(1, len(t) - op3_quality.CHUNK + op3_quality.STRIDE), op3_quality.STRIDE)]:
+            z = net.logits(np.frombuffer((t + bytes(1000))[lo : lo + op3_quality.CHUNK + 2], np.uint8)[None])
+            odds.append(float(z[0, 1] - z[0, 0]))
+        want = 0.5 * np.mean(odds) - 0.2 * min(odds) + 0.3 * max(odds) + 0.1
+        assert s == pytest.approx(1 / (1 + math.exp(-want)), abs=1e-5)
