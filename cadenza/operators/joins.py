@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,13 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     return both.withColumn(out, F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_time", "_side", "_value")
 
 
-def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, cell: float) -> DataFrame:
-    """points with inside: whether an interval [start, end) of the same key holds them.
+def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """points with inside: whether an interval [start, end) of the same key holds them; intervals may overlap.
 
-    Both sides meet on (keys, cell): an interval enters each cell that it touches, so the join is an
-    equi-join whose buckets are bounded by cells, and a long recording is not one task.
+    One window over both: a point is inside if the furthest end of the intervals that have begun lies
+    beyond it. No row is multiplied, and neither side is read twice.
     """
-    cells = intervals.select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b")).where("_a < _b").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_a") / cell), F.floor(F.col("_b") / cell))))
-    held = points.withColumn("_cell", F.floor(F.col(at) / cell))
-    fits: Column = (F.col(at) >= F.col("_a")) & (F.col(at) < F.col("_b"))
-    hits = held.select(*keys, at, "_cell").distinct().join(cells, [*keys, "_cell"]).where(fits).select(*keys, at).distinct().withColumn("inside", F.lit(True))
-    return held.drop("_cell").join(hits, [*keys, at], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    begun = intervals.where(F.col(start) < F.col(end)).select(*keys, F.col(start).cast("double").alias("_time"), F.col(end).cast("double").alias("_end"), F.lit(0).alias("_side"))
+    both = points.withColumn("_time", F.col(at).cast("double")).withColumn("_side", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    reach = F.max("_end").over(Window.partitionBy(*keys).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("inside", F.coalesce(reach > F.col("_time"), F.lit(False))).where("_side = 1").drop("_time", "_side", "_end")

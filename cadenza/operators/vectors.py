@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators import rules
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -38,11 +43,102 @@ def centroids(df: DataFrame, keys: list[str], vector: str, out: str = "centroid"
     return mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(out))
 
 
+#: Vectors of a side of a block: two of them and their products are in a task's memory at once.
+BLOCK = 1000
+#: Centres up to this are sent to every task, their size is checked; more meet the points in blocks.
+MAX_SENT_CENTRES = 10_000
+
+
+def _unit_rows(vectors: list) -> np.ndarray:
+    x = np.array(vectors, float)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(n > 1e-8, x / np.maximum(n, 1e-300), x)
+
+
+def similar_pairs(df: DataFrame, key: str, id_col: str, vector: str, least: float) -> DataFrame:
+    """key, a, b (a < b), similarity of the pairs of one key whose cosine is at least ``least``.
+
+    A key's vectors are dealt into blocks of about BLOCK by a hash of the id; each two blocks of a key are
+    one matrix product. A large key is many groups of bounded size, not one. ids are unique in a key.
+    """
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = df.select(key, id_col, F.col(vector).alias("_v")).join(sizes, key).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    copies = dealt.select(key, id_col, "_v", "_own", every.alias("_met"))
+    copies = copies.select(key, id_col, "_v", "_own", F.least("_own", "_met").alias("_x"), F.greatest("_own", "_met").alias("_y"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group["_x"].iloc[0], group["_y"].iloc[0]
+        one, two = group[group["_own"] == x], group[group["_own"] == y]
+        found = pd.DataFrame({key: [], "a": [], "b": [], "similarity": []})
+        if len(one) and len(two):
+            products = _unit_rows(list(one["_v"])) @ _unit_rows(list(two["_v"])).T
+            i, j = np.nonzero(products >= least)
+            a, b = one[id_col].to_numpy()[i], two[id_col].to_numpy()[j]
+            keep = a < b if x == y else np.ones(len(a), bool)
+            found = pd.DataFrame({key: group[key].iloc[0], "a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": products[i, j][keep]})
+        return found
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return copies.groupBy(key, "_x", "_y").applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, a {kind}, b {kind}, similarity double")
+
+
 def nearest(points: DataFrame, centres: DataFrame, point_id: str, vector: str, centre_id: str, centre: str, least: float) -> DataFrame:
-    """point_id, the most similar centre and its similarity, where that is at least ``least``; ties go to the smaller id. centres: a small checked table."""
-    met = points.select(point_id, vector).join(F.broadcast(centres.select(centre_id, centre)), F.lit(True)).select(point_id, centre_id, cosine(F.col(vector), F.col(centre)).alias("similarity"))
-    best = met.groupBy(point_id).agg(F.max(F.struct("similarity", (-F.col(centre_id)).alias("_neg"))).alias("m"))
-    return best.select(point_id, (-F.col("m._neg")).alias(centre_id), F.col("m.similarity").alias("similarity")).where(F.col("similarity") >= least)
+    """point_id, the most similar centre and its similarity, where that is at least ``least``; ties go to the smaller id.
+
+    Centres are counted first: a few are sent to every task, more meet the points block by block.
+    """
+    if centres.count() <= MAX_SENT_CENTRES:
+        sent = centres.select(centre_id, centre).orderBy(centre_id).toPandas()
+        names, matrix = sent[centre_id].to_numpy(), _unit_rows(list(sent[centre])) if len(sent) else np.zeros((0, 1))
+        kind = centres.schema[centre_id].dataType.simpleString()
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(names):
+                    products = _unit_rows(list(batch[vector])) @ matrix.T
+                    at = products.argmax(1)
+                    yield pd.DataFrame({point_id: batch[point_id], centre_id: names[at], "similarity": products[np.arange(len(at)), at]})
+
+        met = points.select(point_id, vector).mapInPandas(best, f"`{point_id}` {points.schema[point_id].dataType.simpleString()}, `{centre_id}` {kind}, similarity double")
+        return met.where(F.col("similarity") >= least)
+    slices, blocks = (F.lit(max(1, -(-df.count() // BLOCK))).cast("long") for df in (points, centres))
+    one = points.select(F.col(point_id).alias("p"), F.col(vector).alias("v"), F.pmod(F.xxhash64(point_id), slices).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("y"))
+    two = centres.select(F.col(centre_id).alias("c"), F.col(centre).alias("w"), F.pmod(F.xxhash64(centre_id), blocks).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("x"))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("c")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"p": [], "c": [], "s": []})
+        products = _unit_rows(list(a["v"])) @ _unit_rows(list(b["w"])).T
+        at = products.argmax(1)
+        return pd.DataFrame({"p": a["p"].to_numpy(), "c": b["c"].to_numpy()[at], "s": products[np.arange(len(at)), at]})
+
+    met = one.groupBy("x", "y").cogroup(two.groupBy("x", "y")).applyInPandas(product, f"p {points.schema[point_id].dataType.simpleString()}, c {centres.schema[centre_id].dataType.simpleString()}, s double")
+    found = met.groupBy("p").agg(F.max("s").alias("similarity"), F.min(F.struct((-F.col("s")).alias("n"), "c")).alias("m"))
+    return found.select(F.col("p").alias(point_id), F.col("m.c").alias(centre_id), "similarity").where(F.col("similarity") >= least)
+
+
+def verified(tests: DataFrame, enrolled: DataFrame, name: str, f0: str = "f0_vec", variance: str = "var_vec") -> DataFrame:
+    """name, similarity, sim_f0, sim_var, confidence, verdict, note of each test against the enrolled voice (two-stream verifier).
+
+    enrolled: chunks of one voice. Its pitch centroid is the mean of chunks with a pitch, each of length 1;
+    its variances are the mean of chunks that have one over 1 (all ones if there are none). Without a
+    chunk with a pitch this fails: nobody is enrolled.
+    """
+    pitch = centroids(enrolled.where(norm(F.col(f0)) > 1e-8).select(F.lit(1).alias("k"), unit(F.col(f0)).alias("v")), ["k"], "v", "c").select(unit(F.col("c")).alias("pitch"))
+    spread = centroids(enrolled.where(F.exists(variance, lambda x: x > 1.0)).select(F.lit(1).alias("k"), F.col(variance).alias("v")), ["k"], "v", "c").select(F.col("c").alias("spread"))
+    held, other = pitch.first(), spread.first()  # one row each
+    if held is None:
+        raise ValueError("nobody is enrolled: no chunk has a pitch")
+    voice = F.lit([float(x) for x in held["pitch"]])
+    varied = F.lit([float(x) for x in other["spread"]] if other else [1.0] * 10)
+    scored = tests.select(name, dot(voice, unit(F.col(f0))).alias("_f0"), variance_ratio(varied, F.col(variance)).alias("_var"))
+    fused = 0.65 * F.greatest(F.lit(0.0), F.col("_f0")) + 0.35 * F.col("_var")
+    scored = scored.withColumn("_fused", fused)
+    return scored.select(
+        name, F.bround("_fused", 4).alias("similarity"), F.bround("_f0", 4).alias("sim_f0"), F.bround("_var", 4).alias("sim_var"), rules.verdict_confidence(F.col("_fused")).alias("confidence"), verdict(F.col("_fused")).alias("verdict"), rules.verdict_note(F.col("_fused"), F.col("_f0"), F.col("_var")).alias("note")
+    )
 
 
 def verdict(score: Column) -> Column:
@@ -93,31 +189,46 @@ def pair_regime(mfcc: Column, f0_a: Column, f0_b: Column, flat_a: Column, flat_b
 
 
 def agglomerate(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """key, node, cluster: merges the clusters whose best pair exceeds its threshold most, until none does.
+    """key, node, cluster: merges the two clusters whose best pair exceeds its threshold most, until none does; numbers are in order of the clusters' first nodes.
 
-    pairs: key, a, b, similarity, threshold (a < b); nodes: key, node. A key is one recording, whose segments are few.
+    pairs: key, a, b, similarity, threshold (a < b); nodes: key, node. A key is one recording, whose
+    segments are few; a heap finds the next two, so a merge costs time in proportion to the smaller cluster's neighbours.
     """
 
     def run(key_values: tuple, nodes_pdf: pd.DataFrame, pairs_pdf: pd.DataFrame) -> pd.DataFrame:
         order = sorted(nodes_pdf["node"])
-        group = {n: i for i, n in enumerate(order)}
-        best: dict[tuple[int, int], tuple[float, float]] = {}
+        number = {n: i for i, n in enumerate(order)}
+        near: list[dict[int, tuple[float, float]]] = [{} for _ in order]
         for a, b, s, t in zip(pairs_pdf["a"], pairs_pdf["b"], pairs_pdf["similarity"], pairs_pdf["threshold"]):
-            i, j = sorted((group[a], group[b]))
-            best[i, j] = max(best.get((i, j), (-np.inf, 0.0)), (s, t), key=lambda x: x[0])
-        while best:
-            (i, j), (s, t) = max(best.items(), key=lambda x: (x[1][0] - x[1][1], -x[0][0], -x[0][1]))
-            if s < t:
-                break
-            group = {n: i if g == j else g for n, g in group.items()}
-            merged: dict[tuple[int, int], tuple[float, float]] = {}
-            for (x, y), value in best.items():
-                x, y = sorted((i if x == j else x, i if y == j else y))
-                if x != y and (merged.get((x, y)) is None or value[0] > merged[x, y][0]):
-                    merged[x, y] = value
-            best = merged
+            i, j = number[a], number[b]
+            if j not in near[i] or s > near[i][j][0]:
+                near[i][j] = near[j][i] = (s, t)
+        heap = [(t - s, i, j, s) for i, row in enumerate(near) for j, (s, t) in row.items() if i < j]
+        heapify(heap)
+        into = list(range(len(order)))
+        while heap and heap[0][0] <= 0:
+            _, i, j, s = heappop(heap)
+            if into[i] != i or into[j] != j or near[i].get(j, (None,))[0] != s:
+                continue  # one of them is no more, or they have a better pair by now
+            into[j] = i
+            del near[i][j]
+            for other, (s, t) in near[j].items():
+                if other == i:
+                    continue
+                del near[other][j]
+                if other not in near[i] or s > near[i][other][0]:
+                    near[i][other] = near[other][i] = (s, t)
+                s, t = near[i][other]
+                heappush(heap, (t - s, min(i, other), max(i, other), s))
+            near[j] = {}
+
+        def root(i: int) -> int:
+            while into[i] != i:
+                into[i] = i = into[into[i]]
+            return i
+
         names: dict[int, int] = {}
-        return pd.DataFrame({key: key_values[0], "node": order, "cluster": [names.setdefault(group[n], len(names)) for n in order]})
+        return pd.DataFrame({key: key_values[0], "node": order, "cluster": [names.setdefault(root(i), len(names)) for i in range(len(order))]})
 
     kind = nodes.schema[key].dataType.simpleString()
     return nodes.groupBy(key).cogroup(pairs.groupBy(key)).applyInPandas(run, f"`{key}` {kind}, node {nodes.schema['node'].dataType.simpleString()}, cluster long")

@@ -124,7 +124,7 @@ def turn_zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 def noise_floor_fold(spark: SparkSession, sf: str) -> DataFrame:
     marked = frames(spark, sf).withColumn("speech", F.col("value") > 60)
-    return folds.noise_floor(marked, K, ["idx"], "value", "speech", calibrate=10).select("user_id", F.col("index").cast("long").alias("idx"), F.round("floor", 9).alias("floor"))
+    return folds.noise_floor(marked, K, ["idx"], "value", "speech", calibrate=10).select("user_id", "idx", F.round("floor", 9).alias("floor"))
 
 
 def ema_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +158,7 @@ def voiced_accumulate(spark: SparkSession, sf: str) -> DataFrame:
 def interval_join(spark: SparkSession, sf: str) -> DataFrame:
     """Values inside merged segments, 0 elsewhere."""
     at = frames(spark, sf).withColumn("ts", F.col("idx").cast("double"))
-    found = joins.in_intervals(at, merge_close_segments(spark, sf), K, "ts", "start_s", "end_s", 16.0)
+    found = joins.in_intervals(at, merge_close_segments(spark, sf), K, "ts", "start_s", "end_s")
     return found.select("user_id", "idx", F.when(F.col("inside"), F.col("value")).otherwise(0.0).alias("value"))
 
 
@@ -212,9 +212,8 @@ def histogram_smooth(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of one label with a similarity of 0.25 or more."""
-    e = table(spark, sf, "embeddings")
-    a, b = (e.select("label", F.col("vec_id").alias(x), vectors.unit(F.col("embedding")).alias(f"v{x}")) for x in "ab")
-    return a.join(b, "label").where("a < b").withColumn("similarity", vectors.dot(F.col("va"), F.col("vb"))).where("similarity >= 0.25").select("a", "b", F.round("similarity", 5).alias("similarity"))
+    found = vectors.similar_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.25)
+    return found.select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
 def pair_regimes(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,8 +250,9 @@ def online_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agglomerative(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = pairwise_cosine(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"), "label"), "a").withColumn("threshold", F.lit(0.3))
-    return vectors.agglomerate(pairs, table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("node")), "label")
+    e = table(spark, sf, "embeddings")
+    pairs = vectors.similar_pairs(e, "label", "vec_id", "embedding", 0.25).withColumn("threshold", F.lit(0.3))
+    return vectors.agglomerate(pairs, e.select("label", F.col("vec_id").alias("node")), "label")
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,6 +326,11 @@ ORACLES = {
             SELECT user_id, event_type, min(idx) FROM fr GROUP BY user_id, event_type
             UNION ALL SELECT * FROM (SELECT f.user_id, f.event_type, min(fr.idx) AS idx FROM f JOIN fr ON fr.user_id = f.user_id AND fr.event_type = f.event_type AND fr.idx >= f.idx + 10 GROUP BY f.user_id, f.event_type))
         SELECT user_id, event_type, idx FROM f""",
+    "greedy_dedup": f"""WITH RECURSIVE {FRAMES}, o AS (SELECT user_id, idx, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, idx) AS k FROM fr WHERE value > 60),
+        r(user_id, k, kept) AS (
+            SELECT user_id, k, [idx] FROM o WHERE k = 1
+            UNION ALL SELECT o.user_id, o.k, CASE WHEN list_min(list_transform(r.kept, lambda x: abs(x - o.idx))) < 3 THEN r.kept ELSE list_append(r.kept, o.idx) END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+        SELECT user_id, idx, fr.value FROM (SELECT user_id, unnest(arg_max(kept, k)) AS idx FROM r GROUP BY user_id) JOIN fr USING (user_id, idx)""",
     "asof_latest_flag": f"WITH {FRAMES} SELECT l.user_id, l.idx, r.value AS latest FROM (SELECT * FROM fr WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT * FROM fr WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.idx >= r.idx",
     "evidence_window": f"WITH {FRAMES} SELECT user_id, idx, n, round(total, 9) AS total FROM (SELECT *, count(*) OVER w AS n, sum(value) OVER w AS total FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS 9 PRECEDING)) WHERE event_type = 'purchase'",
     "voiced_accumulate": f"""WITH {FRAMES}, v AS (SELECT *, (row_number() OVER {W} - 1) // 7 AS "group" FROM fr WHERE value > 20) SELECT user_id, "group", max(idx) AS at, round(sum(value), 9) AS total FROM v GROUP BY user_id, "group" HAVING count(*) = 7""",

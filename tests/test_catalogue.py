@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from cadenza.plans import catalogue
+from cadenza.plans import catalogue, voices
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,13 +28,16 @@ def close(a, b):
     return a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-5
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+QUERIES, ORACLES = catalogue.QUERIES | voices.QUERIES, catalogue.ORACLES | voices.ORACLES
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows_of(df.columns, df.collect())
-    assert got or name in ()
-    if name in catalogue.ORACLES:
-        found = duck.execute(catalogue.ORACLES[name])
+    assert got
+    if name in ORACLES:
+        found = duck.execute(ORACLES[name])
         columns = [c[0] for c in found.description]
         want = rows_of(columns, found.fetchall())
         assert sorted(columns) == sorted(df.columns)

@@ -3,14 +3,12 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
 from cadenza.operators import folds, islands, vectors
 from cadenza.sources import wav
-from cadenza.streaming import session
 
 
 def test_hysteresis_against_a_state_machine(spark):
@@ -65,38 +63,3 @@ def test_wav_round_trip_scan_and_frames(spark, tmp_path):
     assert len(features) == 2 and features[0].rms == pytest.approx(0.35, abs=0.02)
     assert [r.recording_id for r in wav.read_recordings(spark, str(tmp_path), without="b.WAV").collect()] == ["a"]
     assert np.abs(wav.decode_wav(wav.encode_wav(x)) - x).max() < 1e-4
-
-
-def chunks(sessions=3, n=200):
-    rng, rows = np.random.default_rng(2), []
-    for s in range(sessions):
-        enrolled = rng.normal(size=8)
-        for i in range(n):
-            v = (enrolled if i % 40 < 20 else rng.normal(size=8)).tolist() if i % 10 == 0 else None
-            rows.append((f"s{s}", i, float(rng.random() * 0.5 + 0.3), v, bool(rng.random() < 0.3), enrolled.tolist()))
-    return rows
-
-
-SCHEMA = "session_id string, chunk_idx long, speech_prob double, embedding array<double>, lip_active boolean, enrolled array<double>"
-
-
-def test_batch_sessions_equal_a_plain_loop(spark):
-    rows = chunks()
-    got = session.session_events_batch(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values(["session_id", "chunk_idx"]).values.tolist()
-    pdf, want = pd.DataFrame(rows, columns=["session_id", "chunk_idx", "speech_prob", "embedding", "lip_active", "enrolled"]), []
-    for key, part in pdf.groupby("session_id"):
-        want += [list(x) for x in session.run_chunks(session.Session(), key, part)]
-    assert got and [g[:3] for g in got] == [w[:3] for w in want]
-
-
-def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
-    rows = chunks()
-    for i in range(4):
-        spark.createDataFrame([r for r in rows if r[1] // 50 == i], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = session.session_events(stream).writeStream.format("memory").queryName("events_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    got = sorted((r.session_id, r.chunk_idx, r.event_type) for r in spark.table("events_out").collect())
-    want = sorted((r.session_id, r.chunk_idx, r.event_type) for r in session.session_events_batch(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == want
