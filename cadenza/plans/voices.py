@@ -150,11 +150,38 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(-1, "SEGMENTS")], "line long, text string").unionByName(lines)
 
 
+def merged_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Strong flags of two detectors, merged where they overlap: kind, scenario, severity, and the details of the first beside those of the last."""
+    f = frames(spark, sf).where(F.col("event_type").isin("click", "purchase") & (F.col("value") >= 15))
+    a = F.col("event_type") == "click"
+    one = f.select(
+        "user_id", F.col("idx").cast("double").alias("start_s"), (F.col("idx") + F.floor(F.col("value") / 40) + 1).cast("double").alias("end_s"), F.when(a, "A").otherwise("B").alias("scenario"), (F.col("value") / 100).alias("confidence"),
+        F.when(a, "MULTIPLE_SPEAKERS_SIMULTANEOUS").otherwise("POSSIBLE_VOICE_CHANGE").alias("kind"), F.create_map(F.lit("z"), F.round("value", 2).cast("string")).alias("details"),
+    )
+    order = F.struct("start_s", "scenario")
+    merged = islands.merge_intervals(
+        one, K, "start_s", "end_s", 0.5,
+        {"n": F.count("*"), "kinds": F.count_distinct("scenario"), "one": F.min("scenario"), "kind": F.min("kind"), "confidence": F.max("confidence"), "first": F.min_by("details", order), "last": F.max_by("details", order)},
+    )
+    several = F.col("n") > 1
+    details = F.when(several, F.map_concat("first", F.create_map(F.lit("merged_with"), F.element_at("last", "z")))).otherwise(F.col("first"))
+    return merged.select(
+        "user_id", "start_s", "end_s", F.when(several, "MULTIPLE_SPEAKERS_DETECTED").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kinds") > 1, "AB").otherwise(F.col("one")).alias("scenario"), F.round("confidence", 9).alias("confidence"), rules.severity(F.col("confidence")).alias("severity"),
+        F.element_at(details, "z").alias("z"), F.element_at(details, "merged_with").alias("merged_with"),
+    )
+
+
+def flagged_voices(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts by how many are flagged (uncertain or no match) and how many are the enrolled voice (match or likely), by label."""
+    found = verified_voices(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    return found.groupBy("label").agg(F.count_if(F.col("verdict").isin("MISMATCH", "UNCERTAIN")).alias("flagged"), F.count_if(F.col("verdict").isin("MATCH", "LIKELY")).alias("enrolled"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         frame_kernels, voice_gate, noise_counts, two_voices, flag_events, turn_comparison, frame_distance, fallback_activity, merged_segments, verified_voices, smooth_histogram, enrolment_chunks, rechunked_blocks,
-        speaker_audio, level_plot, report_lines,
+        speaker_audio, level_plot, report_lines, merged_flags, flagged_voices,
     )
 }
 
@@ -190,6 +217,13 @@ WAVES = f"""{FRAMES}, j AS (SELECT unnest(range(512)) AS j),
         z AS (SELECT user_id, sum(m * m) + 1e-10 AS total, sum(m * m) FILTER (WHERE f BETWEEN 80 AND 3400) AS voice, sum((m + 1e-10) ** 2) FILTER (WHERE f BETWEEN 200 AND 3400) AS speech, max((m + 1e-10) ** 2) FILTER (WHERE f BETWEEN 200 AND 3400) AS top, sum((m + 1e-10) ** 2) AS raised, sum(f * m * m) AS moment,
                      exp(avg(ln(m + 2e-10)) FILTER (WHERE f BETWEEN 80 AND 3400)) / (avg(m + 1e-10) FILTER (WHERE f BETWEEN 80 AND 3400) + 1e-10) AS flatness, exp(avg(ln(m + 1e-10))) / avg(m + 1e-10) AS full_flatness, count(*) FILTER (WHERE run < 0.85 * (whole + 1e-10)) * 31.25 AS rolloff FROM c GROUP BY user_id)"""
 
+#: u has the fused score x of each vector against label 0.
+VERIFIED = f"""e AS (SELECT vec_id, label, embedding AS f, list_transform(embedding[1:10], lambda x: x::DOUBLE * x::DOUBLE * 400) AS v, sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings),
+        c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(list_transform(f, lambda x: x::DOUBLE / n)) AS x, generate_subscripts(f, 1) AS i FROM e WHERE label = 0 AND n > 1e-8) GROUP BY i)),
+        w AS (SELECT list(m ORDER BY i) AS w FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE label = 0 AND list_max(v) > 1) GROUP BY i)),
+        s AS (SELECT vec_id, {COS.format(a="f", b="c")} AS f0, list_sum(list_transform(list_zip(w, v), lambda p: least(p[1], p[2]) / (greatest(p[1], p[2]) + 1e-8))) / 10 AS var FROM e, c, w),
+        u AS (SELECT *, 0.65 * greatest(0, f0) + 0.35 * var AS x FROM s)"""
+
 ORACLES = {
     "frame_kernels": f"""WITH {WAVES} SELECT user_id, round(rms, 4) AS rms, round(voice / total, 4) AS band_ratio, round(speech / (raised + 1e-10), 4) AS speech_ratio, round(top / (speech + 1e-10), 4) AS peak_ratio, round(flatness, 4) AS flatness, round(full_flatness, 4) AS full_flatness,
         round(10 * log10(peak / (1 - peak + 1e-10) + 1e-10), 4) AS hnr_db, round(CASE WHEN strength >= 0.3 THEN 16000.0::DOUBLE / best ELSE 0 END, 4) AS f0_hz, round(moment / total, 4) AS centroid, round(least(rolloff, 8000)::DOUBLE, 4) AS rolloff, round(zcr, 4) AS zcr, round(mfcc1, 4) AS mfcc1, round(mfcc2, 4) AS mfcc2
@@ -224,13 +258,13 @@ ORACLES = {
             SELECT l.user_id, l.k, CASE WHEN l.start_s - r.b < 4 THEN r.a ELSE l.start_s END, l.end_s, CASE WHEN l.start_s - r.b < 4 THEN (r.rms * (r.b - r.a) + l.rms * (l.end_s - l.start_s)) / (r.b - r.a + l.end_s - l.start_s) ELSE l.rms END, CASE WHEN l.start_s - r.b < 4 THEN r.n + 1 ELSE 1 END
             FROM r JOIN l ON l.user_id = r.user_id AND l.k = r.k + 1)
         SELECT user_id, greatest(0, a - 1)::DOUBLE AS start_s, b + 1 AS end_s, round(rms, 7) AS rms, n, rms < 5 * 8.0 AS is_whisper FROM (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY k) AS next_a FROM r) WHERE next_a IS NULL OR next_a <> a""",
-    "verified_voices": f"""WITH e AS (SELECT vec_id, label, embedding AS f, list_transform(embedding[1:10], lambda x: x::DOUBLE * x::DOUBLE * 400) AS v, sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings),
-        c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(list_transform(f, lambda x: x::DOUBLE / n)) AS x, generate_subscripts(f, 1) AS i FROM e WHERE label = 0 AND n > 1e-8) GROUP BY i)),
-        w AS (SELECT list(m ORDER BY i) AS w FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE label = 0 AND list_max(v) > 1) GROUP BY i)),
-        s AS (SELECT vec_id, {COS.format(a="f", b="c")} AS f0, list_sum(list_transform(list_zip(w, v), lambda p: least(p[1], p[2]) / (greatest(p[1], p[2]) + 1e-8))) / 10 AS var FROM e, c, w),
-        u AS (SELECT *, 0.65 * greatest(0, f0) + 0.35 * var AS x FROM s)
-        SELECT vec_id, round_even(x, 4) AS similarity, round_even(f0, 4) AS sim_f0, round_even(var, 4) AS sim_var, round_even(CASE WHEN x >= 0.72 THEN least(1, 0.75 + (x - 0.72) / 0.28) WHEN x >= 0.55 THEN 0.5 + 0.25 * (x - 0.55) / 0.17 WHEN x >= 0.35 THEN 0.25 * (x - 0.35) / 0.2 ELSE least(1, (0.35 - x) / 0.2) END, 3) AS confidence,
+    "verified_voices": f"""WITH {VERIFIED} SELECT vec_id, round_even(x, 4) AS similarity, round_even(f0, 4) AS sim_f0, round_even(var, 4) AS sim_var, round_even(CASE WHEN x >= 0.72 THEN least(1, 0.75 + (x - 0.72) / 0.28) WHEN x >= 0.55 THEN 0.5 + 0.25 * (x - 0.55) / 0.17 WHEN x >= 0.35 THEN 0.25 * (x - 0.35) / 0.2 ELSE least(1, (0.35 - x) / 0.2) END, 3) AS confidence,
                CASE WHEN x >= 0.72 THEN 'MATCH' WHEN x >= 0.55 THEN 'LIKELY' WHEN x >= 0.35 THEN 'UNCERTAIN' ELSE 'MISMATCH' END AS verdict FROM u""",
+    "flagged_voices": f"WITH {VERIFIED} SELECT label, count(*) FILTER (WHERE x < 0.55) AS flagged, count(*) FILTER (WHERE x >= 0.55) AS enrolled FROM u JOIN embeddings USING (vec_id) GROUP BY label",
+    "merged_flags": f"""WITH {FRAMES}, b AS (SELECT user_id, idx::DOUBLE AS start_s, (idx + floor(value / 40) + 1)::DOUBLE AS end_s, CASE event_type WHEN 'click' THEN 'A' ELSE 'B' END AS scenario, value FROM fr WHERE event_type IN ('click', 'purchase') AND value >= 15),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start_s) AS grp FROM (SELECT *, coalesce((start_s > max(end_s) OVER (PARTITION BY user_id ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.5)::INT, 1) AS new FROM b))
+        SELECT user_id, min(start_s) AS start_s, max(end_s) AS end_s, CASE WHEN count(*) > 1 THEN 'MULTIPLE_SPEAKERS_DETECTED' WHEN min(scenario) = 'A' THEN 'MULTIPLE_SPEAKERS_SIMULTANEOUS' ELSE 'POSSIBLE_VOICE_CHANGE' END AS kind, CASE WHEN count(DISTINCT scenario) > 1 THEN 'AB' ELSE min(scenario) END AS scenario,
+               round(max(value) / 100, 9) AS confidence, CASE WHEN max(value) / 100 >= 0.9 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(arg_min(value, start_s), 2)::VARCHAR AS z, CASE WHEN count(*) > 1 THEN round(arg_max(value, start_s), 2)::VARCHAR END AS merged_with FROM g GROUP BY user_id, grp""",
     "smooth_histogram": """WITH b AS (SELECT event_type, least(floor((value - 60) / 4.25)::INT + 1, 80) AS bin, count(*) AS n FROM events WHERE value >= 60 AND value <= 400 GROUP BY ALL),
         k AS (SELECT d, exp(-0.5 * (d / 2.0::DOUBLE) ** 2) AS w FROM (SELECT unnest(range(-6, 7)) AS d)), s AS (SELECT event_type, bin + d AS bin, sum(n * w / (SELECT sum(w) FROM k)) AS x FROM b, k WHERE bin + d BETWEEN 1 AND 80 GROUP BY ALL)
         SELECT event_type, bin::BIGINT AS bin, round(x / sqrt(sum(x * x) OVER (PARTITION BY event_type)), 7) AS share FROM s""",
