@@ -262,7 +262,7 @@ def duplicate_classes(docs: DataFrame, row_col: str, words: int, similarity: flo
 
     First every probe of a few segments meets one member of its table entry, that of the smallest number:
     pairs stay in proportion to documents, and what they join is one group from then on. Then all
-    segments: every probe meets every member of another group (but for those of an entry's largest group,
+    segments: every probe meets every member of another group (but for those of an entry's first group,
     which the others probe). Distances far from the threshold decide at once; in between, three standard
     deviations to either side, the texts' exact similarity does.
     """
@@ -342,21 +342,19 @@ def met_in_blocks(every: DataFrame, prints: DataFrame, limits: Limits) -> DataFr
     """(node, group, other, other_group, distance): each probe with each member of its table entry that is of another group and not too far.
 
     every: key, node, group, sketch, short, member (of the entry, and not only a probe); prints: node, fp.
-    The entry's largest group doesn't probe, it is probed by the others: time is in proportion to pairs of
-    different groups even if a group fills the entry. An entry's pairs are made in blocks of BLOCK rows a
-    side. Only probes that have a partner of a near sketch (64 bits that no key has), and members of
+    The entry's first group doesn't probe, it is probed by the others. As groups have the number of their
+    first member, the first one is mostly the largest: time is in proportion to pairs of different groups
+    even if a group fills the entry. An entry's pairs are made in blocks of BLOCK rows a side. Only probes that have a partner of a near sketch (64 bits that no key has), and members of
     their entries, are given their fingerprints, so that chance meetings, whose number grows faster than
     the documents, stay small rows.
     """
-    several = materialized(every.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count_if("member").alias("members")).where("lo != hi and members > 0").select("key"))
-    live = materialized(every.join(F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several.hint("merge"), "key", "left_semi"))
-    counts = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("member").alias("m"))
-    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "group")).alias("big"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-    blocks = sizes.select("key", F.col("big.group").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).alias("left"), F.ceil(F.col("m") / BLOCK).alias("right"))
+    several = materialized(every.groupBy("key").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.count_if("member").alias("members")).where("first != last and members > 0").select("key", "first"))
+    live = materialized(every.join(F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several.hint("merge"), "key").where("member or group != first"))
+    blocks = live.groupBy("key").agg(F.ceil(F.count_if(F.col("group") != F.col("first")) / BLOCK).alias("left"), F.ceil(F.count_if("member") / BLOCK).alias("right"))
     sized = live.join(blocks.hint("merge"), "key")
     block = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
     copies = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    probes = sized.where("group != big").select("key", block("left").alias("x"), copies("right").alias("y"), "node", "group", "sketch", "short")
+    probes = sized.where("group != first").select("key", block("left").alias("x"), copies("right").alias("y"), "node", "group", "sketch", "short")
     members = materialized(sized.where("member").select("key", copies("left").alias("x"), block("right").alias("y"), F.col("node").alias("other"), F.col("group").alias("other_group"), F.col("sketch").alias("other_sketch")))
     at = ["key", "x", "y"]
     meet = [probes[c] == members[c] for c in at] + [probes["group"] != members["other_group"], near(limits)]
