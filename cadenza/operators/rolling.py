@@ -29,12 +29,12 @@ def centred_smooth(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn(out, F.when(F.count("*").over(w) > 2 * half + 1, F.sum(value).over(around) / (2 * half + 1)).otherwise(F.col(value)))
 
 
-def percentile_threshold(df: DataFrame, keys: list[str], value: str, p: float, floor: float, minimum: float, least: int, out: str = "gate") -> DataFrame:
-    """The p-th percentile (linear interpolation) of the values above floor, if there are enough, and at least minimum."""
+def percentile_threshold(df: DataFrame, keys: list[str], value: str, p: float, floor: float, minimum: float, least: int, out: str = "gate", default: float | None = None) -> DataFrame:
+    """The p-th percentile (linear interpolation) of the values above floor, if there are enough, else the default (minimum if there is none); at least minimum."""
     w = Window.partitionBy(*keys)
     above = F.when(F.col(value) > floor, F.col(value))
     found = F.when(F.count(above).over(w) >= least, F.percentile(above, p).over(w))
-    return df.withColumn(out, F.greatest(F.coalesce(found, F.lit(minimum)), F.lit(minimum)))
+    return df.withColumn(out, F.greatest(F.coalesce(found, F.lit(minimum if default is None else default)), F.lit(minimum)))
 
 
 def voiced_groups(df: DataFrame, keys: list[str], order: list[str], voiced: Column, size: int = 63) -> DataFrame:

@@ -13,17 +13,18 @@ from cadenza.functions import kernels
 from cadenza.operators import folds, histograms, islands, rolling, rules, turns, vectors
 from cadenza.plans.catalogue import ACTIVE, COS, FRAMES, K, SEGMENTS, W, ZCONF, active, frames, table, vad_segments
 from cadenza.sources import wav
+from cadenza.streaming import session
 
 #: Two pi, as both engines take it.
 CIRCLE = 6.283185307179586
 
 
-def waves(spark: SparkSession, sf: str) -> DataFrame:
+def waves(spark: SparkSession, sf: str, n: int = 512) -> DataFrame:
     """user_id, samples."""
     tones = frames(spark, sf).where("idx < 4").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_t"))
     tone = lambda t, j: F.sin(F.lit(CIRCLE) * (100 + t["value"]) * j / 16000.0) * (0.05 + 0.02 * t["idx"])
     noise = lambda j: ((j * 7919 + F.col("user_id") * 104729) % 1000 / 1000.0 - 0.5) * 0.02
-    samples = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda j: F.aggregate("_t", noise(j), lambda s, t: s + tone(t, j)))
+    samples = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate("_t", noise(j), lambda s, t: s + tone(t, j)))
     return tones.select("user_id", samples.alias("samples"))
 
 
@@ -177,11 +178,41 @@ def flagged_voices(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("label").agg(F.count_if(F.col("verdict").isin("MISMATCH", "UNCERTAIN")).alias("flagged"), F.count_if(F.col("verdict").isin("MATCH", "LIKELY")).alias("enrolled"))
 
 
+def silence_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """0.65 of the median of each user's values over 5 (0.02 where there are none), and how many frames are over it."""
+    gated = rolling.percentile_threshold(frames(spark, sf), K, "value", 0.5, 5.0, 0.0, 1, default=0.02)
+    return gated.groupBy("user_id").agg(F.round(F.max("gate") * 0.65, 9).alias("gate"), F.count_if(F.col("value") > F.col("gate") * 0.65).alias("voiced"))
+
+
+def segment_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """31 numbers for each user's wave of 4096 samples; pytest holds them against a naive version."""
+    made = kernels.with_vectors(waves(spark, sf, 4096), K)
+    return made.select("user_id", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
+
+
+def voice_prints(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's wave of 4096 samples as two streams; pytest holds them against a naive version."""
+    made = kernels.with_streams(waves(spark, sf, 4096), K)
+    return made.select("user_id", F.transform("f0_vec", lambda x: F.round(x, 6)).alias("f0_vec"), F.transform("var_vec", lambda x: F.round(x, 4)).alias("var_vec"))
+
+
+def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events and summaries of sessions: a chunk for each event, some with the vector of a voice; pytest holds the operator against an independent loop, in batch and as a stream."""
+    voice = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    f = frames(spark, sf).withColumn("_vec", F.when(F.col("idx") % 5 == 0, F.col("idx") % 3 + F.col("user_id") % 100))
+    chunks = f.join(voice, "_vec", "left").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("idx").alias("chunk_idx"), (F.col("value") / 50).alias("speech_prob"), "embedding", F.when(F.col("event_type") == "click", True).when(F.col("event_type") == "view", False).alias("lip_active"), F.when(F.col("idx") == 0, F.col("embedding")).alias("enrolled")
+    )
+    found = session.session_events_batch(chunks, summaries=True)
+    return found.select("session_id", "chunk_idx", "event_type", "confidence", "verify_score", "n_speakers", "lip_active", "total_chunks_processed", "total_speech_s", "verify_score_mean", "verify_score_min", "enrolled")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         frame_kernels, voice_gate, noise_counts, two_voices, flag_events, turn_comparison, frame_distance, fallback_activity, merged_segments, verified_voices, smooth_histogram, enrolment_chunks, rechunked_blocks,
-        speaker_audio, level_plot, report_lines, merged_flags, flagged_voices,
+        speaker_audio, level_plot, report_lines, merged_flags, flagged_voices, silence_gate,
+        segment_vectors, voice_prints, live_sessions,
     )
 }
 
@@ -273,6 +304,8 @@ ORACLES = {
     "rechunked_blocks": f"WITH {FRAMES} SELECT user_id, idx // 16 AS frame_idx, round(sum(value), 7) AS total FROM fr GROUP BY ALL HAVING count(*) = 16",
     "speaker_audio": f"""WITH {FRAMES}, s AS (SELECT user_id, event_type, idx AS a FROM fr WHERE idx % 4 = 0), n AS (SELECT user_id, count(*) AS n FROM fr GROUP BY user_id)
         SELECT s.user_id, s.event_type, n, round(sum(fr.value::FLOAT::DOUBLE), 3) AS total FROM s JOIN fr ON fr.user_id = s.user_id AND fr.idx >= a AND fr.idx < a + 4 JOIN n ON n.user_id = s.user_id GROUP BY s.user_id, s.event_type, n""",
+    "silence_gate": f"""WITH {FRAMES}, g AS (SELECT user_id, 0.65::DOUBLE * coalesce(quantile_cont(value, 0.5) FILTER (WHERE value > 5), 0.02) AS gate FROM fr GROUP BY user_id)
+        SELECT user_id, round(max(gate), 9) AS gate, count(*) FILTER (WHERE value > gate) AS voiced FROM fr JOIN g USING (user_id) GROUP BY user_id""",
     "level_plot": f"WITH {FRAMES} SELECT user_id, idx, value, round(CASE WHEN count(*) OVER (PARTITION BY user_id) > 5 THEN sum(value) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE value END, 7) AS smooth, value > median(value) OVER (PARTITION BY user_id) AS over_median FROM fr",
     "report_lines": f"WITH {FRAMES}, {ACTIVE}, {SEGMENTS} SELECT -1::BIGINT AS line, 'SEGMENTS' AS text UNION ALL SELECT user_id, printf('user %d: %d segments, %.1f s', user_id, count(*), sum(end_s - start_s)) FROM seg GROUP BY user_id",
 }
