@@ -28,7 +28,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text of a bucket of neighbours: small ones until all cores have several, then large ones, as many as it takes.
 BUCKET_BYTES, LARGE_BUCKET_BYTES = 8_000_000, 256_000_000
 #: Of the ids, from which the buckets' bounds follow.
-QUANTILES = 1000
+QUANTILES = 128
 #: More buckets than this are joined by shuffle, not broadcast.
 MAX_BROADCAST_BUCKETS = 200_000
 
