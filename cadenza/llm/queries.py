@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import op1_urls, op2_media, op3_quality, op4_bpe, op5_packing, op6_lm, op7_langid, op8_simhash, op9_chat, op10_minhash
+from cadenza.llm import op1_urls, op2_media, op3_quality, op4_bpe, op5_packing, op6_lm, op7_langid, op8_simhash, op9_chat, op10_minhash, op11_trie, op12_codes, op13_mixing
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: A document is good if its score is at least this.
@@ -74,6 +74,19 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_minhash.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = op11_trie.digested(_table(spark, sf_dir, "conversations"))
+    return op11_trie.prefix_trie(*op11_trie.with_shared_heads(turns))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_codes.encode_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_media_columns": op2_media_columns,
@@ -85,8 +98,38 @@ QUERIES = {
     "op8_simhash_links": op8_simhash_links,
     "op9_chat_format": op9_chat_format,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_mix": op13_source_mix,
 }
 
+
+def _codes_sql(parts: int = op12_codes.PARTS, entries: int = op12_codes.ENTRIES, rounds: int = op12_codes.ROUNDS, scale: int = op12_codes.SCALE) -> str:
+    """Plain Lloyd over all entries, round by round."""
+    steps = [
+        f"""WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        ints AS MATERIALIZED (
+            SELECT n, (i - 1) // (len(embedding) // {parts}) AS part, (i - 1) % (len(embedding) // {parts}) AS pos, floor({scale} * embedding[i]::DOUBLE)::BIGINT AS v
+            FROM kept, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)),
+        b0 AS MATERIALIZED (SELECT part, n - 1 AS entry, pos, v FROM ints WHERE n <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT n, part, min((d, entry)) AS best FROM (SELECT n, part, entry, sum((i.v - b.v) * (i.v - b.v))::BIGINT AS d FROM ints i JOIN b{r} b USING (part, pos) GROUP BY n, part, entry) GROUP BY n, part),
+        b{r + 1} AS MATERIALIZED (
+            SELECT b.part, b.entry, b.pos, coalesce(m.v, b.v) AS v
+            FROM b{r} b LEFT JOIN (SELECT i.part, a.best[2] AS entry, i.pos, floor(sum(i.v) / count(*))::BIGINT AS v FROM ints i JOIN a{r} a USING (n, part) GROUP BY ALL) m USING (part, entry, pos))"""
+        )
+    return ",\n        ".join(steps) + f""",
+        coded AS (SELECT n, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY n)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+        FROM kept JOIN coded USING (n)
+    """
+
 ORACLES = {
     "op1_url_filter": f"""
         WITH rules(host, path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
@@ -117,4 +160,37 @@ ORACLES = {
                sum(n)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op11_prefix_trie": """
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(concat(strlen(coalesce(role, '')), ':', role, text)), 32)) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        crcs AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT)),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM own)),
+        rebuilt AS (
+            SELECT c.conv_id, o.place AS nth, 0 AS side, o.role, o.text FROM crcs c JOIN own o ON o.conv_id = c.base AND o.place <= c.h
+            UNION ALL SELECT c.conv_id, o.place, 1, o.role, o.text FROM crcs c JOIN own o ON o.conv_id = c.conv_id AND o.place > c.h),
+        turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, nth) AS depth, sha256(strlen(role) || ':' || role || text) AS turn, length(text) AS chars FROM rebuilt),
+        passed AS (
+            SELECT conv_id, depth, chars, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM turns
+            UNION ALL SELECT conv_id, 0, 0, '' FROM crcs),
+        ended AS (SELECT conv_id, max(depth) AS depth FROM passed GROUP BY conv_id),
+        nodes AS (
+            SELECT p.node, min(p.conv_id) AS owner, p.depth, count(*) AS n_convs, max(p.chars) AS chars,
+                   sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE p.depth = e.depth), '')) AS ends_sha256
+            FROM passed p JOIN ended e USING (conv_id) GROUP BY p.node, p.depth),
+        family AS (SELECT n.node, p.node AS parent FROM nodes n JOIN passed p ON p.conv_id = n.owner AND p.depth = n.depth - 1),
+        children AS (SELECT parent AS node, count(*) AS n FROM family GROUP BY parent),
+        above AS (SELECT n.node AS below, p.node AS node FROM nodes n JOIN passed p ON p.conv_id = n.owner AND p.depth <= n.depth),
+        sums AS (
+            SELECT a.node, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved_tokens
+            FROM above a JOIN nodes b ON b.node = a.below LEFT JOIN children c ON c.node = a.below GROUP BY a.node)
+        SELECT n.owner AS conv_id, n.depth::BIGINT AS depth, p.owner AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+               s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s USING (node) LEFT JOIN family f USING (node) LEFT JOIN nodes p ON p.node = f.parent LEFT JOIN children c ON c.node = n.node
+    """,
+    "op12_vector_codes": _codes_sql(),
 }
