@@ -3,7 +3,8 @@
 Each chunk's filters are max-pooled into a chunk's log-odds; a logistic combination of their mean,
 smallest and largest gives the document's probability of quality 1.
 
-The model learns from whole texts of a bounded sample of labelled ids, each chunk of them.
+The model learns from whole texts of a bounded sample of labelled ids, each chunk of them. The sample is
+the first max_rows by a hash, as far as they fit into SAMPLE_BYTES; a text that doesn't fit is passed over.
 
 Defined results: a null or empty text is one chunk of zeros and has a score as any other. With no
 labelled row, or labels of one kind only, every score is that kind's share (0.5 without rows). An id

@@ -5,7 +5,8 @@ the whole tokens that its share entitles it to so far; the fraction it could not
 is carried into the next window. As the deficit after any number of windows follows from the shares
 alone, each partition computes it for the windows that its documents fall into: nothing is handed
 from task to task, and no queue passes through one task. Queues of less than a token a window take turns:
-together they are one queue, over which each one's tokens are spread.
+together they are one queue, over which each one's tokens are spread in golden-ratio steps; the places of
+any of its tokens are found by arithmetic, so that no queue is listed anywhere.
 
 Steps: tokenize once and write the ids to a shared table; sum tokens by (partition, source), prefix
 sums give every document its place in its queue, and every queue its place among the queues (there is
@@ -42,6 +43,8 @@ from cadenza.llm.store import materialized
 #: Distinct words of a generation: a worker remembers the words of this one and, until it fills up, of the one before.
 CACHE_ENTRIES = 300_000
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids")
+#: Tokens of a window for each queue on average, at least: pieces get shorter with more queues in a window.
+RUN = 512
 #: Slices of the table of queues, whose sums the driver adds up.
 SLICES = 64
 #: More rows of (partition, source) than this are joined by shuffle, not broadcast.
@@ -178,18 +181,106 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     return rows.mapInArrow(run, StructType([rows.schema["kept"], *made.fields]))
 
 
+def turns(total: int, window: int, below: int, amount: int, at: int, length: int) -> list[tuple[int, int, int]]:
+    """(tokens before, length, position) of each piece of a queue's tokens [at, at + length), where every window of total tokens takes of a queue what its share entitles it to so far.
+
+    A queue of a token or more a window, or the first one (below is 0), is never owed a negative number.
+    """
+    low, high, pieces, done = below, below + amount, [], 0
+    taken = lambda w: min(w * window, total) * high // total - min(w * window, total) * low // total
+    w = at * total // (amount * window)
+    while w and taken(w) > at:
+        w -= 1
+    while taken(w + 1) <= at:
+        w += 1
+    while done < length:
+        begun, x, y = taken(w), min(w * window, total), min((w + 1) * window, total)
+        n = min(length - done, taken(w + 1) - at)
+        if n > 0:
+            pieces.append((done, n, x + (y * low // total - x * low // total) + at - begun))
+            done, at = done + n, at + n
+        w += 1
+    return pieces
+
+
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """The sum of (a * i + b) // m for i from 0 to n - 1, by Euclid's steps; a and b are not negative."""
+    total = 0
+    while n > 0:
+        total += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        if top < m:
+            break
+        n, b, m, a = top // m, top % m, a, m
+    return total
+
+
+@dataclass(frozen=True)
+class Steps:
+    """The places (below + j) * step modulo whole of a small queue's tokens j < amount, in order: golden-ratio steps, so that they are far apart, and those of different queues differ."""
+
+    below: int
+    amount: int
+    whole: int
+
+    @property
+    def step(self) -> int:
+        return _step(self.whole)
+
+    def before(self, x: int) -> int:
+        """How many places are under x."""
+        shift = self.below * self.step % self.whole
+        return floor_sum(self.amount, self.whole, self.step, shift) - floor_sum(self.amount, self.whole, self.step, shift - x + self.whole) + self.amount
+
+    def nth(self, k: int) -> int:
+        """The j whose place is the k-th, from 0."""
+        low, high = 0, self.whole  # before(low) <= k < before(high)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if self.before(middle) > k else (middle, high)
+        return (low * pow(self.step, -1, self.whole) - self.below) % self.whole if self.whole > 1 else 0
+
+    def places(self, start: int, length: int) -> Iterator[int]:
+        """The start-th place and those after it: there are three ways from one to the next, by j."""
+        if not length:
+            return
+        j, ends = self.nth(start), _ends(self.amount, self.whole)
+        for _ in range(length):
+            yield (self.below + j) * self.step % self.whole
+            if ends:
+                first, last = ends
+                j += first if j < self.amount - first else -last if j >= last else first - last
+
+
+@lru_cache(maxsize=256)
+def _step(whole: int) -> int:
+    return next(x for x in range(max(1, int(whole * 0.6180339887498949)), 2 * whole + 2) if math.gcd(x, whole) == 1)
+
+
+@lru_cache(maxsize=4096)
+def _ends(amount: int, whole: int) -> tuple[int, int] | None:
+    """The j from 1 on whose j * step modulo whole are the smallest and the largest."""
+    places = Steps(0, amount, whole)
+    return (places.nth(1), places.nth(amount - 1)) if amount > 1 else None
+
+
 @dataclass(frozen=True)
 class Phase:
-    """A stretch of the packed tokens during which the same queues are served. amounts: each queue's tokens in it."""
+    """A stretch of the packed tokens during which the same queues are served.
+
+    queues: (whether it has less than a token a window, tokens of the queues before it, its own) of each in
+    it; small ones come first and have small tokens together.
+    """
 
     start: int
     length: int
     served: dict[str, int]  # before this phase
-    below: dict[str, int]  # amounts of the queues before this one
-    amounts: dict[str, int]
+    small: int
+    queues: dict[str, tuple[bool, int, int]]
 
 
-def plan_phases(totals: dict[str, int], weights: dict[str, float] | None) -> list[Phase]:
+def plan_phases(totals: dict[str, int], weights: dict[str, float] | None, window: int) -> list[Phase]:
     """Phases in order. Without weights the queues' own sizes are the target, and one phase serves all.
 
     The driver plans queues with a weight only (pack): as many as the caller lists, in space quadratic in that.
@@ -204,11 +295,12 @@ def plan_phases(totals: dict[str, int], weights: dict[str, float] | None) -> lis
         share = {q: s for q, s in share.items() if s > 0} or {q: float(left[q]) for q in left}
         turns = min(left[q] / s for q, s in share.items())
         amounts = {q: left[q] if weights is None or left[q] / s <= turns else min(left[q], int(s * turns)) for q, s in share.items()}
-        below, total = {}, 0
-        for q, n in amounts.items():
-            below[q], total = total, total + n
-        phases.append(Phase(start, total, dict(served), below, amounts))
-        start += total
+        amounts = {q: n for q, n in amounts.items() if n}
+        total, queues, below = sum(amounts.values()), {}, 0
+        for q, n in sorted(amounts.items(), key=lambda x: x[1] * window >= total):
+            queues[q], below = (n * window < total, below, n), below + n
+        phases.append(Phase(start, total, dict(served), sum(n for few, _, n in queues.values() if few), queues))
+        start += phases[-1].length
         for q, n in amounts.items():
             served[q] += n
             left[q] -= n
@@ -217,48 +309,28 @@ def plan_phases(totals: dict[str, int], weights: dict[str, float] | None) -> lis
 
 
 def place(phases: list[Phase], queue: str, start: int, length: int, window: int, sequence: int) -> list[tuple[int, int, int]]:
-    """(tokens before, length, position among all packed tokens) of each piece of the tokens [start, start + length) of a queue."""
+    """(tokens before, length, position among all packed tokens) of each piece of the tokens [start, start + length) of a queue, cut at the ends of sequences."""
     pieces, done = [], 0
     for phase in phases:
-        amount = phase.amounts.get(queue, 0)
         at = start + done - phase.served.get(queue, 0)
-        if done == length or not amount or at >= amount or at < 0:
+        if done == length or queue not in phase.queues or at < 0 or at >= phase.queues[queue][2]:
             continue
-        low, high, total = phase.below[queue], phase.below[queue] + amount, phase.length
-        taken = lambda w: min(w * window, total) * high // total - min(w * window, total) * low // total
-        w = at * total // (amount * window)
-        while w and taken(w) > at:
-            w -= 1
-        while taken(w + 1) <= at:
-            w += 1
-        while done < length and at < amount:
-            begun, x = taken(w), min(w * window, total)
-            n = min(length - done, taken(w + 1) - at)
-            y = min((w + 1) * window, total)
-            slot = phase.start + x + (y * low // total - x * low // total) + at - begun
+        few, below, amount = phase.queues[queue]
+        part = min(length - done, amount - at)
+        if few:
+            found = [(i, 1, turns(phase.length, window, 0, phase.small, p, 1)[0][2]) for i, p in enumerate(Steps(below, amount, phase.small).places(at, part))]
+        else:
+            found = turns(phase.length, window, below, amount, at, part)
+        for before, n, slot in found:
+            before, slot = done + before, phase.start + slot
             while n > 0:
-                part = min(n, sequence - slot % sequence)
-                pieces.append((done, part, slot))
-                done, at, n, slot = done + part, at + part, n - part, slot + part
-            w += 1
+                cut = min(n, sequence - slot % sequence)
+                pieces.append((before, cut, slot))
+                before, n, slot = before + cut, n - cut, slot + cut
+        done += part
     return pieces
 
 
-@lru_cache(maxsize=64)
-def spread(below: int, amount: int, whole: int) -> list[int]:
-    """The places of a small queue's tokens, in order, among those of all small queues: golden-ratio steps, so that they are far apart; those of different queues differ."""
-    step = next(x for x in range(max(1, int(whole * 0.6180339887498949)), 2 * whole + 2) if math.gcd(x, whole) == 1)
-    return sorted((below + j) * step % whole for j in range(amount))
-
-
-def place_small(phase: Phase, below: int, amount: int, start: int, length: int, window: int, sequence: int) -> list[tuple[int, int, int]]:
-    """As place, for a queue of less than a token a window; the phase has all such queues as its first, named small."""
-    places, whole = spread(below, amount, phase.amounts["small"]), []
-    for done in range(length):
-        whole += [(done, n, slot) for _, n, slot in place([phase], "small", places[start + done], 1, window, sequence)]
-    return whole
-
-
 def in_one_phase(totals: DataFrame, window: int) -> tuple[DataFrame, int, int]:
     """(queue, amount, below of each queue, where all are served in proportion to their sizes; tokens of all; tokens of small queues).
 
@@ -279,21 +351,24 @@ def in_one_phase(totals: DataFrame, window: int) -> tuple[DataFrame, int, int]:
     return summed.select("queue", "amount", (F.col("slice_base") + F.col("below")).alias("below")), tokens, sum(r["small"] for r in slices)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048, window_sequences: int = 16, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048, window_sequences: int | None = None, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (and ids).
 
     weights: target share of tokens by source value; None: the corpus's own shares, held in every window.
+    window_sequences: sequences of a window; None: 16, or as many as give a queue RUN tokens of it on average.
     """
+    if id_col in PIECE:
+        raise ValueError(f"the id column has the name of a result's: {id_col}")
     table = materialized(tokenized(docs, tokenizer_path, end_id, id_col, text_col, source_col))
     sums = table.groupBy("queue", "part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialized(sums.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("queue", "part", "base", "tokens"))
     totals, listed = bases.groupBy("queue").agg(F.sum("tokens").alias("amount")), {f"s:{k}": float(v) for k, v in (weights or {}).items() if v > 0}
+    window = sequence * (window_sequences or max(16, -(-RUN * totals.count() // sequence)))
     # queues with a weight, as many as the caller lists, are planned here; the others are served after them, in one phase
     names = F.broadcast(docs.sparkSession.createDataFrame([(q,) for q in listed], "queue string"))
-    phases = plan_phases({r["queue"]: r["amount"] for r in totals.join(names, "queue", "left_semi").collect()}, listed) if listed else []
+    phases = plan_phases({r["queue"]: r["amount"] for r in totals.join(names, "queue", "left_semi").collect()}, listed, window) if listed else []
     start = sum(p.length for p in phases)
-    window = sequence * window_sequences
     others, length, in_small = in_one_phase(totals.join(names, "queue", "left_anti"), window)
     small = materialized(bases.join(others, "queue", "left").select("queue", "part", "base", "amount", "below"))
     small = F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
@@ -307,13 +382,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048
             columns = [batch.column(c).to_pylist() for c in ("queue", "n_tokens", "ids", "amount", "below")]
             for row, (queue, n, raw, amount, below) in enumerate(zip(*columns)):
                 ids, at = np.frombuffer(raw, stored).astype("<u4"), base[row] + part_start[row]
-                if amount < 0:
-                    pieces = place(phases, queue, at, n, window, sequence)
-                elif below < in_small:
-                    pieces = place_small(Phase(start, length, {}, {"small": 0}, {"small": in_small}), below, amount, at, n, window, sequence)
-                else:
-                    pieces = place([Phase(start, length, {}, {queue: below}, {queue: amount})], queue, at, n, window, sequence)
-                for done, size, slot in pieces:
+                served = phases if amount < 0 else [Phase(start, length, {}, in_small, {queue: (below < in_small, below, amount)})]
+                for done, size, slot in place(served, queue, at, n, window, sequence):
                     piece = ids[done : done + size].tobytes()
                     at_row.append(row)
                     out.append((done, size, zlib.crc32(piece), n, slot // sequence, slot % sequence, queue, piece))
@@ -322,5 +392,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048
             yield pa.RecordBatch.from_arrays([batch.column("kept").take(pa.array(at_row, pa.int64())), *arrays[: 7 + with_ids]], names=["kept", *PIECE][: 8 + with_ids])
 
     made = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(PIECE[: 7 + with_ids], ["long"] * 6 + ["string", "binary"])))
-    rows = placed.select("kept", "queue", "base", "part_start", "n_tokens", "ids", F.coalesce("amount", F.lit(-1)).alias("amount"), F.coalesce("below", F.lit(-1)).alias("below"))
+    rows = placed.select("kept", "queue", "base", "part_start", "n_tokens", "ids", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("amount", "below")])
     return rows.mapInArrow(cut, StructType([rows.schema["kept"], *made.fields])).select("kept.*", *PIECE[: 7 + with_ids])

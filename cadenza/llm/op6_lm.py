@@ -258,6 +258,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, order: i
     docs is read twice and must give the same rows in the same order, as files do; where it doesn't (a
     block's keys differ), the job fails and no wrong score is returned. Write docs to a table first then.
     """
+    if id_col in RESULT:
+        raise ValueError(f"the id column has the name of a result's: {id_col}")
     rows = kept_with(docs, [id_col], teach=fold_of(id_col, folds) != held_out, text=text_of(docs, text_col))
     kept_type = rows.schema["kept"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

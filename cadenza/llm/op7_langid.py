@@ -1,6 +1,7 @@
 """Language ID: a byte convolutional network over fixed-length windows that cover the whole text.
 
-The model learns from whole texts of a bounded sample of labelled rows, each window of them.
+The model learns from whole texts of a bounded sample of labelled rows, each window of them. The sample is
+the first max_rows by a hash, as far as they fit into SAMPLE_BYTES; a text that doesn't fit is passed over.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. Languages are those
 of the training rows; with no training row every text is ``und``. Repeated rows give repeated rows, but
@@ -10,11 +11,12 @@ untouched. Language, source and id are never inputs of a prediction.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.arrow import kept_with, mapped, text_of
@@ -57,15 +59,31 @@ def among_first(rank: Column, share: float) -> Column:
 
 
 def sample_of(rows: DataFrame, share: float, max_rows: int, max_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """label and text of at most max_rows rows, the first by column rank (a hash), and as many as have max_bytes together.
+    """label and text of at most max_rows rows, the first by column rank (a hash), and of these as many as have max_bytes together.
 
-    Texts are whole: a row that would go beyond max_bytes is left out, and so are those after it. Rows of
-    one rank are one. share of the rows are expected to be enough; only their texts leave a task.
+    Texts are whole: a row that would go beyond max_bytes is left out, those after it that fit are not; if
+    none fits, the smallest is taken. Rows of one rank are one. share of the rows are expected to be enough;
+    only their texts leave a task.
     """
     few = rows.where(among_first(F.col("rank"), share)).groupBy("rank").agg(F.min(F.struct("label", "text")).alias("m")).select("rank", "m.label", "m.text")
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = few.orderBy("rank").limit(max_rows).withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(before))
-    return ranked.where(F.col("bytes") <= max_bytes).select("label", "text").toPandas()
+
+    def fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, smallest = max_bytes, None
+        for batch in batches:
+            sizes, keep = batch["bytes"].tolist(), []
+            for row, size in enumerate(sizes):
+                if size <= left:
+                    left -= size
+                    keep.append(row)
+                elif smallest is None or size < smallest["bytes"].iloc[0]:
+                    smallest = batch.iloc[[row]]
+            yield batch.iloc[keep]
+        if left == max_bytes and smallest is not None:
+            yield smallest
+
+    # the first rows by rank are one partition, in order
+    ranked = few.orderBy("rank").limit(max_rows).withColumn("bytes", F.octet_length("text").cast("long"))
+    return ranked.mapInPandas(fitting, ranked.schema).select("label", "text").toPandas()
 
 
 def share_of(rows: int, max_rows: int) -> float:

@@ -1,10 +1,13 @@
 """Chat formatting: a template compiler.
 
-A template (text, ``{{ expression }}``, ``{% for x in y %}``, ``{% if %}`` / ``elif`` / ``else``,
-``{% set x = e %}``, ``{% generation %}``) is parsed into a syntax tree, constants are folded, and
-the tree becomes Python closures. Only names that are given, item access by a constant name, the
-listed operators and the listed filters exist: a template can reach nothing else. Rendering yields
-(chunk, is_generation) one by one, so a conversation of any length is rendered in bounded memory.
+A template (text, ``{{ expression }}``, ``{% for x in y %}`` with ``loop``, ``{% if %}`` / ``elif`` / ``else``,
+``{% set x = e %}``, ``{% generation %}``; ``{%-`` and ``-%}`` strip white space) is parsed into a syntax tree,
+constants are folded, and the tree becomes Python closures. Only names that are given, items and slices by
+constants, the listed operators, tests and filters exist: a template can reach nothing else. Rendering
+yields (chunk, is_generation) one by one. A template that goes through ``messages`` once, and takes
+single ones by their place from the start before or after that, is rendered in bounded memory whatever the
+conversation's length; one that looks at them in any other way (twice, from the end, their number) holds the
+conversation in memory, which the compiler sees from the tree (Need).
 
 Defined results: a null role or text is empty; a conversation's rows are taken by turn, then role,
 then text (nulls first), so ties have one order; repeated rows are repeated turns; a null
@@ -53,6 +56,9 @@ def unescape(text: str) -> str:
 
 FILTERS: dict[str, Callable] = {"escape": escape, "line": escape_line, "trim": lambda x: x.strip(), "upper": lambda x: x.upper(), "lower": lambda x: x.lower(), "length": lambda x: len(x), "string": lambda x: str(x)}
 
+#: Tests after "is"; all but "defined" look at a value that must be there.
+TESTS: dict[str, Callable] = {"defined": lambda x: True, "none": lambda x: x is None, "string": lambda x: isinstance(x, str)}
+
 # Syntax tree
 
 
@@ -63,7 +69,7 @@ class Node:
     parts: tuple = field(default=())
 
 
-_TOKEN = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[-+<>|.()\[\]~]))")
+_TOKEN = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[-+<>|.:()\[\]~]))")
 _ESCAPES = {"n": "\n", "t": "\t"}
 
 
@@ -118,9 +124,22 @@ class _Expression:
 
     def compared(self) -> Node:
         node = self.summed()
-        while sign := self.take("==", "!=", "<", ">", "<=", ">="):
-            node = Node("compare", sign, (node, self.summed()))
-        return node
+        while True:
+            if sign := self.take("==", "!=", "<", ">", "<=", ">=", "in"):
+                node = Node("compare", sign, (node, self.summed()))
+            elif self.take("not"):
+                if not self.take("in"):
+                    raise TemplateError(f"not an expression: {self.source!r}")
+                node = Node("not", None, (Node("compare", "in", (node, self.summed())),))
+            elif self.take("is"):
+                negated, (_, name) = self.take("not"), self.peek()
+                if name not in TESTS:
+                    raise TemplateError(f"no such test: {name!r}")
+                self.at += 1
+                node = Node("test", name, (node,))
+                node = Node("not", None, (node,)) if negated else node
+            else:
+                return node
 
     def summed(self) -> Node:
         node = self.filtered()
@@ -152,29 +171,54 @@ class _Expression:
         else:
             raise TemplateError(f"not an expression: {self.source!r}")
         while sign := self.take(".", "["):
-            kind, value = self.peek()
-            self.at += 1
-            if kind not in (("name",) if sign == "." else ("text", "number")) or sign == "[" and not self.take("]"):
+            if sign == ".":
+                kind, value = self.peek()
+                self.at += 1
+                if kind != "name":
+                    raise TemplateError(f"items are accessed by constants: {self.source!r}")
+                node = Node("item", value, (node,))
+                continue
+            start = self.key()
+            if self.take(":"):
+                node = Node("slice", (start, self.key()), (node,))
+            elif start is None:
+                raise TemplateError(f"items are accessed by constants: {self.source!r}")
+            else:
+                node = Node("item", start, (node,))
+            if not self.take("]"):
                 raise TemplateError(f"items are accessed by constants: {self.source!r}")
-            node = Node("item", value, (node,))
         return node
 
+    def key(self) -> object:
+        """A text or whole number, or None where there is none."""
+        negative, (kind, value) = self.take("-"), self.peek()
+        if kind == "number" or kind == "text" and not negative:
+            self.at += 1
+            return -value if negative else value
+        if negative:
+            raise TemplateError(f"items are accessed by constants: {self.source!r}")
+        return None
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+
+#: A tag: an expression, a statement or a comment; a hyphen inside its signs strips the white space beyond them.
+_TAG = re.compile(r"\{\{(?P<lshow>-?)(?P<show>.*?)(?P<rshow>-?)\}\}|\{%(?P<ldo>-?)(?P<do>.*?)(?P<rdo>-?)%\}|\{#(?P<lnote>-?).*?(?P<rnote>-?)#\}", re.S)
 
 
 def parse(template: str) -> Node:
     """The syntax tree of a template."""
     stack: list[tuple[str, object, list[Node]]] = [("root", None, [])]
-    at = 0
+    at, stripped = 0, False
     for m in _TAG.finditer(template):
-        if m.start() > at:
-            stack[-1][2].append(Node("text", template[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            stack[-1][2].append(Node("show", None, (_Expression(m[1]).parse(),)))
-        elif m[2] is not None:
-            word, _, rest = m[2].strip().partition(" ")
+        text = template[at : m.start()]
+        text = text.lstrip() if stripped else text
+        text = text.rstrip() if m["lshow"] or m["ldo"] or m["lnote"] else text
+        if text:
+            stack[-1][2].append(Node("text", text))
+        at, stripped = m.end(), bool(m["rshow"] or m["rdo"] or m["rnote"])
+        if m["show"] is not None:
+            stack[-1][2].append(Node("show", None, (_Expression(m["show"]).parse(),)))
+        elif m["do"] is not None:
+            word, rest = (m["do"].split(None, 1) + ["", ""])[:2]
             rest = rest.strip()
             if word == "for" and (f := re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.S)):
                 stack.append(("for", (f[1], _Expression(f[2]).parse()), []))
@@ -201,15 +245,15 @@ def parse(template: str) -> Node:
                 body = stack.pop()[2]
                 stack[-1][2].append(Node("generation", None, (Node("block", None, tuple(body)),)))
             else:
-                raise TemplateError(f"not a statement here: {m[2]!r}")
-    if at < len(template):
-        stack[-1][2].append(Node("text", template[at:]))
+                raise TemplateError(f"not a statement here: {m['do']!r}")
+    if tail := template[at:].lstrip() if stripped else template[at:]:
+        stack[-1][2].append(Node("text", tail))
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} is not closed")
     return Node("block", None, tuple(stack[0][2]))
 
 
-_COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+_COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b}
 _SUM = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "~": lambda a, b: f"{a}{b}"}
 
 
@@ -244,8 +288,11 @@ def fold(node: Node, known: dict) -> Node:
         return Node("for", node.value, (fold(node.parts[0], known), fold(node.parts[1], inner)))
     parts = tuple(fold(p, known) for p in node.parts)
     node = Node(node.kind, node.value, parts)
-    if parts and all(p.kind == "constant" for p in parts) and node.kind in ("and", "or", "not", "compare", "sum", "filter"):
-        return Node("constant", _value(node)({}))
+    if parts and all(p.kind == "constant" for p in parts) and node.kind in ("and", "or", "not", "compare", "sum", "filter", "test"):
+        try:
+            return Node("constant", _value(node)({}))
+        except (TypeError, ValueError, AttributeError):
+            return node  # wrong only if it is reached
     if node.kind == "show" and parts[0].kind == "constant":
         return Node("text", str(parts[0].value))
     return node
@@ -254,6 +301,7 @@ def fold(node: Node, known: dict) -> Node:
 def _bound(node: Node) -> set[str]:
     """Names that a loop gives a value."""
     names = {node.value} if node.kind in ("for", "set") else set()
+    names |= {"loop"} if node.kind == "for" else set()
     for part in node.parts:
         for p in part if isinstance(part, tuple) else (part,):
             names |= _bound(p)
@@ -279,11 +327,21 @@ def _value(node: Node) -> Callable[[dict], object]:
 
         def item(names: dict) -> object:
             held = first(names)
-            if not isinstance(held, dict | list | tuple):
+            if not isinstance(held, dict | list | tuple | Messages):
                 raise TemplateError(f"no items in {type(held).__name__}")
             return held.get(value, "") if isinstance(held, dict) else held[value]
 
         return item
+    if kind == "slice":
+        return lambda names: first(names)[slice(*value)]
+    if kind == "test":
+        test, what = TESTS[value], node.parts[0]
+        if value == "defined" and what.kind == "name":
+            return lambda names: what.value in names
+        if value == "defined" and what.kind == "item":
+            above = _value(what.parts[0])
+            return lambda names: what.value in held if isinstance(held := above(names), dict) else bool(held[what.value : what.value + 1])
+        return lambda names: test(first(names))
     if kind == "filter":
         apply = FILTERS[value]
         return lambda names: apply(first(names))
@@ -299,6 +357,68 @@ def _value(node: Node) -> Callable[[dict], object]:
 
 
 Chunks = Iterator[tuple[str, bool]]
+_END = object()
+
+
+@dataclass(frozen=True)
+class Need:
+    """What a template wants of messages beside one pass in order: the first so many of them, or all at any time."""
+
+    first: int = 0
+    all: bool = False
+
+
+def needs(node: Node, name: str = "messages") -> Need:
+    """Of a syntax tree."""
+    passes, first, whole = 0, 0, False
+
+    def walk(node: Node, within: bool) -> None:
+        nonlocal passes, first, whole
+        if node.kind == "name" and node.value == name:
+            whole = True  # in an expression of any other form
+        if node.kind in ("item", "test") and node.parts[0] == Node("name", name):
+            if node.kind == "item" and isinstance(node.value, int) and node.value >= 0:
+                first = max(first, node.value + 1)
+                return
+            if node.kind == "test":
+                return
+        if node.kind == "for":
+            if node.parts[0] == Node("name", name):
+                passes += 2 if within else 1
+            else:
+                walk(node.parts[0], within)
+            walk(node.parts[1], True)
+            return
+        for part in node.parts:
+            for p in part if isinstance(part, tuple) else (part,):
+                walk(p, within)
+
+    walk(node, False)
+    return Need(first, whole or passes > 1)
+
+
+class Messages:
+    """A conversation's messages as a template sees them: read from a stream as far as asked, and kept as far as needed."""
+
+    def __init__(self, rows: Iterable[dict], need: Need):
+        self.rows, self.need = iter(rows), need
+        self.held = list(self.rows) if need.all else []
+
+    def _fill(self, n: int) -> None:
+        while len(self.held) < n and (row := next(self.rows, None)) is not None:
+            self.held.append(row)
+
+    def __iter__(self) -> Iterator[dict]:
+        self._fill(self.need.first)
+        yield from self.held
+        yield from self.rows
+
+    def __getitem__(self, at: int | slice) -> dict | list[dict]:
+        self._fill(self.need.first)
+        return self.held[at]
+
+    def __len__(self) -> int:
+        return len(self.held)
 
 
 def _render(node: Node, marked: bool) -> Callable[[dict], Chunks]:
@@ -331,10 +451,15 @@ def _render(node: Node, marked: bool) -> Callable[[dict], Chunks]:
         over, body = _value(node.parts[0]), _render(node.parts[1], marked)
 
         def loop(names: dict) -> Chunks:
-            inner = dict(names)
-            for item in over(names):
-                inner[value] = item
+            inner, held = dict(names), over(names)
+            items, index = iter(held), 0
+            item = next(items, _END)
+            while item is not _END:
+                after = next(items, _END)
+                index += 1
+                inner[value], inner["loop"] = item, {"index": index, "index0": index - 1, "first": index == 1, "last": after is _END}
                 yield from body(inner)
+                item = after
 
         return loop
     tests, bodies = [_value(t) for t in node.parts[0]], [_render(b, marked) for b in node.parts[1]]
@@ -352,7 +477,13 @@ def _render(node: Node, marked: bool) -> Callable[[dict], Chunks]:
 @lru_cache(maxsize=32)
 def compile_template(template: str, constants: tuple[tuple[str, object], ...] = ()) -> Callable[[dict], Chunks]:
     """names -> (text, is in a generation) chunks; constants are folded into the program."""
-    return _render(fold(parse(template), dict(constants)), False)
+    tree = fold(parse(template), dict(constants))
+    rendered, need = _render(tree, False), needs(tree)
+
+    def program(names: dict) -> Chunks:
+        return rendered(names | {"messages": Messages(names["messages"], need)} if "messages" in names else dict(names))
+
+    return program
 
 
 def chat_program(template: str = CHAT_TEMPLATE) -> Callable[[dict], Chunks]:
@@ -404,13 +535,17 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
 
     def messages(of: object) -> Iterator[dict]:
         nonlocal ahead
-        while ahead is not None and ahead[0] == of:
+        # a number that isn't one equals itself here
+        while ahead is not None and (ahead[0] == of or repr(ahead[0]) == repr(of)):
             yield ahead[1]
             ahead = next(rows, None)
 
     while ahead is not None:
         of = ahead[0]
-        yield of, messages(of)
+        rest = messages(of)
+        yield of, rest
+        for _ in rest:  # what the template didn't read
+            pass
 
 
 def _streamed(conversations: DataFrame, made: dict[str, str], run: Callable[[object, Iterable[dict]], Iterator[tuple]], held_rows: int) -> DataFrame:
