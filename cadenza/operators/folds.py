@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import joins, scans
 from cadenza.operators.streamed import in_order
 
 # Fixed values of the fallback speech score: a level under 2 floors is silence; noise, a narrow band and a single tone are none.
@@ -41,13 +43,9 @@ class NoiseFloor:
 
 
 def noise_floor(df: DataFrame, keys: list[str], order: list[str], value: str, speech: str, **limits: float) -> DataFrame:
-    """keys, order, floor: the noise floor after each row. limits: those of NoiseFloor."""
-
-    def fresh() -> Callable:
-        floor = NoiseFloor(**limits)
-        return lambda v, s: (floor.push(v, bool(s)),)
-
-    return in_order(df.withColumn(value, F.col(value).cast("double")), keys, order, [value, speech], {"floor": "double"}, fresh)
+    """keys, order, floor: the noise floor after each row. limits: those of NoiseFloor. A null value leaves the floor as it is, null speech is none."""
+    program = scans.Floor(partial(NoiseFloor, **limits))
+    return scans.scanned(df.withColumn(value, F.col(value).cast("double")), keys, order, [value, speech], {"floor": "double"}, program)
 
 
 def fallback_score(rms: float, flatness: float, band: float, peak: float, floor: float) -> float:
@@ -90,21 +88,13 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
 
 
 def cooldown(df: DataFrame, keys: list[str], index: str, spacing: int) -> DataFrame:
-    """keys, index of the rows that fire: each at least ``spacing`` after the one that fired before it."""
-
-    def fresh() -> Callable:
-        fired = None
+    """keys, index of the rows that fire: each at least ``spacing`` after the one that fired before it. A null index doesn't fire."""
+    return scans.scanned(df, keys, [index], [index], {}, scans.Cooldown(spacing))
 
-        def push(at: float) -> tuple | None:
-            nonlocal fired
-            if fired is not None and at - fired < spacing:
-                return None
-            fired = at
-            return ()
-
-        return push
 
-    return in_order(df, keys, [index], [index], {}, fresh)
+def hysteresis(df: DataFrame, keys: list[str], order: list[str], flag: str, onset: int = 3, offset: int = 10, out: str = "active", pass_on: tuple[str, ...] = ()) -> DataFrame:
+    """keys, order, pass_on and ``out``: as islands.hysteresis, where one key may have most of the rows."""
+    return scans.scanned(df, keys, order, [flag], {out: "boolean"}, scans.Hysteresis(onset, offset), pass_on)
 
 
 def greedy_apart(df: DataFrame, keys: list[str], position: str, strength: str, distance: float) -> DataFrame:
@@ -129,7 +119,8 @@ def merge_segments(segments: DataFrame, keys: list[str], start: str, end: str, l
     """keys, start, end, level, n, is_whisper: segments less than gap apart joined, then widened by pad (not below 0).
 
     A joined level is the mean by lengths in steps (rounded, one at least), taken as the segment grows. A
-    whisper has a level under five of its key's last noise floors.
+    whisper has a level under five of its key's last noise floors. Which segments are joined is a scan over
+    the key; levels are folded for each joined segment on its own. Segments without a start or an end go.
     """
 
     def fresh() -> Callable:
@@ -147,7 +138,9 @@ def merge_segments(segments: DataFrame, keys: list[str], start: str, end: str, l
         return push
 
     made = {"_a": "double", "_b": "double", "_level": "double", "_segment": "long", "n": "long"}
-    grown = in_order(segments, keys, [start], [start, end, level], made, fresh, (floor,))
-    last = F.last(floor).over(Window.partitionBy(*keys).orderBy(start).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    whole = grown.withColumn("_floor", last).groupBy(*keys, "_segment").agg(F.max_by(F.struct("_a", "_b", "_level", "n", "_floor"), "n").alias("s"))
+    grouped = scans.scanned(segments, keys, [start], [start, end], {"_group": "long"}, scans.Groups(gap), (end, level, floor))
+    grown = in_order(grouped, [*keys, "_group"], [start], [start, end, level], made, fresh)
+    last = segments.groupBy(*keys).agg(F.max_by(floor, start).alias("_floor"))
+    whole = grown.groupBy(*keys, "_group").agg(F.max_by(F.struct("_a", "_b", "_level", "n"), "n").alias("s"))
+    whole = joins.null_safe(whole, last, keys).withColumn("s", F.struct("s.*", "_floor"))
     return whole.select(*keys, F.greatest(F.lit(0.0), F.col("s._a") - pad).alias(start), (F.col("s._b") + pad).alias(end), F.col("s._level").alias(level), F.col("s.n").alias("n"), (F.col("s._level") < 5 * F.col("s._floor")).alias("is_whisper"))

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, on keys of which null equals null; the keys are left's."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def latest_before(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, out: str) -> DataFrame:
     """left with the right side's latest value at or before its time, by one window over both: no row is multiplied."""
     both = left.withColumn("_time", F.col(left_time)).withColumn("_side", F.lit(1)).unionByName(right.select(*keys, F.col(right_time).alias("_time"), F.col(value).alias("_value")).withColumn("_side", F.lit(0)), allowMissingColumns=True)

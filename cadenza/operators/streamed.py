@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Arrow's kinds by the names that DDL has for them.
-KINDS = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+KINDS = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
 def in_order(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], made: dict[str, str], fresh: Callable[[], Callable[..., tuple | None]], pass_on: tuple[str, ...] = (), descending: tuple[str, ...] = ()) -> DataFrame:
