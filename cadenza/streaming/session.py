@@ -180,7 +180,7 @@ def run_chunks(session: Session, key: str, rows: pd.DataFrame, patience: int | N
     ready = sorted([*session.waiting, *_rows(rows)], key=lambda r: r[0])
     session.waiting = []
     for n, row in enumerate(ready):
-        if row[0] < session.chunk and patience is not None:
+        if row[0] < session.chunk:
             continue  # too late, or a second copy
         if patience is not None and row[0] > session.chunk and ready[-1][0] - row[0] < patience:
             session.waiting = ready[n:]
