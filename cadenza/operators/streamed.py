@@ -29,7 +29,7 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], inputs: list[str]
             whose = zip(*(batch.column(c).to_pylist() for c in keys))
             at, out = [], []
             for i, (key, values) in enumerate(zip(whose, zip(*(batch.column(c).to_pylist() for c in inputs)))):
-                if fold is None or key != now:
+                if fold is None or key != now and repr(key) != repr(now):
                     now, fold = key, fresh()
                 found = fold(*values)
                 if found is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators import rules
+from cadenza.operators import joins, rules
 from cadenza.operators.islands import islands
 from cadenza.operators.streamed import in_order
 
@@ -47,7 +47,7 @@ def compare_turns(turns: DataFrame, keys: list[str], index: str, f0: str = "f0_h
     """
     p = pitched(F.col(f0))
     sums = turns.where("turn > 0").groupBy(*keys, "turn").agg(F.min(index).alias("start_frame"), (F.max(index) + 1).alias("end_frame"), F.count(F.lit(1)).alias("n"), F.count(p).alias("_pitched"), F.avg(p).alias("f0"), F.avg(centroid).alias("_centroid"))
-    met = sums.join(reference_profile(turns, keys, f0, centroid, enrol), keys)
+    met = joins.null_safe(sums, reference_profile(turns, keys, f0, centroid, enrol), keys)
 
     def fresh() -> Callable:
         now: list[float] = []
@@ -78,7 +78,7 @@ def frame_distances(turns: DataFrame, compared: DataFrame, keys: list[str], inde
     A frame without pitch has no distance in pitch.
     """
     place = F.row_number().over(Window.partitionBy(*keys, "turn").orderBy(index))
-    met = turns.withColumn("_place", place).join(compared.select(*keys, "turn", "reference_f0", "reference_centroid", "f0_std", "centroid_std"), [*keys, "turn"], "left")
+    met = joins.null_safe(turns.withColumn("_place", place), compared.select(*keys, "turn", "reference_f0", "reference_centroid", "f0_std", "centroid_std"), [*keys, "turn"], "left")
     apart_f0 = F.when(F.col(f0) > 0, F.abs(F.col(f0) - F.col("reference_f0")) / F.col("f0_std")).otherwise(0.0)
     z = F0_WEIGHT * apart_f0 + CENTROID_WEIGHT * F.abs(F.col(centroid) - F.col("reference_centroid")) / F.col("centroid_std")
     z = F.when((F.col("turn") > 0) & (F.col("_place") >= least), F.coalesce(z, F.lit(0.0))).otherwise(0.0)

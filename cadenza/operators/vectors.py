@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cadenza.operators import rules
+from cadenza.operators import joins, rules
+from cadenza.operators.streamed import in_order
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,9 +29,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """v over its length; as it is where that is nearly zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 1e-8, x / n).otherwise(x.cast("double")))
+    """v over its length; as it is where that is nearly zero. The length is bound once, not taken anew for each element."""
+    held = F.transform(F.array(F.struct(v.alias("v"), norm(v).alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 1e-8, x / s["n"]).otherwise(x.cast("double"))))
+    return F.get(held, F.lit(0))
 
 
 def variance_ratio(a: Column, b: Column) -> Column:
@@ -59,48 +62,59 @@ def similar_pairs(df: DataFrame, key: str, id_col: str, vector: str, least: floa
     """key, a, b (a < b), similarity of the pairs of one key whose cosine is at least ``least``.
 
     A key's vectors are dealt into blocks of about BLOCK by a hash of the id; each two blocks of a key are
-    one matrix product. A large key is many groups of bounded size, not one. ids are unique in a key.
+    one matrix product. A large key is many groups of bounded size, not one. ids are unique in a key. A null
+    key is a key, a null id is before all others; keys and ids may be of any type that has an order; rows
+    without a vector are in no pair.
     """
-    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    dealt = df.select(key, id_col, F.col(vector).alias("_v")).join(sizes, key).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+    held = df.where(F.col(vector).isNotNull())
+    sizes = held.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = joins.null_safe(held.select(key, id_col, F.col(vector).cast("array<double>").alias("_v")), sizes, [key]).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     copies = dealt.select(key, id_col, "_v", "_own", every.alias("_met"))
     copies = copies.select(key, id_col, "_v", "_own", F.least("_own", "_met").alias("_x"), F.greatest("_own", "_met").alias("_y"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["_x"].iloc[0], group["_y"].iloc[0]
-        one, two = group[group["_own"] == x], group[group["_own"] == y]
-        found = pd.DataFrame({key: [], "a": [], "b": [], "similarity": []})
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        own, ids, x, y = group["_own"].to_numpy(), group[id_col], group["_x"][0].as_py(), group["_y"][0].as_py()
+        vectors, values = group["_v"].to_pylist(), ids.to_pylist()
+        one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        i = j = np.zeros(0, np.int64)
+        similarity = np.zeros(0)
         if len(one) and len(two):
-            products = _unit_rows(list(one["_v"])) @ _unit_rows(list(two["_v"])).T
+            products = _unit_rows([vectors[n] for n in one]) @ _unit_rows([vectors[n] for n in two]).T
             i, j = np.nonzero(products >= least)
-            a, b = one[id_col].to_numpy()[i], two[id_col].to_numpy()[j]
-            keep = a < b if x == y else np.ones(len(a), bool)
-            found = pd.DataFrame({key: group[key].iloc[0], "a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": products[i, j][keep]})
-        return found
+            keep = i < j if x == y else np.ones(len(i), bool)
+            i, j = i[keep], j[keep]
+            similarity, i, j = products[i, j], one[i], two[j]
+        place = np.empty(len(values), np.int64)
+        place[sorted(range(len(values)), key=lambda n: (values[n] is not None, values[n] or 0 if values[n] is None else values[n]))] = np.arange(len(values))
+        first, second = np.where(place[i] < place[j], i, j), np.where(place[i] < place[j], j, i)
+        return pa.table({key: group[key].take(pa.array(first)), "a": ids.take(pa.array(first)), "b": ids.take(pa.array(second)), "similarity": pa.array(similarity)})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return copies.groupBy(key, "_x", "_y").applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, a {kind}, b {kind}, similarity double")
+    fields = [StructField(n, df.schema[c].dataType, True) for n, c in ((key, key), ("a", id_col), ("b", id_col))]
+    return copies.groupBy(key, "_x", "_y").applyInArrow(run, StructType([*fields, StructField("similarity", DoubleType())]))
 
 
 def nearest(points: DataFrame, centres: DataFrame, point_id: str, vector: str, centre_id: str, centre: str, least: float) -> DataFrame:
     """point_id, the most similar centre and its similarity, where that is at least ``least``; ties go to the smaller id.
 
-    Centres are counted first: a few are sent to every task, more meet the points block by block.
+    Centres are counted first: a few are sent to every task, more meet the points block by block. Points and
+    centres without a vector meet nothing; ids pass through untouched, ties between null and other ids go to null.
     """
+    points, centres = points.where(F.col(vector).isNotNull()), centres.where(F.col(centre).isNotNull())
     if centres.count() <= MAX_SENT_CENTRES:
-        sent = centres.select(centre_id, centre).orderBy(centre_id).toPandas()
-        names, matrix = sent[centre_id].to_numpy(), _unit_rows(list(sent[centre])) if len(sent) else np.zeros((0, 1))
-        kind = centres.schema[centre_id].dataType.simpleString()
+        sent = centres.select(centre_id, F.col(centre).cast("array<double>").alias(centre)).orderBy(centre_id).toArrow()
+        names, matrix = sent[centre_id].combine_chunks(), _unit_rows(sent[centre].to_pylist()) if len(sent) else np.zeros((0, 1))
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch) and len(names):
-                    products = _unit_rows(list(batch[vector])) @ matrix.T
+                if batch.num_rows and len(names):
+                    products = _unit_rows(batch.column(1).to_pylist()) @ matrix.T
                     at = products.argmax(1)
-                    yield pd.DataFrame({point_id: batch[point_id], centre_id: names[at], "similarity": products[np.arange(len(at)), at]})
+                    yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(at)), pa.array(products[np.arange(len(at)), at])], names=[point_id, centre_id, "similarity"])
 
-        met = points.select(point_id, vector).mapInPandas(best, f"`{point_id}` {points.schema[point_id].dataType.simpleString()}, `{centre_id}` {kind}, similarity double")
+        fields = [StructField(point_id, points.schema[point_id].dataType), StructField(centre_id, centres.schema[centre_id].dataType), StructField("similarity", DoubleType())]
+        met = points.select(point_id, F.col(vector).cast("array<double>")).mapInArrow(best, StructType(fields))
         return met.where(F.col("similarity") >= least)
     slices, blocks = (F.lit(max(1, -(-df.count() // BLOCK))).cast("long") for df in (points, centres))
     one = points.select(F.col(point_id).alias("p"), F.col(vector).alias("v"), F.pmod(F.xxhash64(point_id), slices).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("y"))
@@ -149,32 +163,33 @@ def verdict(score: Column) -> Column:
 def track_online(df: DataFrame, keys: list[str], order: list[str], vector: str, threshold: float) -> DataFrame:
     """keys, order, cluster: each vector joins the most similar cluster or starts one; a cluster's centre is its running mean, renormalised.
 
-    A key's vectors are streamed in order: only the centres are in memory.
+    A key's vectors are streamed in order: only the centres are in memory. A row without a vector joins none
+    and has a null cluster; null keys are keys, whatever their types.
     """
 
-    def run(batches):
-        key, centres, counts = None, [], []
-        for batch in batches:
-            out = []
-            for own, v in zip(batch[keys].itertuples(index=False, name=None), batch[vector]):
-                if own != key:
-                    key, centres, counts = own, [], []
-                v = np.asarray(v, float)
-                v = v / max(np.linalg.norm(v), 1e-8)
-                similar = np.array(centres) @ v if centres else np.zeros(0)
-                best = int(similar.argmax()) if len(similar) else -1
-                if best >= 0 and similar[best] >= threshold:
-                    mean = (centres[best] * counts[best] + v) / (counts[best] + 1)
-                    centres[best], counts[best] = mean / max(np.linalg.norm(mean), 1e-8), counts[best] + 1
-                else:
-                    centres.append(v)
-                    counts.append(1)
-                    best = len(centres) - 1
-                out.append(best)
-            yield batch[[*keys, *order]].assign(cluster=pd.Series(out, index=batch.index, dtype="int64"))
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, *order])
-    return df.select(*keys, *order, vector).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, kinds + ", cluster long")
+    def fresh() -> Callable:
+        centres: list[np.ndarray] = []
+        counts: list[int] = []
+
+        def push(given: list | None) -> tuple:
+            if given is None:
+                return (None,)
+            v = np.asarray(given, float)
+            v = v / max(np.linalg.norm(v), 1e-8)
+            similar = np.array(centres) @ v if centres else np.zeros(0)
+            best = int(similar.argmax()) if len(similar) else -1
+            if best >= 0 and similar[best] >= threshold:
+                mean = (centres[best] * counts[best] + v) / (counts[best] + 1)
+                centres[best], counts[best] = mean / max(np.linalg.norm(mean), 1e-8), counts[best] + 1
+            else:
+                centres.append(v)
+                counts.append(1)
+                best = len(centres) - 1
+            return (best,)
+
+        return push
+
+    return in_order(df, keys, order, [vector], {"cluster": "long"}, fresh)
 
 
 def pair_regime(mfcc: Column, f0_a: Column, f0_b: Column, flat_a: Column, flat_b: Column) -> tuple[Column, Column]:

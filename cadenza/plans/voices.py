@@ -91,9 +91,9 @@ def fallback_activity(spark: SparkSession, sf: str) -> DataFrame:
 
 def merged_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of at least 2 frames; those less than 4 apart are one, whose level is weighted by lengths as they grow; then widened."""
-    f = active(spark, sf)
-    held = vad_segments(spark, sf).join(f.select("user_id", "idx", "value"), "user_id").where("idx >= start_s and idx < end_s")
-    segments = held.groupBy("user_id", "start_s", "end_s").agg(F.avg("value").alias("rms")).where("end_s - start_s >= 2").withColumn("floor", F.lit(8.0))
+    # a segment is an island of active frames: its level needs no join
+    held = islands.islands(active(spark, sf), K, "idx", F.col("active"))
+    segments = held.groupBy("user_id", "island").agg(F.min("idx").cast("double").alias("start_s"), (F.max("idx") + 1).cast("double").alias("end_s"), F.avg("value").alias("rms")).where("end_s - start_s >= 2").withColumn("floor", F.lit(8.0))
     found = folds.merge_segments(segments, K, "start_s", "end_s", "rms", "floor", gap=4.0, pad=1.0, step=1.0)
     return found.select("user_id", "start_s", "end_s", F.round("rms", 7).alias("rms"), "n", "is_whisper")
 

@@ -4,7 +4,9 @@ A row is one chunk: session_id, chunk_idx (from 0), speech_prob, and of these wh
 embedding, lip_active, enrolled, control (``reset`` before the chunk; ``summary`` after it).
 
 Chunks are taken in order of chunk_idx across micro-batches: one that comes too early waits in the state
-until the gap is filled, or PATIENCE chunks have come after it; one that comes later than that is left out.
+until the gap is filled, or PATIENCE chunks have come after it; one that comes later than that, or a second
+time, is left out. Without times nothing tells a lost chunk from one that is still to come: where chunks have
+times use timed.py, which waits for no missing chunk and ends silent sessions.
 """
 
 from __future__ import annotations
