@@ -11,7 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 RATE, FRAME = 16_000, 512
 #: Samples from a frame's start that a pitch is taken of.
@@ -255,6 +257,18 @@ def with_features(frames: DataFrame, keys: list[str], with_combs: bool = False)
     return frames.select(*keys, "samples").mapInPandas(run, kinds)
 
 
+def with_spectra(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and magnitude (of the bins from 0 to half the rate) for each row of frames (samples: array of FRAME floats)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("samples").to_pylist()
+            found = magnitudes(np.array(held, float)) if held else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(list(found), pa.list_(pa.float64()))], names=[*keys, "magnitude"])
+
+    return frames.select(*keys, "samples").mapInArrow(run, StructType([*[frames.schema[k] for k in keys], StructField("magnitude", ArrayType(DoubleType()))]))
+
+
 def with_vectors(segments: DataFrame, keys: list[str]) -> DataFrame:
     """keys and features (segment_vector) for each row of segments (samples: array of floats)."""
 

@@ -8,12 +8,14 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cadenza.operators import joins, rules
+from cadenza.operators.components import components
 from cadenza.operators.streamed import in_order
+from cadenza.operators.tables import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -206,12 +208,21 @@ def pair_regime(mfcc: Column, f0_a: Column, f0_b: Column, flat_a: Column, flat_b
 def agglomerate(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """key, node, cluster: merges the two clusters whose best pair exceeds its threshold most, until none does; numbers are in order of the clusters' first nodes.
 
-    pairs: key, a, b, similarity, threshold (a < b); nodes: key, node. A key is one recording, whose
-    segments are few; a heap finds the next two, so a merge costs time in proportion to the smaller cluster's neighbours.
+    pairs: key, a, b, similarity, threshold (a < b); nodes: key, node. No merge joins what pairs at their
+    thresholds don't connect, so each such component is a task's group of its own, with all pairs within it;
+    a heap finds the next two clusters, and a merge costs time in proportion to the smaller cluster's neighbours.
+    Nodes in no pair are clusters; null keys are keys; pairs without a similarity or threshold count as none.
     """
-
-    def run(key_values: tuple, nodes_pdf: pd.DataFrame, pairs_pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(nodes_pdf["node"])
+    whole = pairs.where("similarity is not null and threshold is not null").withColumnRenamed(key, "_k")
+    name = lambda k, node: F.xxhash64(F.coalesce(F.col(k).cast("string"), F.lit("")), F.col(k).isNull(), F.col(node))
+    numbered = written(whole.select("*", name("_k", "a").alias("_a"), name("_k", "b").alias("_b")))
+    roots = components(numbered.where("similarity >= threshold").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    met = numbered.join(root_of("_a"), "_a", "left").join(root_of("_b"), "_b", "left")
+    met = met.withColumn("_root", F.coalesce("_a_root", "_a")).where(F.col("_root") == F.coalesce("_b_root", "_b")).select("_root", "_k", "a", "b", "similarity", "threshold")
+
+    def run(pairs_pdf: pd.DataFrame) -> pd.DataFrame:
+        order = sorted({*pairs_pdf["a"], *pairs_pdf["b"]})
         number = {n: i for i, n in enumerate(order)}
         near: list[dict[int, tuple[float, float]]] = [{} for _ in order]
         for a, b, s, t in zip(pairs_pdf["a"], pairs_pdf["b"], pairs_pdf["similarity"], pairs_pdf["threshold"]):
@@ -242,8 +253,12 @@ def agglomerate(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
                 into[i] = i = into[into[i]]
             return i
 
-        names: dict[int, int] = {}
-        return pd.DataFrame({key: key_values[0], "node": order, "cluster": [names.setdefault(root(i), len(names)) for i in range(len(order))]})
+        return pd.DataFrame({"_k": pairs_pdf["_k"].iloc[0], "node": order, "_first": [order[root(i)] for i in range(len(order))]})
 
-    kind = nodes.schema[key].dataType.simpleString()
-    return nodes.groupBy(key).cogroup(pairs.groupBy(key)).applyInPandas(run, f"`{key}` {kind}, node {nodes.schema['node'].dataType.simpleString()}, cluster long")
+    node = nodes.schema["node"].dataType
+    schema = StructType([StructField("_k", nodes.schema[key].dataType), StructField("node", node), StructField("_first", node)])
+    merged = met.groupBy("_root").applyInPandas(run, schema).withColumnRenamed("_k", key)
+    placed = joins.null_safe(nodes.select(key, "node"), merged, [key, "node"], "left").withColumn("_first", F.coalesce("_first", "node"))
+    placed = written(placed)
+    numbers = placed.where(F.col("node") == F.col("_first")).select(key, "_first", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("long").alias("cluster"))
+    return joins.null_safe(placed, numbers, [key, "_first"]).select(key, "node", "cluster")

@@ -6,11 +6,16 @@ user's first events, and a little noise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from cadenza.functions import kernels
-from cadenza.operators import folds, histograms, islands, rolling, rules, turns, vectors
+from cadenza.functions import combs, kernels
+from cadenza.operators import folds, histograms, islands, joins, rolling, rules, turns, vectors
 from cadenza.plans.catalogue import ACTIVE, COS, FRAMES, K, SEGMENTS, W, ZCONF, active, frames, table, vad_segments
 from cadenza.sources import wav
 from cadenza.streaming import session
@@ -19,13 +24,34 @@ from cadenza.streaming import session
 CIRCLE = 6.283185307179586
 
 
+def _sounded(tones: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """keys and samples of each row's tones ``_t`` (idx, value); rows are dealt out before samples are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        j = np.arange(n)
+        for batch in batches:
+            out = []
+            for user, row in zip(batch.column("user_id").to_pylist(), batch.column("_t").to_pylist()):
+                x = (((j * 7919 + user * 104729) % 1000) / 1000.0 - 0.5) * 0.02
+                for t in row:
+                    x = x + np.sin(CIRCLE * (100 + t["value"]) * j / 16000.0) * (0.05 + 0.02 * (t["idx"] % 4))
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.list_(pa.float64()))], names=[*keys, "samples"])
+
+    schema = StructType([*[tones.schema[k] for k in keys], StructField("samples", ArrayType(DoubleType()))])
+    return tones.repartition(*keys).mapInArrow(run, schema)
+
+
 def waves(spark: SparkSession, sf: str, n: int = 512) -> DataFrame:
-    """user_id, samples."""
+    """user_id, samples: of each user's first four events."""
     tones = frames(spark, sf).where("idx < 4").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_t"))
-    tone = lambda t, j: F.sin(F.lit(CIRCLE) * (100 + t["value"]) * j / 16000.0) * (0.05 + 0.02 * t["idx"])
-    noise = lambda j: ((j * 7919 + F.col("user_id") * 104729) % 1000 / 1000.0 - 0.5) * 0.02
-    samples = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate("_t", noise(j), lambda s, t: s + tone(t, j)))
-    return tones.select("user_id", samples.alias("samples"))
+    return _sounded(tones, ["user_id"], n)
+
+
+def wave_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """user_id, frame_idx, samples: a frame for each four events of a user, in order; what is left over goes."""
+    tones = frames(spark, sf).groupBy("user_id", F.floor(F.col("idx") / 4).alias("frame_idx")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_t"))
+    return _sounded(tones.where(F.size("_t") == 4), ["user_id", "frame_idx"], 512)
 
 
 def frame_kernels(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,6 +59,26 @@ def frame_kernels(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("user_id", *[F.round(c, 4).alias(c) for c in kernels.FEATURES])
 
 
+def spectral_combs(spark: SparkSession, sf: str) -> DataFrame:
+    """Harmonic combs of each user's wave, and what they say of two voices at once."""
+    made = kernels.with_spectra(waves(spark, sf), K).withColumn("combs", combs.combs(F.col("magnitude")))
+    strongest = F.get("combs", F.lit(0))
+    return made.select("user_id", F.size("combs").cast("long").alias("n"), strongest["f0_hz"].alias("f0_hz"), F.round(strongest["score"], 7).alias("score"), strongest["n_harmonics"].cast("long").alias("n_harmonics"), F.round(rules.comb_confidence(F.col("combs")), 6).alias("confidence"))
+
+
+def hysteresis_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """As hysteresis_state, by a scan whose long keys are many tasks' work."""
+    return folds.hysteresis(frames(spark, sf).withColumn("loud", F.col("value") > 20), K, ["idx"], "loud", 3, 4).select("user_id", "idx", "active")
+
+
+def speaker_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """How long speech overlaps with each speaker (type) of a user, who speaks from a frame on for as long as its level says."""
+    speakers = frames(spark, sf).select("user_id", "event_type", F.col("idx").cast("double").alias("from_s"), (F.col("idx") + F.floor(F.col("value") / 8) + 1).cast("double").alias("to_s"))
+    met = joins.overlaps(vad_segments(spark, sf), speakers, K, ("start_s", "end_s"), ("from_s", "to_s"))
+    shared = F.least("end_s", "to_s") - F.greatest("start_s", "from_s")
+    return met.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(shared).alias("seconds"))
+
+
 def voice_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Checks of each frame, and a detector's value for the voiced ones."""
     f = rolling.cv_gate(frames(spark, sf), K, ["idx"], "value")
@@ -210,7 +256,7 @@ def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        frame_kernels, voice_gate, noise_counts, two_voices, flag_events, turn_comparison, frame_distance, fallback_activity, merged_segments, verified_voices, smooth_histogram, enrolment_chunks, rechunked_blocks,
+        frame_kernels, spectral_combs, hysteresis_scan, speaker_overlaps, voice_gate, noise_counts, two_voices, flag_events, turn_comparison, frame_distance, fallback_activity, merged_segments, verified_voices, smooth_histogram, enrolment_chunks, rechunked_blocks,
         speaker_audio, level_plot, report_lines, merged_flags, flagged_voices, silence_gate,
         segment_vectors, voice_prints, live_sessions,
     )
@@ -259,6 +305,19 @@ ORACLES = {
     "frame_kernels": f"""WITH {WAVES} SELECT user_id, round(rms, 4) AS rms, round(voice / total, 4) AS band_ratio, round(speech / (raised + 1e-10), 4) AS speech_ratio, round(top / (speech + 1e-10), 4) AS peak_ratio, round(flatness, 4) AS flatness, round(full_flatness, 4) AS full_flatness,
         round(10 * log10(peak / (1 - peak + 1e-10) + 1e-10), 4) AS hnr_db, round(CASE WHEN strength >= 0.3 THEN 16000.0::DOUBLE / best ELSE 0 END, 4) AS f0_hz, round(moment / total, 4) AS centroid, round(least(rolloff, 8000)::DOUBLE, 4) AS rolloff, round(zcr, 4) AS zcr, round(mfcc1, 4) AS mfcc1, round(mfcc2, 4) AS mfcc2
         FROM e JOIN b USING (user_id) JOIN z USING (user_id) JOIN d USING (user_id)""",
+    "hysteresis_scan": f"WITH {FRAMES}, {ACTIVE} SELECT user_id, idx, active FROM act",
+    "speaker_overlaps": f"""WITH {FRAMES}, {ACTIVE}, {SEGMENTS}, p AS (SELECT user_id, event_type, idx::DOUBLE AS a, (idx + floor(value / 8) + 1)::DOUBLE AS b FROM fr)
+        SELECT p.user_id, event_type, count(*) AS n, sum(least(end_s, b) - greatest(start_s, a)) AS seconds FROM p JOIN seg ON seg.user_id = p.user_id AND start_s < b AND a < end_s GROUP BY p.user_id, event_type""",
+    "spectral_combs": f"""WITH {WAVES},
+        whole AS (SELECT user_id, 3 * median(m) AS lim, sum(m * m) + 1e-10 AS energy FROM m GROUP BY user_id),
+        harmonic AS (SELECT f0, round_even(f0 * h / 31.25, 0)::INT AS centre FROM (SELECT unnest(range(80, 400, 5)) AS f0), (SELECT unnest(range(1, 7)) AS h)),
+        peak AS (SELECT m.user_id, f0, centre, max(m) AS top FROM harmonic JOIN m ON m.k BETWEEN centre - 2 AND centre + 2 GROUP BY m.user_id, f0, centre),
+        cand AS (SELECT user_id, f0, sum(top * top) / any_value(energy) AS score, count(*) AS n FROM peak JOIN whole USING (user_id) WHERE top > lim GROUP BY user_id, f0 HAVING count(*) >= 4 AND sum(top * top) / any_value(energy) >= 0.08),
+        best AS (SELECT user_id, list(struct_pack(f := f0, s := score, n := n) ORDER BY round(score, 9) DESC, f0) AS c FROM cand GROUP BY user_id),
+        kept AS (SELECT user_id, list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k.f - x[1].f) < 15)) = 0 THEN list_concat(acc, x) ELSE acc END) AS c FROM (SELECT user_id, list_transform(c, lambda x: [x]) AS c FROM best)),
+        every AS (SELECT user_id, coalesce(c, []) AS c FROM whole LEFT JOIN kept USING (user_id)),
+        strong AS (SELECT *, list_filter(c[2:], lambda x: x.s >= c[1].s * 0.45) AS o FROM every)
+        SELECT user_id, len(c)::BIGINT AS n, c[1].f::DOUBLE AS f0_hz, round(c[1].s, 7) AS score, c[1].n AS n_harmonics, round(CASE WHEN len(c) < 2 THEN 0 WHEN len(o) = 0 THEN 0.1 ELSE least(greatest((o[1].s / (c[1].s + 1e-10) - 0.3) / 0.2, 0), 1) END, 6) AS confidence FROM strong""",
     "voice_gate": f"WITH {GATE} SELECT user_id, idx, score, score >= 2 AS is_voice, round(CASE WHEN score >= 2 THEN value / 100 ELSE 0 END, 9) AS confidence FROM g",
     "noise_counts": f"WITH {GATE} SELECT user_id, count(*) FILTER (WHERE score >= 2) AS voice, count(*) FILTER (WHERE score < 2) AS noise, round(100.0::DOUBLE * count(*) FILTER (WHERE score < 2) / count(*), 9) AS noise_pct FROM g GROUP BY user_id",
     "two_voices": f"""WITH {FRAMES}, h AS (SELECT user_id, idx, list_reverse_sort(list_filter(list(value) OVER (PARTITION BY user_id ORDER BY idx ROWS 2 PRECEDING), lambda x: x >= 15)) AS v FROM fr),
