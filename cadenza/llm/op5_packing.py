@@ -56,11 +56,15 @@ NORMAL_WAY = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\
 LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
 
 
-def _byte_characters() -> list[str]:
+#: Single marks that often end a word.
+MARKS = ".,;:!?"
+
+
+def _byte_characters() -> str:
     """The character that stands for each byte in byte-level vocabularies: itself where it is printable in Latin-1, else the next free one from U+0100 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     free = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+    return "".join(chr(b) if b in shown else chr(next(free)) for b in range(256))
 
 
 BYTE_CHARACTERS = _byte_characters()
@@ -82,6 +86,7 @@ class WordTokenizer:
         added = [t["content"] for t in json.loads(self.plain.to_str())["added_tokens"]]
         self.special = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.raw = [i.to_bytes(self.type.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -98,63 +103,71 @@ class WordTokenizer:
         return self.encode_ordinary(texts)
 
     def encode_ordinary(self, texts: list[bytes]) -> list[bytes]:
-        """As encode, where no text has a special token's string."""
+        """As encode, where no text has a special token's string. A batch's different words are looked up once, and what is new is made."""
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known
         # the tokenizer lower-cases: doing so for A-Z first changes no id, and more words are known
         known, older, split = self.known, self.older, [t.lower().split() for t in texts]
-        found, missing = [list(map(known.get, words)) for words in split], set()
-        for words, ids in zip(split, found):
-            missing.update(words[i] for i in _gaps(ids))
-        new, fresh = [], {}
-        for word in missing:
+        new = []
+        for word in set().union(*split).difference(known):
             ids = older.get(word)
             if ids is None:
                 new.append(word)
             else:
-                fresh[word] = ids
-        fresh.update(zip(new, self._fresh([w.decode() for w in new])))
-        known.update(fresh)
-        for words, ids in zip(split, found):
-            for i in _gaps(ids):
-                ids[i] = fresh[words[i]]
-        return [b"".join(ids) for ids in found]
-
+                known[word] = ids
+        known.update(zip(new, self._fresh(new)))
+        ids_of = known.__getitem__
+        return [b"".join(map(ids_of, words)) for words in split]
 
-    def _fresh(self, words: list[str]) -> list[bytes]:
+    def _fresh(self, words: list[bytes]) -> list[bytes]:
         """The ids of lower-cased words.
 
         Words of Latin-1 characters are in normal form C, so their pieces go to the tokenizer's model
-        one by one (each different one once); any other word takes the tokenizer's whole way.
+        one by one (each different one once, a word of letters alone is its own piece); any other word
+        takes the tokenizer's whole way.
         """
-        out, rest, pieces, tokenize = [b""] * len(words), [], self.pieces, self.tokenizer.model.tokenize
+        out, rest, pieces, raw, known, older = [b""] * len(words), [], self.pieces, self.raw, self.known, self.older
         if len(pieces) > CACHE_ENTRIES:
             pieces.clear()
+        tokenize = self.tokenizer.model.tokenize
+
+        def ids_of(piece: str) -> bytes:
+            shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            return b"".join([raw[t.id] for t in tokenize(shown)])
+
+        def remembered(piece: str) -> bytes:
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = pieces[piece] = ids_of(piece)
+            return ids
+
         for at, word in enumerate(words):
-            if self.cut is None or max(word) > "\xff" or "<|" in word:
+            if self.cut is None:
                 rest.append(at)
                 continue
-            ids = []
-            for piece in self.cut.findall(word.lower()):
-                known = pieces.get(piece)
-                if known is None:
-                    known = pieces[piece] = b"".join([t.id.to_bytes(self.type.itemsize, "little") for t in tokenize(piece if piece.isascii() and piece.isprintable() else "".join(map(BYTE_CHARACTERS.__getitem__, piece.encode())))])
-                ids.append(known)
-            out[at] = b"".join(ids)
-        for at, made in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            if word.isalpha():
+                out[at] = b"".join([raw[t.id] for t in tokenize(word.decode())])
+                continue
+            text = word.decode()
+            if not text.isascii():
+                if max(text) > "\xff":
+                    rest.append(at)
+                    continue
+                text = text.lower()
+            if text.isalpha():
+                out[at] = ids_of(text)
+            elif text[-1] in MARKS and text[:-1].isalpha():
+                head = word[:-1]
+                out[at] = (known.get(head) or older.get(head) or remembered(text[:-1])) + remembered(text[-1])
+            elif "<|" in text:
+                rest.append(at)
+            else:
+                out[at] = b"".join(map(remembered, self.cut.findall(text)))
+        for at, made in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
             out[at] = np.array(made.ids, self.type).tobytes()
         return out
 
 
-def _gaps(ids: list) -> list[int]:
-    """Where there is None."""
-    gaps, at = [], -1
-    for _ in range(ids.count(None)):
-        at = ids.index(None, at + 1)
-        gaps.append(at)
-    return gaps
-
-
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
