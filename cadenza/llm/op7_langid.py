@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,23 +68,23 @@ def sample_of(rows: DataFrame, share: float, max_rows: int, max_bytes: int = SAM
     """
     few = rows.where(among_first(F.col("rank"), share)).groupBy("rank").agg(F.min(F.struct("label", "text")).alias("m")).select("rank", "m.label", "m.text")
 
-    def fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, smallest = max_bytes, None
         for batch in batches:
-            sizes, keep = batch["bytes"].tolist(), []
-            for row, size in enumerate(sizes):
+            keep = []
+            for row, size in enumerate(batch.column("bytes").to_pylist()):
                 if size <= left:
                     left -= size
                     keep.append(row)
-                elif smallest is None or size < smallest["bytes"].iloc[0]:
-                    smallest = batch.iloc[[row]]
-            yield batch.iloc[keep]
+                elif left == max_bytes and (smallest is None or size < smallest.column("bytes")[0].as_py()):
+                    smallest = batch.take(pa.array([row]))
+            yield batch.take(pa.array(keep, pa.int64()))
         if left == max_bytes and smallest is not None:
             yield smallest
 
-    # the first rows by rank are one partition, in order
-    ranked = few.orderBy("rank").limit(max_rows).withColumn("bytes", F.octet_length("text").cast("long"))
-    return ranked.mapInPandas(fitting, ranked.schema).select("label", "text").toPandas()
+    # the first rows by rank are one partition, in order; texts stay Arrow's
+    ranked = few.orderBy("rank").limit(max_rows).select("label", "text", F.octet_length("text").cast("long").alias("bytes"))
+    return ranked.mapInArrow(fitting, ranked.schema).select("label", "text").toPandas()
 
 
 def share_of(rows: int, max_rows: int) -> float:
