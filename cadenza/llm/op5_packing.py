@@ -40,7 +40,7 @@ from pyspark.sql.types import StructType
 from cadenza.llm.arrow import kept_with, text_of
 from cadenza.llm.store import materialized
 
-#: Distinct words of a generation: a worker remembers the words of this one and, until it fills up, of the one before.
+#: Distinct words of a generation: a task remembers the words of this one and, until it fills up, of the one before.
 CACHE_ENTRIES = 300_000
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids")
 #: Tokens of a window for each queue on average, at least: pieces get shorter with more queues in a window.
@@ -92,6 +92,11 @@ class WordTokenizer:
         self.pieces: dict[str, bytes] = {}
         self.cut = re.compile(LATIN_PIECES) if NORMAL_WAY in json.loads(self.tokenizer.to_str())["pre_tokenizer"].get("pretokenizers", []) else None
 
+    def forget(self) -> None:
+        """Drops the words that it remembers, and Arrow's free memory: a worker lives on after its task, and the next one is as fast without them."""
+        self.known, self.older, self.pieces = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian integers of self.type."""
         marked = [i for i, t in enumerate(texts) if self.special and self.special.search(t)]
@@ -179,15 +184,18 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, served = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], tokenizer.type).tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
-                ids = [x + end for x in tokenizer.encode([t.encode() for t in rows.column("text").to_pylist()])]
-                counts, starts = [len(x) // tokenizer.type.itemsize for x in ids], []
-                for queue, n in zip(rows.column("queue").to_pylist(), counts):
-                    starts.append(served.get(queue, 0))
-                    served[queue] = starts[-1] + n
-                yield pa.RecordBatch.from_arrays([rows.column("kept"), rows.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["kept", "queue", "part", "part_start", "n_tokens", "ids"])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    rows = batch.slice(lo, 256)
+                    ids = [x + end for x in tokenizer.encode([t.encode() for t in rows.column("text").to_pylist()])]
+                    counts, starts = [len(x) // tokenizer.type.itemsize for x in ids], []
+                    for queue, n in zip(rows.column("queue").to_pylist(), counts):
+                        starts.append(served.get(queue, 0))
+                        served[queue] = starts[-1] + n
+                    yield pa.RecordBatch.from_arrays([rows.column("kept"), rows.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["kept", "queue", "part", "part_start", "n_tokens", "ids"])
+        finally:
+            tokenizer.forget()
 
     rows = kept_with(docs, [id_col], queue=F.coalesce(F.concat(F.lit("s:"), docs[f"`{source_col}`"].cast("string")), F.lit("none")), text=text_of(docs, text_col))
     made = StructType.fromDDL("queue string, part long, part_start long, n_tokens long, ids binary")
@@ -388,13 +396,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = 2048
     placed = table.join(small, ["queue", "part"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored = word_tokenizer(tokenizer_path).type
         for batch in batches:
             out, at_row = [], []
             base, part_start = batch.column("base").to_pylist(), batch.column("part_start").to_pylist()
             columns = [batch.column(c).to_pylist() for c in ("queue", "n_tokens", "ids", "amount", "below")]
             for row, (queue, n, raw, amount, below) in enumerate(zip(*columns)):
-                ids, at = np.frombuffer(raw, stored).astype("<u4"), base[row] + part_start[row]
+                ids, at = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4"), base[row] + part_start[row]
                 served = phases if amount < 0 else [Phase(start, length, {}, in_small, {queue: (below < in_small, below, amount)})]
                 for done, size, slot in place(served, queue, at, n, window, sequence):
                     piece = ids[done : done + size].tobytes()
