@@ -240,8 +240,8 @@ def combs(magnitude: np.ndarray, candidates: np.ndarray | None = None, harmonics
     return kept
 
 
-def with_features(frames: DataFrame, keys: list[str], with_combs: bool = False) -> DataFrame:
-    """keys and FEATURES for each row of frames (samples: array of FRAME floats), and combs (strongest first) if asked for."""
+def with_features(frames: DataFrame, keys: list[str], with_combs: bool = False, display: bool = False) -> DataFrame:
+    """keys and FEATURES for each row of frames (samples: array of FRAME floats), and combs (strongest first) and display_hz (display_pitch) if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -250,10 +250,12 @@ def with_features(frames: DataFrame, keys: list[str], with_combs: bool = False)
                 out = pd.concat([batch[keys].reset_index(drop=True), frame_features(x)], axis=1)
                 if with_combs:
                     out["combs"] = [[{"f0_hz": a, "score": b, "n_harmonics": c} for a, b, c in combs(m)] for m in magnitudes(x.astype(float))]
+                if display:
+                    out["display_hz"] = display_pitch(x.astype(float))
                 yield out
 
     kinds = ", ".join([*(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} double" for c in FEATURES)])
-    kinds += ", combs array<struct<f0_hz: double, score: double, n_harmonics: int>>" * with_combs
+    kinds += ", combs array<struct<f0_hz: double, score: double, n_harmonics: int>>" * with_combs + ", display_hz double" * display
     return frames.select(*keys, "samples").mapInPandas(run, kinds)
 
 
