@@ -12,7 +12,7 @@ import os
 import statistics
 import time
 
-from cadenza.plans import catalogue, voices
+from cadenza.plans import catalogue, chain, voices
 from cadenza.session import build_session
 
 HEADLINE = ("flagship", "hysteresis_state", "energy_islands", "interval_merge", "rolling_cv_gate", "turn_zscore", "noise_floor_fold", "cooldown_thinning", "asof_latest_flag", "interval_join", "fusion_decision", "pairwise_cosine", "centroid_verdict", "online_cluster")
@@ -25,7 +25,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     rows = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("events", "embeddings")}
     times, cold, others = {}, {}, {}
-    run = catalogue.QUERIES | voices.QUERIES
+    run = catalogue.QUERIES | voices.QUERIES | chain.QUERIES
     for name in sorted(run, key=lambda n: n not in HEADLINE):
         runs = []
         for _ in range(4 if name in HEADLINE else 2):

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from cadenza.plans import catalogue, voices
+from cadenza.plans import catalogue, chain, voices
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def close(a, b):
     return a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-5
 
 
-QUERIES, ORACLES = catalogue.QUERIES | voices.QUERIES, catalogue.ORACLES | voices.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | voices.QUERIES | chain.QUERIES, catalogue.ORACLES | voices.ORACLES | chain.ORACLES
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
