@@ -53,8 +53,10 @@ def detect(frames: DataFrame, keys: list[str], index: str, step: float = STEP, e
 
     Features are made in one pass and written, as are the compared turns, which frames and flags share.
     """
-    whole = frames.where(F.col(index).isNotNull() & (F.size("samples") == kernels.FRAME)).dropDuplicates([*keys, index])
-    table = written(gated(kernels.with_features(whole, [*keys, index], with_combs=True, display=True), keys, index).drop("combs"))
+    whole = frames.where(F.col(index).isNotNull() & (F.size("samples") == kernels.FRAME))
+    # samples are never shuffled: repeated frames go when they are features
+    features = kernels.with_features(whole, [*keys, index], with_combs=True, display=True).dropDuplicates([*keys, index])
+    table = written(gated(features, keys, index).drop("combs"))
     spoken = written(turns.voiced_turns(table.where("is_voice").select(*keys, index, "f0_hz", "centroid"), keys, index, enrol, silence))
     compared = written(turns.compare_turns(spoken, keys, index, enrol=enrol, least=least, least_pitched=least_pitched, flag=confidence))
     seconds = lambda c: (F.col(c) * step).cast("double")
