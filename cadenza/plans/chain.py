@@ -27,7 +27,7 @@ def detected_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plot_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """What a plot of PIXELS columns shows of each user's levels, states and flagged frames."""
+    """What a plot of PIXELS columns shows of each user's levels and states."""
     shown = {"value": F.col("value"), "active": F.col("active").cast("int")}
     return detection.decimated(active(spark, sf), K, "idx", shown, PIXELS)
 
