@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,28 +15,57 @@ from cadenza.operators.tables import written
 HELD = 1_000_000
 
 
-def _joined_locally(edges: DataFrame) -> DataFrame:
-    """Edges to the smallest node of what a task's edges connect: at most one for each node of the task."""
+class Forest:
+    """What edges connect, each node with a smaller one above it; at most HELD nodes and a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict = {}
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (above := up[x]) != x:
+            up[x] = up[above]
+            x = above
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """A batch of edges: joined in arrays first, so that only one edge for each of its nodes is left."""
+        up = self.up
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j, low = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while len(i):
+            x, y = low[i], low[j]
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            smaller = np.minimum(x, y)
+            np.minimum.at(low, x, smaller)
+            np.minimum.at(low, y, smaller)
+            while ((above := low[low]) != low).any():
+                low = above
+        for x, y in zip(nodes.tolist(), nodes[low].tolist()):
+            x, y = self.root(up.setdefault(x, x) if x not in up else x), self.root(up.setdefault(y, y) if y not in up else y)
+            up[max(x, y)] = min(x, y)
 
-        def root(x: int) -> int:
-            while (above := up[x]) != x:
-                up[x] = up[above]
-                x = above
-            return x
+    @property
+    def full(self) -> bool:
+        return len(self.up) > HELD
 
-        def passed() -> pa.RecordBatch:
-            found = [(x, r) for x in up if (r := root(x)) != x]
-            up.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["a", "b"])
+    def passed(self) -> tuple[pa.Array, pa.Array]:
+        """(nodes, their smallest ones) of all that are not their own; then it is empty."""
+        found = [(x, r) for x in self.up if (r := self.root(x)) != x]
+        self.up = {}
+        return pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())
 
+
+def _joined_locally(edges: DataFrame) -> DataFrame:
+    """Edges to the smallest node of what a task's edges connect: at most one for each node of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        passed = lambda: pa.RecordBatch.from_arrays(list(forest.passed()), names=["a", "b"])
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = root(up.setdefault(a, a) if a not in up else a), root(up.setdefault(b, b) if b not in up else b)
-                up[max(a, b)] = min(a, b)
-            if len(up) > HELD:
+            forest.add(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            if forest.full:
                 yield passed()
         yield passed()
 

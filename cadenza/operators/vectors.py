@@ -8,12 +8,13 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from cadenza.operators import joins, rules
-from cadenza.operators.components import components
+from cadenza.operators.components import HELD, Forest, components
 from cadenza.operators.streamed import in_order
 from cadenza.operators.tables import written
 
@@ -48,13 +49,23 @@ def centroids(df: DataFrame, keys: list[str], vector: str, out: str = "centroid"
     return mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(out))
 
 
-#: Vectors of a side of a block: two of them and their products are in a task's memory at once.
-BLOCK = 1000
+#: Vectors of a side of a block: two of them are in a task's memory at once. A vector is copied once for each block of its key.
+BLOCK = 4000
+#: Products that a task makes, and passes on the pairs of, at once.
+PRODUCTS = 500_000
 #: Centres up to this are sent to every task, their size is checked; more meet the points in blocks.
 MAX_SENT_CENTRES = 10_000
 
 
-def _unit_rows(vectors: list) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """(rows, items) of an array of lists, which must be equally long; null items are NaN."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lengths), -1 if len(lengths) and lengths[0] else 0)
+
+
+def _unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, float)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(n > 1e-8, x / np.maximum(n, 1e-300), x)
@@ -69,29 +80,31 @@ def similar_pairs(df: DataFrame, key: str, id_col: str, vector: str, least: floa
     without a vector are in no pair.
     """
     held = df.where(F.col(vector).isNotNull())
+    # floats stay floats until they are in a task: half the bytes
+    kind = "array<float>" if df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull) else "array<double>"
     sizes = held.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    dealt = joins.null_safe(held.select(key, id_col, F.col(vector).cast("array<double>").alias("_v")), sizes, [key]).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+    dealt = joins.null_safe(held.select(key, id_col, F.col(vector).cast(kind).alias("_v")), sizes, [key]).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     copies = dealt.select(key, id_col, "_v", "_own", every.alias("_met"))
     copies = copies.select(key, id_col, "_v", "_own", F.least("_own", "_met").alias("_x"), F.greatest("_own", "_met").alias("_y"))
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        own, ids, x, y = group["_own"].to_numpy(), group[id_col], group["_x"][0].as_py(), group["_y"][0].as_py()
-        vectors, values = group["_v"].to_pylist(), ids.to_pylist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches)).combine_chunks()
+        names, ids, vectors = (group[c].combine_chunks() for c in (key, id_col, "_v"))
+        own, x, y, values = group["_own"].to_numpy(), group["_x"][0].as_py(), group["_y"][0].as_py(), ids.to_pylist()
         one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        i = j = np.zeros(0, np.int64)
-        similarity = np.zeros(0)
-        if len(one) and len(two):
-            products = _unit_rows([vectors[n] for n in one]) @ _unit_rows([vectors[n] for n in two]).T
-            i, j = np.nonzero(products >= least)
-            keep = i < j if x == y else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-            similarity, i, j = products[i, j], one[i], two[j]
         place = np.empty(len(values), np.int64)
         place[sorted(range(len(values)), key=lambda n: (values[n] is not None, values[n] or 0 if values[n] is None else values[n]))] = np.arange(len(values))
-        first, second = np.where(place[i] < place[j], i, j), np.where(place[i] < place[j], j, i)
-        return pa.table({key: group[key].take(pa.array(first)), "a": ids.take(pa.array(first)), "b": ids.take(pa.array(second)), "similarity": pa.array(similarity)})
+        left, right = (_unit_rows(_matrix(vectors.take(pa.array(side)))) for side in (one, two))
+        step = max(1, PRODUCTS // max(1, len(two)))
+        for start in range(0, len(one) if len(two) else 0, step):
+            products = left[start : start + step] @ right.T
+            i, j = np.nonzero(products >= least)
+            keep = i + start < j if x == y else np.ones(len(i), bool)
+            i, j = i[keep], j[keep]
+            similarity, i, j = products[i, j], one[i + start], two[j]
+            first, second = pa.array(np.where(place[i] < place[j], i, j)), pa.array(np.where(place[i] < place[j], j, i))
+            yield pa.RecordBatch.from_arrays([names.take(first), ids.take(first), ids.take(second), pa.array(similarity)], names=[key, "a", "b", "similarity"])
 
     fields = [StructField(n, df.schema[c].dataType, True) for n, c in ((key, key), ("a", id_col), ("b", id_col))]
     return copies.groupBy(key, "_x", "_y").applyInArrow(run, StructType([*fields, StructField("similarity", DoubleType())]))
@@ -205,60 +218,143 @@ def pair_regime(mfcc: Column, f0_a: Column, f0_b: Column, flat_a: Column, flat_b
     return similarity, F.when(whisper, F.lit(0.81)).otherwise(F.lit(0.92))
 
 
+#: Pairs of clusters that a task's heap holds at once: some 150 MB.
+HEAP = 200_000
+
+
 def agglomerate(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """key, node, cluster: merges the two clusters whose best pair exceeds its threshold most, until none does; numbers are in order of the clusters' first nodes.
 
-    pairs: key, a, b, similarity, threshold (a < b); nodes: key, node. No merge joins what pairs at their
-    thresholds don't connect, so each such component is a task's group of its own, with all pairs within it;
-    a heap finds the next two clusters, and a merge costs time in proportion to the smaller cluster's neighbours.
-    Nodes in no pair are clusters; null keys are keys; pairs without a similarity or threshold count as none.
+    pairs: key, a, b, similarity, threshold (a < b); nodes: key, node. A cluster pair's best one has the largest
+    similarity, of equal ones the smallest threshold. Nodes in no pair are clusters; null keys are keys; pairs
+    without a similarity or threshold count as none.
+
+    Where all pairs of a key that reach their thresholds are more similar than all that don't (so it is with one
+    threshold), no pair hides another one and clusters are connected components: pairs are read once, and a task
+    passes on one edge for each of its nodes. Only the other keys' pairs are written, and merged by _merges.
     """
-    whole = pairs.where("similarity is not null and threshold is not null").withColumnRenamed(key, "_k")
+    kinds = {"_k": nodes.schema[key].dataType, "a": nodes.schema["node"].dataType, "b": nodes.schema["node"].dataType}
+    whole = pairs.where("similarity is not null and threshold is not null and not isnan(similarity) and not isnan(threshold)").withColumnRenamed(key, "_k")
+    whole = whole.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], F.col("similarity").cast("double").alias("similarity"), F.col("threshold").cast("double").alias("threshold"))
+    key_of = lambda k: F.xxhash64(F.coalesce(F.col(k).cast("string"), F.lit("")), F.col(k).isNull())
     name = lambda k, node: F.xxhash64(F.coalesce(F.col(k).cast("string"), F.lit("")), F.col(k).isNull(), F.col(node))
-    numbered = written(whole.select("*", name("_k", "a").alias("_a"), name("_k", "b").alias("_b")))
+    numbered = whole.select("*", key_of("_k").alias("_key"), name("_k", "a").alias("_a"), name("_k", "b").alias("_b"))
+
+    seen = written(_forests(numbered))
+    mixed = seen.where("a is null").groupBy("_key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low <= _high").select("_key")
+    edges = seen.where("a is not null").select("_key", "a", "b")
+    if mixed.isEmpty():
+        joined = edges.select("a", "b")
+    else:
+        mixed = written(mixed)
+        joined = edges.join(mixed, "_key", "left_anti").select("a", "b").unionByName(_merges(written(numbered.join(mixed, "_key", "left_semi"))))
+    roots = components(joined).select(F.col("node").alias("_node"), "root")
+    placed = nodes.select(key, "node", name(key, "node").alias("_node")).join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    placed = written(placed)
+    firsts = placed.groupBy(key, "root").agg(F.min("node").alias("_first"))
+    numbers = firsts.select(key, "root", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("long").alias("cluster"))
+    return joins.null_safe(placed, numbers, [key, "root"]).select(key, "node", "cluster")
+
+
+def _forests(numbered: DataFrame) -> DataFrame:
+    """Of what a task reads: _key, a, b of edges that connect what its pairs at their thresholds do, and for each key the least similarity of these (low) and the largest of the others (high), without a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, forests, bounds = ["_key", "a", "b", "low", "high"], {}, {}
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for k, forest in forests.items():
+                a, b = forest.passed()
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(a), pa.int64()), a, b, *[pa.nulls(len(a), pa.float64())] * 2], names=names)
+            forests.clear()
+
+        for batch in batches:
+            keys, a, b, s, t = (batch.column(c).to_numpy() for c in range(5))
+            good = s >= t
+            for k in np.unique(keys).tolist():
+                own = keys == k
+                low, high = bounds.get(k, (np.inf, -np.inf))
+                bounds[k] = s[own & good].min(initial=low), s[own & ~good].max(initial=high)
+                forests.setdefault(k, Forest()).add(a[own & good], b[own & good])
+            if sum(len(forest.up) for forest in forests.values()) > HELD:
+                yield from passed()
+        yield from passed()
+        none = pa.nulls(len(bounds), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(bounds), pa.int64()), none, none, *[pa.array([v[n] for v in bounds.values()], pa.float64()) for n in (0, 1)]], names=names)
+
+    return numbered.select("_key", "_a", "_b", "similarity", "threshold").mapInArrow(run, "_key long, a long, b long, low double, high double")
+
+
+def _merges(numbered: DataFrame) -> DataFrame:
+    """a, b: which nodes' clusters are merged, of pairs (a, b, their numbers _a and _b, similarity, threshold).
+
+    No merge joins what pairs at their thresholds don't connect: pairs within such a component are its own. Where
+    none hides another the component is a cluster; one of at most HEAP pairs is a task's, which merges by a heap.
+    In a larger one, a merged cluster is never nearer to a third one than the nearer of its two parts, so two clusters that are each
+    other's nearest, and have no second one as near, merge whatever the others do; all such pairs merge in a round, and
+    so does each component's next pair. Rounds go on until what is left is small; no task holds more.
+    """
     roots = components(numbered.where("similarity >= threshold").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    met = numbered.join(root_of("_a"), "_a", "left").join(root_of("_b"), "_b", "left")
-    met = met.withColumn("_root", F.coalesce("_a_root", "_a")).where(F.col("_root") == F.coalesce("_b_root", "_b")).select("_root", "_k", "a", "b", "similarity", "threshold")
-
-    def run(pairs_pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted({*pairs_pdf["a"], *pairs_pdf["b"]})
-        number = {n: i for i, n in enumerate(order)}
-        near: list[dict[int, tuple[float, float]]] = [{} for _ in order]
-        for a, b, s, t in zip(pairs_pdf["a"], pairs_pdf["b"], pairs_pdf["similarity"], pairs_pdf["threshold"]):
-            i, j = number[a], number[b]
-            if j not in near[i] or s > near[i][j][0]:
-                near[i][j] = near[j][i] = (s, t)
-        heap = [(t - s, i, j, s) for i, row in enumerate(near) for j, (s, t) in row.items() if i < j]
-        heapify(heap)
-        into = list(range(len(order)))
-        while heap and heap[0][0] <= 0:
-            _, i, j, s = heappop(heap)
-            if into[i] != i or into[j] != j or near[i].get(j, (None,))[0] != s:
-                continue  # one of them is no more, or they have a better pair by now
-            into[j] = i
-            del near[i][j]
-            for other, (s, t) in near[j].items():
-                if other == i:
-                    continue
-                del near[other][j]
-                if other not in near[i] or s > near[i][other][0]:
-                    near[i][other] = near[other][i] = (s, t)
-                s, t = near[i][other]
+    met = numbered.join(root_of("_a"), "_a", "left").join(root_of("_b"), "_b", "left").withColumn("_root", F.coalesce("_a_root", "_a"))
+    met = met.where(F.col("_root") == F.coalesce("_b_root", "_b")).select("_root", F.struct(F.col("a").alias("node"), F.col("_a").alias("number")).alias("x"), F.struct(F.col("b").alias("node"), F.col("_b").alias("number")).alias("y"), "similarity", "threshold")
+    best = lambda df: df.groupBy("_root", "x", "y").agg(F.max(F.struct("similarity", (-F.col("threshold")).alias("t"))).alias("_s")).select("_root", "x", "y", F.col("_s.similarity").alias("similarity"), (-F.col("_s.t")).alias("threshold"))
+    pair = lambda x, y: (F.col(f"{x}.number").alias("a"), F.col(f"{y}.number").alias("b"))
+    now, found = written(best(met)), []
+    while True:
+        good = F.col("similarity") >= F.col("threshold")
+        sizes = written(now.groupBy("_root").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(good, F.col("similarity"))).alias("_low"), F.max(F.when(~good, F.col("similarity"))).alias("_high")).where("_low is not null").withColumn("_plain", F.expr("_high is null or _low > _high")))
+        now = now.join(sizes, "_root")
+        found.append(now.where(good & F.col("_plain")).select(*pair("x", "y")))
+        found.append(now.where(~F.col("_plain") & (F.col("_n") <= HEAP)).select("_root", "x", "y", "similarity", "threshold").groupBy("_root").applyInPandas(_heap, "a long, b long"))
+        large = now.where(~F.col("_plain") & (F.col("_n") > HEAP)).select("_root", "x", "y", "similarity", "threshold")
+        if sizes.where(~F.col("_plain") & (F.col("_n") > HEAP)).isEmpty():
+            break
+        near = large.where(good).withColumn("m", F.col("threshold") - F.col("similarity"))
+        ends = near.select("_root", "x", "y", "m", F.explode(F.array("x", "y")).alias("own"))
+        tops = ends.groupBy("_root", "own", "m").agg(F.min(F.struct("x", "y")).alias("p"), F.count(F.lit(1)).alias("n")).groupBy("_root", "own").agg(F.min(F.struct("m", "p", "n")).alias("top"))
+        mutual = tops.where("top.n = 1").groupBy("_root", "top.p").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("_root", "p.x", "p.y")
+        following = near.groupBy("_root").agg(F.min(F.struct("m", "x", "y")).alias("p")).select("_root", "p.x", "p.y")
+        merged = written(mutual.unionByName(following).distinct())
+        found.append(merged.select(*pair("x", "y")))
+        into = lambda c: merged.select("_root", F.col("y").alias(c), F.col("x").alias(f"{c}_into"))
+        moved = large.join(into("x"), ["_root", "x"], "left").join(into("y"), ["_root", "y"], "left")
+        moved = moved.select("_root", F.coalesce("x_into", "x").alias("one"), F.coalesce("y_into", "y").alias("two"), "similarity", "threshold").where("one <> two")
+        now = written(best(moved.select("_root", F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y"), "similarity", "threshold")))
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
+    return every
+
+
+def _heap(pairs_pdf: pd.DataFrame) -> pd.DataFrame:
+    """a, b: numbers of nodes whose clusters are merged, of pairs x, y (node, number) of one component; a merge costs time in proportion to the smaller row of neighbours."""
+    ends = [[(p["node"], p["number"]) for p in pairs_pdf[c]] for c in ("x", "y")]
+    order = sorted({*ends[0], *ends[1]})
+    number = {n: i for i, n in enumerate(order)}
+    near: list[dict[int, tuple[float, float]]] = [{} for _ in order]
+    for a, b, s, t in zip(*ends, pairs_pdf["similarity"], pairs_pdf["threshold"]):
+        i, j = number[a], number[b]
+        near[i][j] = near[j][i] = (s, t)
+    heap = [(t - s, i, j, s) for i, row in enumerate(near) for j, (s, t) in row.items() if i < j and s >= t]
+    heapify(heap)
+    gone, merged = [False] * len(order), []
+    while heap:
+        d, i, j, s = heappop(heap)
+        held = near[i].get(j)
+        if gone[i] or gone[j] or held is None or held[0] != s or held[1] - held[0] != d:
+            continue  # one of them is no more, or they have a better pair by now
+        gone[j] = True
+        merged.append((order[i][1], order[j][1]))
+        del near[i][j]
+        for other, (s, t) in near[j].items():
+            if other == i:
+                continue
+            del near[other][j]
+            if other not in near[i] or (s, -t) > (near[i][other][0], -near[i][other][1]):
+                near[i][other] = near[other][i] = (s, t)
+            s, t = near[i][other]
+            if s >= t:
                 heappush(heap, (t - s, min(i, other), max(i, other), s))
-            near[j] = {}
-
-        def root(i: int) -> int:
-            while into[i] != i:
-                into[i] = i = into[into[i]]
-            return i
-
-        return pd.DataFrame({"_k": pairs_pdf["_k"].iloc[0], "node": order, "_first": [order[root(i)] for i in range(len(order))]})
-
-    node = nodes.schema["node"].dataType
-    schema = StructType([StructField("_k", nodes.schema[key].dataType), StructField("node", node), StructField("_first", node)])
-    merged = met.groupBy("_root").applyInPandas(run, schema).withColumnRenamed("_k", key)
-    placed = joins.null_safe(nodes.select(key, "node"), merged, [key, "node"], "left").withColumn("_first", F.coalesce("_first", "node"))
-    placed = written(placed)
-    numbers = placed.where(F.col("node") == F.col("_first")).select(key, "_first", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("long").alias("cluster"))
-    return joins.null_safe(placed, numbers, [key, "_first"]).select(key, "node", "cluster")
+        near[j] = {}
+    return pd.DataFrame(merged, columns=["a", "b"]).astype("int64")

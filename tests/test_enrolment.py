@@ -116,6 +116,50 @@ def test_agglomerate_by_components_against_all_pairs(spark):
     assert [r.cluster for r in vectors.agglomerate(empty, spark.createDataFrame([("x", 1), ("x", 2)], "k string, node long"), "k").orderBy("node").collect()] == [0, 1]
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_agglomerate_of_large_components_in_rounds(spark, monkeypatch, ties):
+    """No task holds more than HEAP pairs of clusters, and what is merged is the same, equal excesses too."""
+    monkeypatch.setattr(vectors, "HEAP", 40)
+    sizes = spark.sparkContext.accumulator(0)
+    heap = vectors._heap
+
+    def counted(pairs):
+        sizes.add(len(pairs) > 40)
+        return heap(pairs)
+
+    monkeypatch.setattr(vectors, "_heap", counted)
+    rng, own = random.Random(5), list(range(30))
+    mine = [(a, b, round(rng.random(), 1 if ties else 6), 0.8 if ties else rng.choice([0.7, 0.8, 0.9])) for a in own for b in own if a < b and rng.random() < 0.5]
+    mine = [(a, b, s, t) if not ties or s >= t or rng.random() < 0.8 else (a, b, 0.95, 0.97) for a, b, s, t in mine]
+    pairs = spark.createDataFrame([("x", *p) for p in mine], "k string, a long, b long, similarity double, threshold double").repartition(3)
+    got = {r.node: r.cluster for r in vectors.agglomerate(pairs, spark.createDataFrame([("x", n) for n in own], "k string, node long"), "k").collect()}
+    assert got == naive(own, mine) and 1 < len(set(got.values())) < 30
+    assert sizes.value == 0
+
+
+def test_agglomerate_with_one_threshold_holds_no_component(spark, monkeypatch):
+    """Where no pair hides another one, a task passes on one edge for each node: no group of all pairs is made."""
+
+    def grouped(numbered):
+        raise AssertionError("pairs were grouped")
+
+    monkeypatch.setattr(vectors, "_merges", grouped, raising=False)
+    rng, own = random.Random(2), list(range(60))
+    mine = [(a, b, round(rng.random(), 6), 0.96) for a in own for b in own if a < b]
+    pairs = spark.createDataFrame([(None, *p) for p in mine], "k string, a long, b long, similarity double, threshold double").repartition(3)
+    got = {r.node: r.cluster for r in vectors.agglomerate(pairs, spark.createDataFrame([(None, n) for n in own], "k string, node long"), "k").collect()}
+    assert got == naive(own, mine) and 1 < len(set(got.values())) < 60
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_similar_pairs_of_copies_in_pieces(spark, monkeypatch, kind):
+    """All pairs are similar: a block's pairs leave a task in pieces of at most PRODUCTS."""
+    monkeypatch.setattr(vectors, "PRODUCTS", 100)
+    df = spark.createDataFrame([("x", i, [1.0, 2.0]) for i in range(40)] + [("y", 1, [0.0, 0.0])], f"k string, i long, v array<{kind}>")
+    got = sorted((r.k, r.a, r.b) for r in vectors.similar_pairs(df, "k", "i", "v", 0.9).collect())
+    assert got == [("x", a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
 def test_combs_as_columns_against_the_kernel(spark):
     rng, t, rows = np.random.default_rng(3), np.arange(512) / 16000, []
     for i in range(40):
