@@ -12,10 +12,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 RATE, FRAME = 16_000, 512
+#: Rows whose features a task makes at once.
+ROWS = 512
 #: Samples from a frame's start that a pitch is taken of.
 CONTEXT = 2048
 TINY = 1e-10
@@ -259,36 +262,58 @@ def with_features(frames: DataFrame, keys: list[str], with_combs: bool = False,
     return frames.select(*keys, "samples").mapInPandas(run, kinds)
 
 
+def as_lists(matrix: np.ndarray) -> pa.ListArray:
+    """An array of each row's items."""
+    rows, n = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(n)), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """(rows, items) of an array of lists, which must be equally long; null items are NaN."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("rows differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(lengths), int(lengths[0]) if len(lengths) else 0)
+
+
 def with_spectra(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and magnitude (of the bins from 0 to half the rate) for each row of frames (samples: array of FRAME floats)."""
+    """keys and magnitude (of the bins from 0 to half the rate) for each row of frames (samples: array of FRAME floats). ROWS frames at once are in memory beside a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column("samples").to_pylist()
-            found = magnitudes(np.array(held, float)) if held else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(list(found), pa.list_(pa.float64()))], names=[*keys, "magnitude"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], as_lists(magnitudes(as_matrix(part.column("samples"))))], names=[*keys, "magnitude"])
 
     return frames.select(*keys, "samples").mapInArrow(run, StructType([*[frames.schema[k] for k in keys], StructField("magnitude", ArrayType(DoubleType()))]))
 
 
+def _by_row(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(part of a batch, the samples of each of its rows): views of the batch, not copies."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            lists = part.column("samples")
+            yield part, [lists[i].values.to_numpy(zero_copy_only=False) for i in range(part.num_rows)]
+
+
 def with_vectors(segments: DataFrame, keys: list[str]) -> DataFrame:
     """keys and features (segment_vector) for each row of segments (samples: array of floats)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[keys].assign(features=[segment_vector(np.asarray(s)) for s in batch["samples"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, samples in _by_row(batches, ROWS):
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], as_lists(np.stack([segment_vector(s) for s in samples]))], names=[*keys, "features"])
 
-    kinds = ", ".join(f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in keys)
-    return segments.select(*keys, "samples").mapInPandas(run, kinds + ", features array<double>")
+    return segments.select(*keys, "samples").mapInArrow(run, StructType([*[segments.schema[k] for k in keys], StructField("features", ArrayType(DoubleType()))]))
 
 
 def with_streams(recordings: DataFrame, keys: list[str]) -> DataFrame:
     """keys, f0_vec and var_vec (voice_streams) for each row of recordings (samples: array of floats)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [voice_streams(np.asarray(s)) for s in batch["samples"]]
-            yield batch[keys].assign(f0_vec=[a for a, _ in made], var_vec=[np.asarray(b, float) for _, b in made])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, samples in _by_row(batches, ROWS):
+            f0, spread = zip(*(voice_streams(s) for s in samples))
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], as_lists(np.stack(f0).astype(float)), as_lists(np.stack(spread).astype(float))], names=[*keys, "f0_vec", "var_vec"])
 
-    kinds = ", ".join(f"`{c}` {recordings.schema[c].dataType.simpleString()}" for c in keys)
-    return recordings.select(*keys, "samples").mapInPandas(run, kinds + ", f0_vec array<double>, var_vec array<double>")
+    made = [StructField(c, ArrayType(DoubleType())) for c in ("f0_vec", "var_vec")]
+    return recordings.select(*keys, "samples").mapInArrow(run, StructType([*[recordings.schema[k] for k in keys], *made]))

@@ -8,11 +8,11 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
+from cadenza.functions.kernels import as_matrix
 from cadenza.operators import joins, rules
 from cadenza.operators.components import HELD, Forest, components
 from cadenza.operators.streamed import in_order
@@ -57,14 +57,6 @@ PRODUCTS = 500_000
 MAX_SENT_CENTRES = 10_000
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """(rows, items) of an array of lists, which must be equally long; null items are NaN."""
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    if len(lengths) and (lengths != lengths[0]).any():
-        raise ValueError("vectors differ in length")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lengths), -1 if len(lengths) and lengths[0] else 0)
-
-
 def _unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, float)
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -95,7 +87,7 @@ def similar_pairs(df: DataFrame, key: str, id_col: str, vector: str, least: floa
         one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
         place = np.empty(len(values), np.int64)
         place[sorted(range(len(values)), key=lambda n: (values[n] is not None, values[n] or 0 if values[n] is None else values[n]))] = np.arange(len(values))
-        left, right = (_unit_rows(_matrix(vectors.take(pa.array(side)))) for side in (one, two))
+        left, right = (_unit_rows(as_matrix(vectors.take(pa.array(side)))) for side in (one, two))
         step = max(1, PRODUCTS // max(1, len(two)))
         for start in range(0, len(one) if len(two) else 0, step):
             products = left[start : start + step] @ right.T

@@ -24,22 +24,30 @@ from cadenza.streaming import session
 CIRCLE = 6.283185307179586
 
 
+#: Samples that a task makes at once.
+MADE = 1 << 18
+
+
 def _sounded(tones: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """keys and samples of each row's tones ``_t`` (idx, value); rows are dealt out before samples are made."""
+    """keys and samples of each row's tones ``_t`` (idx, value); rows are dealt out before samples are made, by a number of parts: tones are
+    small and samples are not, so parts aren't to be joined by the size of tones. A task makes and passes on MADE samples at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = np.arange(n)
+        j, rows = np.arange(n), max(1, MADE // n)
         for batch in batches:
-            out = []
-            for user, row in zip(batch.column("user_id").to_pylist(), batch.column("_t").to_pylist()):
-                x = (((j * 7919 + user * 104729) % 1000) / 1000.0 - 0.5) * 0.02
-                for t in row:
-                    x = x + np.sin(CIRCLE * (100 + t["value"]) * j / 16000.0) * (0.05 + 0.02 * (t["idx"] % 4))
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.list_(pa.float64()))], names=[*keys, "samples"])
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                out = np.empty((part.num_rows, n))
+                for x, user, row in zip(out, part.column("user_id").to_pylist(), part.column("_t").to_pylist()):
+                    x[:] = (((j * 7919 + user * 104729) % 1000) / 1000.0 - 0.5) * 0.02
+                    for t in row:
+                        x += np.sin(CIRCLE * (100 + t["value"]) * j / 16000.0) * (0.05 + 0.02 * (t["idx"] % 4))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], kernels.as_lists(out)], names=[*keys, "samples"])
 
     schema = StructType([*[tones.schema[k] for k in keys], StructField("samples", ArrayType(DoubleType()))])
-    return tones.repartition(*keys).mapInArrow(run, schema)
+    spark = tones.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return tones.repartition(parts, *keys).mapInArrow(run, schema)
 
 
 def waves(spark: SparkSession, sf: str, n: int = 512) -> DataFrame:

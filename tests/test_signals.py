@@ -7,6 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,3 +436,40 @@ def test_chunks(spark):
     got = sorted((x.recording_id, x.chunk, len(x.samples)) for x in wav.chunks_of(r, 10 / 16000, 5 / 16000).collect())
     assert got == [("a", 0, 10), ("a", 1, 10), ("a", 2, 5), ("b", 0, 2)]
     assert pd.DataFrame(wav.rechunked(spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, []), ("a", 2, [3.0, 4.0, 5.0])], "recording_id string, block_idx int, samples array<double>"), 2).collect(), columns=["r", "f", "s"]).sort_values("f").s.tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_samples_leave_a_task_in_pieces(spark, monkeypatch):
+    """Waves and their features are made for a bounded number of samples at once, in as many parts as shuffles have, whatever the size of the tones."""
+    from cadenza.plans import voices
+
+    monkeypatch.setattr(voices, "MADE", 2048)
+    monkeypatch.setattr(kernels, "ROWS", 3, raising=False)
+    tones = spark.createDataFrame([(u, [(i, 20.0 * u + i) for i in range(4)]) for u in range(50)], "user_id long, _t array<struct<idx: long, value: double>>")
+    made = voices._sounded(tones, ["user_id"], 512)
+    longest = made.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    assert made.rdd.getNumPartitions() >= 4
+    assert sum(r.n for r in longest.collect()) == 50
+    largest = spark.sparkContext.accumulator(0)
+    magnitudes = kernels.magnitudes
+
+    def seen(x):
+        largest.add(len(x) > 3)
+        return magnitudes(x)
+
+    monkeypatch.setattr(kernels, "magnitudes", seen)
+    rows = made.collect()
+    got = {r.user_id: r.magnitude for r in kernels.with_spectra(made, ["user_id"]).collect()}
+    assert largest.value == 0
+    for r in rows:
+        j = np.arange(512)
+        x = (((j * 7919 + r.user_id * 104729) % 1000) / 1000.0 - 0.5) * 0.02
+        for i in range(4):
+            x = x + np.sin(voices.CIRCLE * (100 + 20.0 * r.user_id + i) * j / 16000.0) * (0.05 + 0.02 * i)
+        assert np.array_equal(x, r.samples)
+        assert got[r.user_id] == pytest.approx(magnitudes(x[None])[0].tolist())
+    vectors_of = {r.user_id: r.features for r in kernels.with_vectors(made, ["user_id"]).collect()}
+    streams = {r.user_id: (r.f0_vec, r.var_vec) for r in kernels.with_streams(made, ["user_id"]).collect()}
+    monkeypatch.setattr(kernels, "magnitudes", magnitudes)
+    for r in rows[::7]:
+        assert vectors_of[r.user_id] == pytest.approx(kernels.segment_vector(np.array(r.samples)).tolist())
+        assert all(a == pytest.approx(b.tolist()) for a, b in zip(streams[r.user_id], kernels.voice_streams(np.array(r.samples))))
