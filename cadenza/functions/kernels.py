@@ -225,17 +225,35 @@ def pitch_histogram(f0: np.ndarray, bins: int = 80, low: float = 60, high: float
 
 def combs(magnitude: np.ndarray, candidates: np.ndarray | None = None, harmonics: int = 6, factor: float = 3.0, score: float = 0.08, matched: int = 4, apart: float = 15.0) -> list[tuple[float, float, int]]:
     """(f0, score, harmonics) of harmonic combs in one spectrum, strongest first, none within ``apart`` Hz of a stronger one that stays."""
-    candidates = np.arange(80.0, 400.0, 5.0) if candidates is None else candidates
-    width = RATE / (2 * (len(magnitude) - 1))
-    limit, total, found = factor * np.median(magnitude), (magnitude**2).sum() + TINY, []
-    for f0 in candidates:
-        centre = np.rint(f0 * np.arange(1, harmonics + 1) / width).astype(int)
-        centre = centre[centre < len(magnitude)]
-        peaks = np.array([magnitude[max(0, c - 2) : c + 3].max() for c in centre])
-        strong = peaks > limit
-        value = (peaks[strong] ** 2).sum() / total
-        if value >= score and strong.sum() >= matched:
-            found.append((float(f0), float(value), int(strong.sum())))
+    return comb_rows(magnitude[None], candidates, harmonics, factor, score, matched, apart)[0]
+
+
+def comb_rows(magnitude: np.ndarray, candidates: np.ndarray | None = None, harmonics: int = 6, factor: float = 3.0, score: float = 0.08, matched: int = 4, apart: float = 15.0) -> list[list[tuple[float, float, int]]]:
+    """combs of each row of spectra: all rows and candidates in one pass for each harmonic; only candidates that are found are looked at one by one."""
+    candidates = np.arange(80.0, 400.0, 5.0) if candidates is None else np.asarray(candidates, float)
+    rows, bins = magnitude.shape
+    width = RATE / (2 * (bins - 1))
+    limit, total = factor * np.median(magnitude, axis=1)[:, None], (magnitude**2).sum(1)[:, None] + TINY
+    around = magnitude.copy()  # the largest of the five bins around each
+    for d in (1, 2):
+        around[:, d:] = np.maximum(around[:, d:], magnitude[:, :-d])
+        around[:, :-d] = np.maximum(around[:, :-d], magnitude[:, d:])
+    energy, n = np.zeros((rows, len(candidates))), np.zeros((rows, len(candidates)), int)
+    for h in range(1, harmonics + 1):
+        centre = np.rint(candidates * h / width).astype(int)
+        peaks = around[:, np.minimum(centre, bins - 1)]
+        strong = (peaks > limit) & (centre < bins)
+        energy += np.where(strong, peaks**2, 0.0)
+        n += strong
+    value = energy / total
+    found: list[list[tuple[float, float, int]]] = [[] for _ in range(rows)]
+    i, j = np.nonzero((value >= score) & (n >= matched))
+    for row, c in zip(i.tolist(), zip(candidates[j].tolist(), value[i, j].tolist(), n[i, j].tolist())):
+        found[row].append(c)
+    return [_apart(row, apart) for row in found]
+
+
+def _apart(found: list[tuple[float, float, int]], apart: float) -> list[tuple[float, float, int]]:
     kept: list[tuple[float, float, int]] = []
     for c in sorted(found, key=lambda c: (-c[1], c[0])):
         if all(abs(c[0] - k[0]) >= apart for k in kept):
@@ -247,12 +265,13 @@ def with_features(frames: DataFrame, keys: list[str], with_combs: bool = False,
     """keys and FEATURES for each row of frames (samples: array of FRAME floats), and combs (strongest first) and display_hz (display_pitch) if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                batch = whole[start : start + ROWS]
                 x = np.stack(batch["samples"].to_numpy())
                 out = pd.concat([batch[keys].reset_index(drop=True), frame_features(x)], axis=1)
                 if with_combs:
-                    out["combs"] = [[{"f0_hz": a, "score": b, "n_harmonics": c} for a, b, c in combs(m)] for m in magnitudes(x.astype(float))]
+                    out["combs"] = [[{"f0_hz": a, "score": b, "n_harmonics": c} for a, b, c in row] for row in comb_rows(magnitudes(x.astype(float)))]
                 if display:
                     out["display_hz"] = display_pitch(x.astype(float))
                 yield out

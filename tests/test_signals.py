@@ -473,3 +473,35 @@ def test_samples_leave_a_task_in_pieces(spark, monkeypatch):
     for r in rows[::7]:
         assert vectors_of[r.user_id] == pytest.approx(kernels.segment_vector(np.array(r.samples)).tolist())
         assert all(a == pytest.approx(b.tolist()) for a, b in zip(streams[r.user_id], kernels.voice_streams(np.array(r.samples))))
+
+
+def combs_one_by_one(magnitude, harmonics=6):
+    width, limit, total, found = 16000 / (2 * (len(magnitude) - 1)), 3.0 * np.median(magnitude), (magnitude**2).sum() + 1e-10, []
+    for f0 in np.arange(80.0, 400.0, 5.0):
+        centre = np.rint(f0 * np.arange(1, harmonics + 1) / width).astype(int)
+        peaks = np.array([magnitude[max(0, c - 2) : c + 3].max() for c in centre if c < len(magnitude)])
+        strong = peaks[peaks > limit]
+        if (strong**2).sum() / total >= 0.08 and len(strong) >= 4:
+            found.append((float(f0), float((strong**2).sum() / total), len(strong)))
+    kept = []
+    for c in sorted(found, key=lambda c: (-c[1], c[0])):
+        if all(abs(c[0] - k[0]) >= 15.0 for k in kept):
+            kept.append(c)
+    return kept
+
+
+@pytest.mark.parametrize("bins", [257, 33, 9])
+def test_combs_of_many_spectra_at_once(bins):
+    """As one by one, at both ends of the spectrum and where harmonics lie beyond it; a frame takes far less than the 5 ms that a loop over candidates does."""
+    rng, t = np.random.default_rng(bins), np.arange(2 * (bins - 1)) / 16000
+    x = rng.normal(0, 0.02, (300, len(t)))
+    for row in x:
+        for f0 in rng.uniform(80, 390, rng.integers(0, 4)):
+            row += sum(np.sin(2 * np.pi * f0 * k * t) / k for k in range(1, 7)) * rng.uniform(0.05, 0.3)
+    spectra = np.vstack([kernels.magnitudes(x), np.zeros((1, bins)), np.eye(1, bins)])
+    got = kernels.comb_rows(spectra)
+    for m, row in zip(spectra, got):
+        want = combs_one_by_one(m)
+        assert [(a, c) for a, _, c in row] == [(a, c) for a, _, c in want] and [b for _, b, _ in row] == pytest.approx([b for _, b, _ in want])
+        assert kernels.combs(m) == row
+    assert bins < 257 or sum(len(row) > 1 for row in got) > 10
