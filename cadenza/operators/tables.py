@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def parts(df: DataFrame) -> int:
+    """A number of parts to repartition by: given one, adaptive execution doesn't join small parts, whose bytes tell too little where rows grow later or compress well."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet and read again: it isn't computed a second time, and lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from cadenza.functions import combs, kernels
-from cadenza.operators import folds, histograms, islands, joins, rolling, rules, turns, vectors
+from cadenza.operators import folds, histograms, islands, joins, rolling, rules, tables, turns, vectors
 from cadenza.plans.catalogue import ACTIVE, COS, FRAMES, K, SEGMENTS, W, ZCONF, active, frames, table, vad_segments
 from cadenza.sources import wav
 from cadenza.streaming import session
@@ -45,9 +45,7 @@ def _sounded(tones: DataFrame, keys: list[str], n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], kernels.as_lists(out)], names=[*keys, "samples"])
 
     schema = StructType([*[tones.schema[k] for k in keys], StructField("samples", ArrayType(DoubleType()))])
-    spark = tones.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return tones.repartition(parts, *keys).mapInArrow(run, schema)
+    return tones.repartition(tables.parts(tones), *keys).mapInArrow(run, schema)
 
 
 def waves(spark: SparkSession, sf: str, n: int = 512) -> DataFrame:
@@ -251,10 +249,14 @@ def voice_prints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events and summaries of sessions: a chunk for each event, some with the vector of a voice; pytest holds the operator against an independent loop, in batch and as a stream."""
-    voice = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    """Events and summaries of sessions: a chunk for each event, some with the vector of a voice; pytest holds the operator against an independent loop, in batch and as a stream.
+
+    A chunk can name no vector beyond -99 to 101, so these few are broadcast: most chunks name none, and a shuffle by the vector
+    would make them one task's. Vectors stay floats, half the bytes, while chunks are put in order.
+    """
+    voice = table(spark, sf, "embeddings").where(F.col("vec_id").between(-99, 101)).select(F.col("vec_id").alias("_vec"), "embedding")
     f = frames(spark, sf).withColumn("_vec", F.when(F.col("idx") % 5 == 0, F.col("idx") % 3 + F.col("user_id") % 100))
-    chunks = f.join(voice, "_vec", "left").select(
+    chunks = f.join(F.broadcast(voice), "_vec", "left").select(
         F.col("user_id").cast("string").alias("session_id"), F.col("idx").alias("chunk_idx"), (F.col("value") / 50).alias("speech_prob"), "embedding", F.when(F.col("event_type") == "click", True).when(F.col("event_type") == "view", False).alias("lip_active"), F.when(F.col("idx") == 0, F.col("embedding")).alias("enrolled")
     )
     found = session.session_events_batch(chunks, summaries=True)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.operators.rules import COOLDOWN_CYCLES
+from cadenza.operators.tables import parts
 from cadenza.sources.wav import FRAME, RATE, clip_bytes
 
 #: Under the first a voice is another one, from the second on it is the enrolled one; under the third there is no score yet.
@@ -238,4 +239,4 @@ def session_events_batch(chunks: DataFrame, embed: Callable[[np.ndarray], np.nda
             yield _frame(events)
         yield _frame(ended())
 
-    return chunks.repartition("session_id").sortWithinPartitions("session_id", "chunk_idx").mapInPandas(run, EVENTS)
+    return chunks.repartition(parts(chunks), "session_id").sortWithinPartitions("session_id", "chunk_idx").mapInPandas(run, EVENTS)

@@ -126,3 +126,16 @@ def test_evidence_is_added_to_and_not_rewritten():
         live.push(0.1, samples=x)
         whole.push(0.1, samples=x)
     assert live.proof() == whole.proof() and Map.writes == 1100 and p.first > 100 and len(p.evidence) == p.next - p.first
+
+
+def test_live_sessions_shuffle_no_chunks_by_their_vector(spark):
+    """Four of five chunks name no vector: by a shuffle for the join they would be one task's, however large the table."""
+    from cadenza.plans import voices
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = voices.live_sessions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert "hashpartitioning(_vec" not in plan
