@@ -438,6 +438,24 @@ def test_chunks(spark):
     assert pd.DataFrame(wav.rechunked(spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, []), ("a", 2, [3.0, 4.0, 5.0])], "recording_id string, block_idx int, samples array<double>"), 2).collect(), columns=["r", "f", "s"]).sort_values("f").s.tolist() == [[1.0, 2.0], [3.0, 4.0]]
 
 
+def test_spectra_of_a_batch_are_made_in_pieces(spark):
+    """A part's 2,000 frames come as one batch of Spark's; no spectra of the whole batch are made, and each is its own frame's."""
+    at_once, magnitudes = spark.sparkContext.accumulator(0), kernels.magnitudes
+    frames = spark.range(2000).coalesce(1).selectExpr("id", "transform(sequence(0, 511), j -> sin((id % 97 + 1) * j / 50.0D)) AS samples")
+
+    def seen(x):
+        at_once.add(1 << 20 if len(x) > 512 else len(x))
+        return magnitudes(x)
+
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(kernels, "magnitudes", seen)
+        rows = kernels.with_spectra(frames, ["id"]).collect()
+    assert at_once.value == 2000 and [r.id for r in rows] == list(range(2000))
+    for r in rows[::111]:
+        x = np.sin((r.id % 97 + 1) * np.arange(512) / 50.0)
+        assert r.magnitude == pytest.approx(magnitudes(x[None])[0].tolist())
+
+
 def test_samples_leave_a_task_in_pieces(spark, monkeypatch):
     """Waves and their features are made for a bounded number of samples at once, in as many parts as shuffles have, whatever the size of the tones."""
     from cadenza.plans import voices
